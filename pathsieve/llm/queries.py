@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathsieve.llm.byte_bpe import op9_byte_bpe
+from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.sharding import op5_sharding
 from pathsieve.llm.token_counts import op2_token_counts
 
@@ -10,6 +12,8 @@ def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
         "op5_sharding": op5_sharding,
+        "op8_html_text": op8_html_text,
+        "op9_byte_bpe": op9_byte_bpe,
     }
 
 
