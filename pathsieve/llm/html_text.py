@@ -7,7 +7,8 @@ part of a block. The first pass decides the remaining blocks by length, link
 density and the density of stop words: many links are boilerplate, running text
 is main text, and a short block stays undecided. In the second pass an undecided
 block takes the label of the nearest decided block; between two labels at the
-same distance it is main text if it stands in a content container.
+same distance a heading goes with what follows it, and any other block is main
+text only if it stands in a content container.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ NAMED = re.compile(
 )
 #: Containers whose undecided blocks count as main text between two labels.
 CONTENT = frozenset(["article", "main"])
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([!?/])[^>]*(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.IGNORECASE)
 WORD = re.compile(r"\w+")
@@ -73,13 +75,13 @@ def _named_boilerplate(attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in a content container) of each block outside named boilerplate, in page order."""
-    out: list[tuple[str, int, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, heading, in a content container) of each block outside named boilerplate, in page order."""
+    out: list[tuple[str, int, bool, bool]] = []
     texts: list[str] = []
     linked = 0
     open_elements: list[tuple[str, bool]] = []  # (name, starts boilerplate)
-    hidden = links = content = 0
+    hidden = links = content = headings = 0
     at = 0
 
     def flush() -> None:
@@ -87,13 +89,14 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
         if texts:
             whole = " ".join(html.unescape("".join(texts)).split())
             if whole:
-                out.append((whole, linked, content > 0))
+                out.append((whole, linked, headings > 0, content > 0))
             texts.clear()
         linked = 0
 
     def leave() -> None:
-        nonlocal hidden, links, content
+        nonlocal hidden, links, content, headings
         name, starts = open_elements.pop()
+        headings -= name in HEADINGS
         hidden -= starts
         links -= name == "a"
         content -= name in CONTENT
@@ -153,6 +156,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
         open_elements.append((name, starts))
         hidden += starts
         links += name == "a"
+        headings += name in HEADINGS
         content += name in CONTENT
     flush()
     return out
@@ -174,7 +178,7 @@ def first_pass(text: str, linked: int) -> bool | None:
 def main_text(page: str | None) -> str:
     """The main text of one page; a page without markup is its own text."""
     blocks = blocks_of(page or "")
-    labels = [first_pass(text, linked) for text, linked, _ in blocks]
+    labels = [first_pass(text, linked) for text, linked, *_ in blocks]
     # a page with a content container keeps to it
     inside = any(x for *_, x in blocks)
     if inside:
@@ -188,7 +192,7 @@ def main_text(page: str | None) -> str:
                 last = i
             out[i] = last
     kept = []
-    for i, (text, _, content) in enumerate(blocks):
+    for i, (text, _, heading, content) in enumerate(blocks):
         label = labels[i]
         if label is None:
             a, b = before[i], after[i]
@@ -198,6 +202,8 @@ def main_text(page: str | None) -> str:
                 label = labels[b]
             elif b is None or i - a < b - i:
                 label = labels[a]
+            elif heading:
+                label = labels[b]
             else:
                 label = labels[a] or labels[b] if content or labels[a] == labels[b] else labels[a] and labels[b]
             # a content container vouches for what no link speaks against
