@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathsieve.llm.byte_bpe import op9_byte_bpe
 from pathsieve.llm.html_text import op8_html_text
+from pathsieve.llm.ngram_join import op7_ngram_join
 from pathsieve.llm.quality import op4_quality
 from pathsieve.llm.sharding import op5_sharding
 from pathsieve.llm.token_counts import op2_token_counts
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op2_token_counts": op2_token_counts,
         "op4_quality": op4_quality,
         "op5_sharding": op5_sharding,
+        "op7_ngram_join": op7_ngram_join,
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
     }
