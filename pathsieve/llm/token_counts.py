@@ -76,8 +76,7 @@ class TokenCounter:
             self.added = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
             # assigned in one Unicode version only: left to the library
             newer = regex.compile(r"[\p{L}\p{N}\s]")
-            odd = [c for c in map(chr, [*range(0x378, 0xD800), *range(0xE000, 0x33480)]) if unicodedata.category(c) == "Cn" and newer.match(c)]
-            self.unsure = regex.compile("[" + "".join(odd) + "]") if odd else None
+            self.unsure = frozenset(c for c in map(chr, [*range(0x378, 0xD800), *range(0xE000, 0x33480)]) if unicodedata.category(c) == "Cn" and newer.match(c))
 
     def count(self, texts: list[str]) -> list[int]:
         if self.split is None:
@@ -88,7 +87,7 @@ class TokenCounter:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         for i, text in enumerate(texts):
-            if not text.isascii() and self.unsure and self.unsure.search(text):
+            if not text.isascii() and not self.unsure.isdisjoint(text):
                 whole.append(i)
                 parts.append(())
                 continue
