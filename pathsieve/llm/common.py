@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,54 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         sums = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+#: Bits of a filter at most (8 MB when broadcast), and bits an entry gets while there is room.
+FILTER_BITS, ENTRY_BITS = 1 << 26, 12
+_FILTER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def filter_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter of a column of 64-bit hashes, as 64-bit words.
+
+    It only spares work: whoever asks must be able to do without it. Its size
+    has a fixed bound; with more entries it fills up and passes more and more.
+    At most ``FILTER_BITS / 64`` rows reach the driver.
+    """
+    n = hashes.count()
+    bits = 1 << 10
+    while bits < min(FILTER_BITS, n * ENTRY_BITS):
+        bits *= 2
+    shift = 64 - (bits.bit_length() - 1)
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            x = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for salt in _FILTER_SALTS:
+                at = (x * np.uint64(salt)) >> np.uint64(shift)
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(words[some].view(np.int64))], ["word", "bits"])
+
+    found = hashes.select(F.col(column).cast("long")).mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each hash."""
+    shift = np.uint64(64 - ((len(words) * 64).bit_length() - 1))
+    x = hashes.view(np.uint64)
+    out = np.ones(len(x), bool)
+    for salt in _FILTER_SALTS:
+        at = (x * np.uint64(salt)) >> shift
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

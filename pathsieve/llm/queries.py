@@ -7,6 +7,7 @@ from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.ngram_join import op7_ngram_join
 from pathsieve.llm.quality import op4_quality
 from pathsieve.llm.sharding import op5_sharding
+from pathsieve.llm.substring_dedup import op10_substring_dedup
 from pathsieve.llm.token_counts import op2_token_counts
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op7_ngram_join": op7_ngram_join,
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
