@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, table
+from pathsieve.llm.common import bounded_steps, small_batches, table
 
 #: Pre-tokens a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
@@ -258,6 +258,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     No row is shuffled. A null or empty text has no ids; rows repeat as they do
     in ``df``; a column of ``df`` named like a new one is replaced.
     """
+    small_batches(df.sparkSession)
     new = {ids: "array<int>"} | ({offsets: "array<int>"} if offsets else {})
     kept = [c for c in df.columns if c not in new]
 
@@ -284,6 +285,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     from pyspark.sql import types as T
 
     kept = [c for c in df.columns if c != out]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
@@ -312,6 +314,7 @@ def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import table
+from pathsieve.llm.common import small_batches, table
 
 #: Function words of the corpus languages (fixed values).
 STOP_WORDS = frozenset(
@@ -222,6 +222,7 @@ def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
     from pyspark.sql import types as T
 
     kept = [c for c in df.columns if c not in (page, out)]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, table
+from pathsieve.llm.common import bounded_steps, small_batches, table
 
 #: Indicators, after hashing.
 BUCKETS = 1 << 17
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     out, an id labelled more than once counts once with its highest label;
     without labels of both classes every text gets the same score.
     """
+    small_batches(docs.sparkSession)
     labels = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("good")).where("id is not null and good is not null")
     labels = labels.groupBy("id").agg(F.max("good").alias("good"))
 
@@ -206,6 +207,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != out]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

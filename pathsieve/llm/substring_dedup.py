@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, release, table
+from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, release, small_batches, table
 from pathsieve.llm.words import run_hashes, word_hashes
 
 #: Words of a fingerprint; shorter than the window.
@@ -153,6 +153,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     the result doesn't depend on their number.
     """
     spark = df.sparkSession
+    small_batches(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("t")).where("id is not null and text is not null")
     cuts = texts.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = [None, *sorted(set(cuts or [])), None]

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, table
+from pathsieve.llm.common import bounded_steps, small_batches, table
 
 #: Words in the broadcast table, and words that a task reports.
 TABLE_WORDS = 32_768
@@ -149,6 +149,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text: str = "text", toke
     rows are counted each; ids may be null or repeat.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = _tokenizer_path(tokenizer)
     table_of: dict[str, int] = {}
     if path.endswith(".json"):
