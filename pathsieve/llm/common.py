@@ -141,3 +141,25 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, columns) of each run of rows that agree in their first ``keys`` columns."""
+    key, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        own = list(zip(*columns[:keys], strict=True))
+        at = 0
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i] != own[at]:
+                part = [c[at:i] for c in columns[keys:]]
+                if own[at] == key:
+                    for a, b in zip(held, part, strict=True):
+                        a.extend(b)
+                else:
+                    if key is not None:
+                        yield key, held
+                    key, held = own[at], part
+                at = i
+    if key is not None:
+        yield key, held

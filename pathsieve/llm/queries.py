@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathsieve.llm.byte_bpe import op9_byte_bpe
+from pathsieve.llm.decontaminate import op3_decontaminate
 from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.ngram_join import op7_ngram_join
 from pathsieve.llm.quality import op4_quality
@@ -14,6 +15,7 @@ from pathsieve.llm.token_counts import op2_token_counts
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_decontaminate": op3_decontaminate,
         "op4_quality": op4_quality,
         "op5_sharding": op5_sharding,
         "op7_ngram_join": op7_ngram_join,
