@@ -6,6 +6,7 @@ from pathsieve.llm.byte_bpe import op9_byte_bpe
 from pathsieve.llm.decontaminate import op3_decontaminate
 from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.ngram_join import op7_ngram_join
+from pathsieve.llm.nn_descent import op1_nn_descent
 from pathsieve.llm.quality import op4_quality
 from pathsieve.llm.sharding import op5_sharding
 from pathsieve.llm.substring_dedup import op10_substring_dedup
@@ -14,6 +15,7 @@ from pathsieve.llm.token_counts import op2_token_counts
 
 def queries() -> dict:
     return {
+        "op1_nn_descent": op1_nn_descent,
         "op2_token_counts": op2_token_counts,
         "op3_decontaminate": op3_decontaminate,
         "op4_quality": op4_quality,
