@@ -10,6 +10,7 @@ from pathsieve.llm.nn_descent import op1_nn_descent
 from pathsieve.llm.quality import op4_quality
 from pathsieve.llm.sharding import op5_sharding
 from pathsieve.llm.substring_dedup import op10_substring_dedup
+from pathsieve.llm.suffix_dedup import op6_suffix_dedup
 from pathsieve.llm.token_counts import op2_token_counts
 
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_quality": op4_quality,
         "op5_sharding": op5_sharding,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
