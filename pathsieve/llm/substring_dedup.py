@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, release, small_batches, table
-from pathsieve.llm.words import run_hashes, word_hashes
+from pathsieve.llm.words import run_hashes, run_hashes_at, word_hashes
 
 #: Words of a fingerprint; shorter than the window.
 GRAM = 7
@@ -31,26 +31,27 @@ GRAM = 7
 MAX_RUNS = 3
 
 
-def _lowest(words: np.ndarray, window: int) -> np.ndarray:
-    """The fingerprint of every window: the lowest hash of its grams."""
+def _steps(texts: list, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index of the first text, words, text of each window, its place there, its place among the words, its fingerprint) of bounded steps.
+
+    A window's fingerprint is the lowest hash of its grams.
+    """
     gram = min(GRAM, window)
-    grams = run_hashes(words, gram, 1)
-    count = len(words) - window + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
     span = window - gram + 1
-    low = grams[:count].copy()
-    for k in range(1, span):
-        np.minimum(low, grams[k: k + count], out=low)
-    return low
-
-
-def _words_of(texts: list) -> Iterator[np.ndarray]:
     for a, b in bounded_steps(texts):
-        hashes, counts = word_hashes([(t or "").encode() for t in texts[a:b]])
+        words, counts = word_hashes([(t or "").encode() for t in texts[a:b]])
+        n = len(words) - window + 1
+        if n <= 0:
+            continue
         ends = np.cumsum(counts)
-        for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-            yield hashes[x:y]
+        owner = np.repeat(np.arange(b - a), counts)[:n]
+        at = np.flatnonzero(ends[owner] - np.arange(n) >= window)  # within one text
+        grams = run_hashes(words, gram, 1)
+        low = grams[:n].copy()
+        for k in range(1, span):
+            np.minimum(low, grams[k: k + n], out=low)
+        owner = owner[at]
+        yield a, words, owner, at - (ends - counts)[owner], at, low[at]
 
 
 class FingerprintIndex:
@@ -74,15 +75,11 @@ class FingerprintIndex:
 
         def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, found = [], []
-                id_list = batch.column(0).to_pylist()
-                for i, words in zip(id_list, _words_of(batch.column(1).to_pylist()), strict=True):
-                    low = np.unique(_lowest(words, window))
-                    ids.append((i, len(low)))
-                    found.append(low)
-                if not ids:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat([i for i, _ in ids], [n for _, n in ids]).astype(np.int64))], ["h", "id"])
+                ids = batch.column(0).to_numpy()
+                for first, _, owner, _, _, low in _steps(batch.column(1).to_pylist(), window):
+                    if len(low):
+                        new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
+                        yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(ids[first + owner[new]])], ["h", "id"])
 
         rows = texts.mapInArrow(fingerprints, "h long, id long")
         run = self._write(rows.groupBy("h").agg((F.min("id") < F.max("id")).alias("many")))
@@ -122,25 +119,14 @@ def _windows(texts: DataFrame, hits: DataFrame, window: int, places: bool) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            size = 0
-            for i, t, words in zip(ids, marks, _words_of(batch.column(1).to_pylist()), strict=True):
-                low = _lowest(words, window)
-                at = np.flatnonzero(may_hold(shared.value, low)) if len(low) else ()
-                if len(at):
-                    w, v = run_hashes(words, window, 2)[at].view(np.int64), (run_hashes(words, window, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    if not places:
-                        _, one = np.unique(w, return_index=True)
-                        w, v, at = w[one], v[one], np.full(len(one), -1)
-                    for c, x in zip(columns, (w, v, np.full(len(w), i, np.int64), np.full(len(w), t, np.int64), at.astype(np.int32)), strict=True):
-                        c.append(x)
-                    size += len(w)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["w", "v", "id", "t", "p"])
-                    columns, size = [[], [], [], [], []], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["w", "v", "id", "t", "p"])
+            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for first, words, owner, place, at, low in _steps(batch.column(1).to_pylist(), window):
+                may = np.flatnonzero(may_hold(shared.value, low))
+                if len(may):
+                    w, v = run_hashes_at(words, at[may], window)
+                    row = first + owner[may]
+                    p = place[may].astype(np.int32) if places else np.full(len(may), -1, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int32)), pa.array(ids[row]), pa.array(marks[row]), pa.array(p)], ["w", "v", "id", "t", "p"])
 
     return texts.mapInArrow(run, "w long, v int, id long, t long, p int")
 

@@ -30,7 +30,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 .. n of the base and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) <= n:
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 21), b, np.uint64)]) for b in (_BASE, _INVERSE)]
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 19), b, np.uint64)]) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
@@ -63,6 +63,16 @@ def run_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def run_hashes_at(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, of 64 and 32 bits, of the runs of n words that begin at the given places."""
+    w, v = np.full(len(at), 2, np.uint64), np.full(len(at), 3, np.uint64)
+    for k in range(n):
+        x = words[at + k]
+        w = w * np.uint64(_BASE | 1) + x
+        v = v * np.uint64(0xC2B2AE3D27D4EB4F) + (x ^ (x >> np.uint64(29)))
+    return mix(w), (mix(v) >> np.uint64(32)).astype(np.uint32)
+
+
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; all words as one if there are fewer."""
     if not len(words):
