@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
@@ -125,6 +125,25 @@ def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parted(df: DataFrame, hashes: Column, words: np.ndarray, alone) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose hash a filter may hold, as they are, and ``alone`` of the others' batches.
+
+    ``alone`` is (function on batches, schema of its result). Each side is one
+    pass of its own, so that a task needs one Python worker.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    run, schema = alone
+
+    def only(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns - 1
+            held = may_hold(shared.value, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield batch.select(list(range(n))).filter(pa.array(held if wanted else ~held))
+
+    marked = df.withColumn("_hash_", hashes)
+    return marked.mapInArrow(lambda batches: only(batches, True), df.schema), marked.mapInArrow(lambda batches: run(only(batches, False)), schema)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
     gc.collect()

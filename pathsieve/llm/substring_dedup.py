@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, release, small_batches, table
+from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, parted, release, small_batches, table
 from pathsieve.llm.words import run_hashes, run_hashes_at, word_hashes
 
 #: Words of a fingerprint; shorter than the window.
@@ -186,10 +186,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     new = ["n_words", "n_removed", "kept"]
     rest = df.drop(*new)
     starts = repeated_windows(df, id_col, text, window, batches)
-    shared = df.sparkSession.sparkContext.broadcast(filter_of(starts.select(F.xxhash64("id", "t").alias("h")), "h"))
     kept_columns = rest.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (columns, id, t, text, starts)."""
         for batch in batches:
             texts = batch.column(batch.num_columns - 2).to_pylist()
             places = batch.column(batch.num_columns - 1)
@@ -205,21 +205,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
                 counts.append(len(words) + gone)
                 removed.append(gone)
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*kept_columns, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*kept_columns, *new])
 
-    @F.pandas_udf("boolean")
-    def may_lose(h):
-        import pandas as pd
-
-        return pd.Series(may_hold(shared.value, h.to_numpy(np.int64)))
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return apply(b.append_column("_starts_", pa.nulls(b.num_rows)) for b in batches)
 
     schema = T.StructType([*(rest.schema[c] for c in kept_columns), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     marked = rest.withColumns({"_id_": F.col(id_col).cast("long"), "_t_": F.xxhash64(text), "_text_": F.col(text).cast("string")})
-    marked = marked.withColumn("_may_", may_lose(F.xxhash64("_id_", "_t_")))
-    joined = marked.where("_may_").join(starts.select(F.col("id").alias("_id_"), F.col("t").alias("_t_"), F.col("starts").alias("_starts_")), ["_id_", "_t_"], "left")
-    alone = marked.where("not _may_").withColumn("_starts_", F.lit(None).cast("array<int>"))
-    columns = [*kept_columns, "_text_", "_starts_"]
-    return joined.select(*columns).mapInArrow(apply, schema).unionByName(alone.select(*columns).mapInArrow(apply, schema))
+    may, alone = parted(marked, F.xxhash64("_id_", "_t_"), filter_of(starts.select(F.xxhash64("id", "t").alias("h")), "h"), (unchanged, schema))
+    joined = may.join(starts.select(F.col("id").alias("_id_"), F.col("t").alias("_t_"), F.col("starts").alias("_starts_")), ["_id_", "_t_"], "left")
+    return joined.select(*kept_columns, "_id_", "_t_", "_text_", "_starts_").mapInArrow(apply, schema).unionByName(alone)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathsieve.llm.common import bounded_steps, durable, filter_of, groups_of, may_hold, release, small_batches, table
+from pathsieve.llm.common import bounded_steps, durable, filter_of, groups_of, may_hold, parted, release, small_batches, table
 from pathsieve.llm.suffix_sort import repeated
 from pathsieve.llm.words import _BYTES, mix, powers
 
@@ -166,11 +166,11 @@ def dedup(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
     rest = df.drop(*new)
     columns = rest.columns
     runs = repeats(df, text, window)
-    shared = df.sparkSession.sparkContext.broadcast(filter_of(runs.select(F.xxhash64("t").alias("h")), "h"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of (columns, text, key, runs)."""
         for batch in batches:
-            raws, found = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            raws, found = batch.column(batch.num_columns - 3).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             rows = []
             for whole, spans in zip(raws, found, strict=True):
                 raw = (whole or "").encode()
@@ -185,21 +185,16 @@ def dedup(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(raw), len(raw) - len(kept), len(joined), kept))
             arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *arrays], [*columns, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *arrays], [*columns, *new])
 
-    @F.pandas_udf("boolean")
-    def may_lose(h):
-        import pandas as pd
-
-        return pd.Series(may_hold(shared.value, h.to_numpy(np.int64)))
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return apply(b.append_column("_runs_", pa.nulls(b.num_rows)) for b in batches)
 
     schema = T.StructType([*(rest.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in new[:3]), T.StructField("kept", T.BinaryType())])
     marked = rest.withColumns({"_text_": F.col(text).cast("string"), "_t_": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))})
-    marked = marked.withColumn("_may_", may_lose(F.xxhash64("_t_")))
-    joined = marked.where("_may_").join(runs.select(F.col("t").alias("_t_"), F.col("runs").alias("_runs_")), "_t_", "left")
-    alone = marked.where("not _may_").withColumn("_runs_", F.lit(None).cast(runs.schema["runs"].dataType))
-    order = [*columns, "_text_", "_runs_"]
-    return joined.select(*order).mapInArrow(apply, schema).unionByName(alone.select(*order).mapInArrow(apply, schema))
+    may, alone = parted(marked, F.xxhash64("_t_"), filter_of(runs.select(F.xxhash64("t").alias("h")), "h"), (unchanged, schema))
+    joined = may.join(runs.select(F.col("t").alias("_t_"), F.col("runs").alias("_runs_")), "_t_", "left")
+    return joined.select(*columns, "_text_", "_t_", "_runs_").mapInArrow(apply, schema).unionByName(alone)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

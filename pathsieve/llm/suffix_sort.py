@@ -76,12 +76,11 @@ def _types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rising, np.diff(np.r_[-1, ends]))
 
 
-def _packed(text: np.ndarray) -> np.ndarray:
-    """The seven symbols from each position on, nine bits each, as one number."""
-    padded = np.r_[text.astype(np.int64), np.zeros(7, np.int64)]
-    out = np.zeros(len(text), np.int64)
+def _packed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The seven symbols from each place on, nine bits each, as one number."""
+    out = np.zeros(len(at), np.uint64)
     for k in range(7):
-        out = out << 9 | padded[k: k + len(text)]
+        out = out << np.uint64(9) | np.where(at + k < len(text), text[np.minimum(at + k, len(text) - 1)], 0).astype(np.uint64)
     return out
 
 
@@ -99,7 +98,6 @@ def _ranks(keys: tuple) -> np.ndarray:
 
 def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
     """The seeds in the order of the first ``depth`` symbols of their suffixes."""
-    packed = _packed(text)
     length = np.diff(np.r_[seeds, len(text)]) + 1  # a piece reaches to the first symbol of the next
     length[-1] = 1
     rank = np.zeros(len(seeds), np.int64)
@@ -108,7 +106,7 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray
         left = length - at
         word = np.full(len(seeds), 1 << 63, np.uint64)
         some = left > 0
-        full = packed[np.minimum(seeds[some] + at, len(text) - 1)].astype(np.uint64)
+        full = _packed(text, seeds[some] + at)
         short = np.clip(7 - left[some], 0, 7).astype(np.uint64) * np.uint64(9)
         word[some] = full | ((np.uint64(1) << short) - np.uint64(1))
         rank = _ranks((rank, word))
