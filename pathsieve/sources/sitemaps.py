@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes in which the beginning of a sitemap must show, and rows a task sends at once.
 PREAMBLE_BYTES, ROWS = 500, 20_000
+#: Names in the seeded corpus (fixed values).
+CATEGORIES, STATIC_PAGES, SECTIONS = ("tools", "parts", "fasteners", "seals", "bearings"), ("/about", "/contact", "/terms", "/privacy", "/shipping"), 300
 SCHEMA = "file_url string, root_element string, ordinal int, loc string, had_preamble boolean, error string"
 
 
@@ -153,12 +155,16 @@ def generate_url_corpus(spark: SparkSession, n: int, seed: int = 42, per_file: i
     def draw(k: int, below: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(below))
 
+    def one_of(k: int, names: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, names)), (draw(k, len(names)) + 1).cast("int"))
+
     share, number = draw(0, 100), F.col("id").cast("string")
-    category = F.element_at(F.array(*map(F.lit, ("seals", "bearings", "gaskets", "valves", "fittings"))), (draw(1, 5) + 1).cast("int"))
+    category = one_of(1, CATEGORIES)
     path = (
-        F.when(share < 55, F.concat(F.lit("/part/"), number)).when(share < 75, F.concat(F.lit("/shop/"), category, F.lit("/item-"), number))
-        .when(share < 85, F.concat(F.lit("/section-"), draw(2, 300).cast("string"), F.lit("/page/"), number)).when(share < 93, F.concat(F.lit("/search?q="), number))
-        .when(share < 95, F.concat(F.lit("/legacy/discontinued/"), number)).when(share < 98, F.concat(F.lit("/catalog/v2/"), category, F.lit("/item/"), number))
-        .otherwise(F.element_at(F.array(*map(F.lit, ("/about", "/contact", "/terms"))), (draw(3, 3) + 1).cast("int")))
+        F.when(share < 55, F.concat(F.lit("/part/"), (F.col("id") + 100_000).cast("string"))).when(share < 75, F.concat(F.lit("/shop/"), category, F.lit("/"), number))
+        .when(share < 85, F.concat(F.lit("/section-"), draw(2, SECTIONS).cast("string"), F.lit("/page/"), number))
+        .when(share < 93, F.concat(F.lit("/search?q=item-"), number, F.lit("&page="), F.pmod("id", F.lit(20)).cast("string")))
+        .when(share < 95, F.concat(F.lit("/legacy/discontinued/"), number))
+        .when(share < 98, F.concat(F.lit("/catalog/"), category, F.lit("/"), F.pmod("id", F.lit(500)).cast("string"), F.lit("/detail/"), number)).otherwise(one_of(3, STATIC_PAGES))
     )
     return spark.range(n).select(F.floor(F.col("id") / per_file).cast("int").alias("file_id"), F.pmod("id", F.lit(per_file)).cast("int").alias("ordinal"), F.concat(F.lit("https://example.com"), path).alias("loc"))
