@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pathsieve.operators.probes import COOLDOWN_S, FORBIDDEN, TOO_MANY
@@ -62,35 +63,22 @@ def stream_refusal_circuits(probes: DataFrame) -> DataFrame:
     return probes.groupBy("host").transformWithStateInPandas(RefusalCircuit(), outputStructType="host string, opened_seq long, reason string", outputMode="Append", timeMode="None")
 
 
-class StaleRun(StatefulProcessor):
-    """Per run: a timer that the next heartbeat moves; when it fires, the run is stale."""
-
-    def __init__(self, minutes: int):
-        self.minutes = minutes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(pdf["heartbeat_ms"].max() for pdf in rows)
-        due = int(newest) + self.minutes * 60_000
-        if self.due.exists():
-            due = max(due, int(self.due.get()[0]))
-            self.handle.deleteTimer(int(self.due.get()[0]))
-        self.due.update((due,))
-        self.handle.registerTimer(due)
-        yield pd.DataFrame({"run_id": pd.Series([], dtype=str), "stale_ms": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.due.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "stale_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_stale_runs(heartbeats: DataFrame, minutes: int = 15, late: str = "1 minute") -> DataFrame:
-    """(run_id, stale_ms) of runs without a heartbeat (run_id, heartbeat_at) for so long, by event time."""
+    """(run_id, stale_ms) of runs without a heartbeat (run_id, heartbeat_at) for so long, by event time.
+
+    A run's state is when it will be stale; each heartbeat moves its timeout.
+    """
+
+    def watch(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"run_id": [key[0]], "stale_ms": [at]})
+            return
+        due = max(int(pdf["heartbeat_ms"].max()) for pdf in rows) + minutes * 60_000
+        due = max(due, state.get[0]) if state.exists else due
+        state.update((due,))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
     rows = heartbeats.withWatermark("heartbeat_at", late).withColumn("heartbeat_ms", F.unix_millis("heartbeat_at"))
-    return rows.groupBy("run_id").transformWithStateInPandas(StaleRun(minutes), outputStructType="run_id string, stale_ms long", outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("run_id").applyInPandasWithState(watch, "run_id string, stale_ms long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
