@@ -29,5 +29,37 @@ def queries() -> dict:
     }
 
 
+WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.vec_id),
+m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept, 1.0::DOUBLE AS recall FROM m LEFT JOIN n USING (vec_id)"""
+
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.sh) + len(sb.sh) - n)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, c.r FROM c JOIN u ON u.a = c.doc_id)
+SELECT s.doc_id, len(any_value(sh)) AS n_shingles, min(r) AS component_id FROM s JOIN c USING (doc_id) GROUP BY s.doc_id"""
+
+OP10_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+k AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) AS first_doc FROM k GROUP BY 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 13)))) AS gone FROM k JOIN f USING (k) WHERE first_doc < doc_id GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, len(coalesce(gone, [])) AS n_removed,
+    sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_nn_descent": OP1_SQL, "op7_ngram_join": OP7_SQL, "op10_substring_dedup": OP10_SQL}
