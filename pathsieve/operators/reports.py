@@ -45,6 +45,13 @@ def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def by_id(df: DataFrame, **ids: str) -> DataFrame:
+    """Point look-up: ``by_id(runs, site_id="s1", run_id="r1")``."""
+    for column, value in ids.items():
+        df = df.where(F.col(column) == value)
+    return df
+
+
 # joins
 
 def findings_with_pattern(findings: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -322,11 +329,11 @@ def site_analytics(runs: DataFrame, health: DataFrame, patterns: DataFrame, wind
     return health_series(health, windows), run_status_slices(runs), count_patterns_by_status(patterns)
 
 
-def pattern_detail(pattern: DataFrame, findings: DataFrame, observations: DataFrame, populations: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """The pages of one pattern's report: newest findings (20) and observations (200), and its files."""
-    key = ["site_id", "pattern_id"]
-    own = {name: lookup(df, pattern.select(F.concat_ws("|", *key).alias("_k")), "_k").drop("_k") for name, df in (("findings", findings.withColumn("_k", F.concat_ws("|", *key))), ("observations", observations.withColumn("_k", F.concat_ws("|", *key))), ("populations", populations.withColumn("_k", F.concat_ws("|", *key))))}
+def pattern_detail(site_id: str, pattern_id: str, findings: DataFrame, observations: DataFrame, populations: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The pages of one pattern's report: newest findings (20) and observations (200), its files and its population from them."""
+    key = {"site_id": site_id, "pattern_id": pattern_id}
+    own = by_id(populations, **key)
     return {
-        "findings": own["findings"].orderBy(F.desc("computed_at"), "finding_id").limit(20), "observations": list_run_observations(own["observations"], 200),
-        "files": populations_with_file(own["populations"], files).orderBy(F.desc("url_count"), "file_id"), "population": sum_pattern_population(own["populations"]),
+        "findings": by_id(findings, **key).orderBy(F.desc("computed_at"), "finding_id").limit(20), "observations": list_run_observations(by_id(observations, **key), 200),
+        "files": populations_with_file(own, files).orderBy(F.desc("url_count"), "file_id"), "population": sum_pattern_population(own),
     }

@@ -9,6 +9,7 @@ from pathsieve.functions import status as st
 from pathsieve.functions import urls as ur
 from pathsieve.operators import checks, estimate, patterns, probes, reports, sampling, upserts
 from pathsieve.plans.derived import oracle, table
+from pathsieve.sources import sitemaps, tables
 
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 HOST = "lower(regexp_extract(trim({x}), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
@@ -45,6 +46,35 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return f.withColumn("finding_id", F.concat_ws(":", "pattern_id", F.col("http_status").cast("string"), F.col("is_soft_404").cast("string")))
 
 
+# sources and exports
+
+@query("a5_assess_size", "SELECT count(*) AS files, cast(sum(url_count) AS bigint) AS urls, 'OVERSIZE_SOFT_LIMIT' AS reason, 'degraded' AS verdict, round(greatest(0.1::DOUBLE, 100.0::DOUBLE / sum(url_count)), 8) AS sample_multiplier FROM sitemap_file")
+def _(spark, sf):
+    return sitemaps.assess_size(table(spark, sf, "sitemap_file"), soft_urls=100.0).withColumn("sample_multiplier", F.round("sample_multiplier", 8))
+
+
+@query("a6_url_lines", "SELECT file_id, line, trim(raw) AS url FROM (SELECT doc_id AS file_id, unnest(range(0, len(l))) AS line, unnest(l) AS raw FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents)) WHERE trim(raw) <> ''")
+def _(spark, sf):
+    return sitemaps.read_url_lines(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("value")))
+
+
+@query("a6_line_counts", "SELECT count(*) AS submitted, count(*) FILTER (trim(raw) = '') AS blank, count(*) FILTER (trim(raw) <> '') AS analysed FROM (SELECT unnest(string_split_regex(text, '\\r?\\n')) AS raw FROM documents)")
+def _(spark, sf):
+    return sitemaps.line_counts(table(spark, sf, "documents").select(F.col("text").alias("value")))
+
+
+@query("a8_observation_rows", "SELECT url, pattern_id AS pattern, http_status, 'HEAD' AS method, escalated_to_get, is_soft_404, cast(NULL AS string) AS error_reason, response_ms, strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS observed_at FROM observation")
+def _(spark, sf):
+    o = table(spark, sf, "observation").withColumns({"pattern": F.col("pattern_id"), "method": F.lit("HEAD"), "error_reason": F.lit(None).cast("string")})
+    return tables.observation_rows(o)
+
+
+@query("a9_portfolio_rows", "SELECT s.site_id, s.tier, r.run_id, r.status AS run_status FROM site s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC NULLS LAST, created_at DESC, run_id DESC) AS n FROM sitemap_run) WHERE n = 1) r USING (site_id) WHERE s.is_active AND s.deleted_at IS NULL")
+def _(spark, sf):
+    sites = table(spark, sf, "site").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    return reports.portfolio(sites, table(spark, sf, "sitemap_run"), findings(spark, sf)).select(*tables.PORTFOLIO_COLUMNS).select("site_id", "tier", "run_id", "run_status")
+
+
 # scalar functions
 
 @query("b1_normalize_host", f"SELECT page_id, regexp_replace({HOST.format(x='url')}, '^www\\.', '') AS host FROM pages")
@@ -593,6 +623,20 @@ def _(spark, sf):
     return reports.run_report(table(spark, sf, "sitemap_run"), table(spark, sf, "sitemap_file"), table(spark, sf, "pattern"), table(spark, sf, "observation")).select("run_id", "total_urls", "previous_urls")
 
 
+@query("k8_site_analytics", "SELECT status, count(*) AS n, cast(sum(population_count) AS bigint) AS population FROM pattern WHERE site_id = 's3' GROUP BY 1")
+def _(spark, sf):
+    h = table(spark, sf, "observation").groupBy("site_id", F.date_trunc("day", "observed_at").alias("window_start")).agg(F.count("*").alias("http_requests"))
+    _, _, statuses = reports.site_analytics(table(spark, sf, "sitemap_run"), h, reports.scope_site(table(spark, sf, "pattern"), "s3"))
+    return statuses
+
+
+@query("k9_pattern_files", "SELECT file_id, filename, p.url_count AS url_count FROM pattern_population p JOIN sitemap_file f USING (site_id, file_id) WHERE site_id = 's2' AND pattern_id = 'p7'")
+def _(spark, sf):
+    f = findings(spark, sf).withColumn("computed_at", F.lit("2024-01-01").cast("timestamp"))
+    detail = reports.pattern_detail("s2", "p7", f, table(spark, sf, "observation"), table(spark, sf, "pattern_population"), table(spark, sf, "sitemap_file").drop("url_count"))
+    return detail["files"].select("file_id", "filename", "url_count")
+
+
 @query("k10_list_runs", "SELECT run_id, status FROM sitemap_run ORDER BY started_at DESC NULLS LAST, run_id DESC LIMIT 100")
 def _(spark, sf):
     return reports.list_runs(table(spark, sf, "sitemap_run"), 100).select("run_id", "status")
@@ -605,6 +649,11 @@ def _(spark, sf):
 
 # upserts and checks
 
+@query("l4_distinct_children", "SELECT url, count(*) AS n FROM (SELECT DISTINCT url FROM observation) GROUP BY 1")
+def _(spark, sf):
+    return upserts.distinct_children(table(spark, sf, "observation")).groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query("l1_append_new", "SELECT min(observation_id) AS observation_id, sample_id, url FROM observation WHERE observation_id % 3 <> 0 AND (sample_id, url) NOT IN (SELECT (sample_id, url) FROM observation WHERE observation_id % 3 = 0) GROUP BY sample_id, url")
 def _(spark, sf):
     o = table(spark, sf, "observation").select("observation_id", "sample_id", "url")
@@ -674,6 +723,14 @@ def _(spark, sf):
     return run_tallies(spark, sf)
 
 
+@query("m3_stream_circuits")
+def _(spark, sf):
+    """The same openings as ``g4_refusal_circuits``, from the stream."""
+    from pathsieve.streaming.runs import run_circuits
+
+    return run_circuits(spark, sf)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -51,3 +51,22 @@ def run_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/table")
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return rows.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select(*keys, "n")
+
+
+def run_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of refusal circuits in the probe log, read as a stream; the state store is RocksDB while it runs."""
+    from pathsieve.streaming.jobs import stream_refusal_circuits
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    name = f"events_{uuid.uuid4().hex}"
+    events.createOrReplaceTempView(name)
+    probes = spark.sql(TABLES["probe"].replace("FROM events", f"FROM {name}")).select("host", "seq", (F.col("seq") * 30.0).cast("double").alias("at"), F.col("status").cast("long").alias("status"))
+    path, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream_refusal_circuits(probes).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/table")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("host string, opened_seq long, reason string").parquet(f"{path}/table")
