@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pathsieve.llm.common import bounded_steps, small_batches, table
 
 #: Pre-tokens a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 #: Code points per block of the scan.
 BLOCK = 128
 

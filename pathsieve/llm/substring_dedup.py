@@ -13,7 +13,6 @@ than ``MAX_RUNS`` runs, they are compacted into one.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
