@@ -46,10 +46,11 @@ def _looks_variable(children, observed):
     return (children > MANY) | ((observed >= OBSERVED) & (children / observed >= RATIO))
 
 
-def _nodes(paths: DataFrame) -> DataFrame:
-    """(depth, parent, segment, node, observed, below): every prefix with the URLs through it and those that go on below it."""
+def _nodes(paths: DataFrame, low: int, high: int) -> DataFrame:
+    """(depth, parent, segment, node, observed, below): every prefix of these depths with the URLs through it and those that go on below it."""
     parts = paths.where("path <> ''").select(F.split("path", SEP).alias("s"), "n")
-    each = parts.select("s", "n", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("depth"))
+    depths = F.when(F.size("s") >= low, F.sequence(F.lit(low), F.least(F.size("s"), F.lit(high))))
+    each = parts.select("s", "n", F.explode(depths).alias("depth"))
     each = each.select(
         "depth", F.array_join(F.slice("s", 1, F.col("depth") - 1), SEP).alias("parent"), F.get(F.col("s"), F.col("depth") - 1).alias("segment"),
         F.array_join(F.slice("s", 1, F.col("depth")), SEP).alias("node"), "n", F.when(F.size("s") > F.col("depth"), F.col("n")).otherwise(0).alias("go_on"),
@@ -80,11 +81,11 @@ def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
     signature = (
         F.when(F.col("param"), F.concat(F.lit("*>"), F.col("inner"))).when(F.col("children").isNull(), "$").when(F.col("children") > NAMED, "*").otherwise(F.col("names"))
     )
-    return own.join(named, "node", "left").join(names, "node", "left").join(at_param, "node", "left").select("parent", "segment", "observed", signature.alias("signature"))
+    return own.join(named, "node", "left").join(names, "node", "left").join(at_param, "node", "left").select("parent", "segment", "observed", (F.col("below") > 0).alias("deep"), signature.alias("signature"))
 
 
 def _collapses(nodes: DataFrame, depth: int, observed: DataFrame) -> DataFrame:
-    """(parent, segment) at a depth that become a parameter. ``observed``: (parent, through), the URLs through each parent."""
+    """(parent, segment, deep) at a depth that become a parameter, and whether anything is below. ``observed``: (parent, through), the URLs through each parent."""
     signed = _signatures(nodes, depth)
     by_parent, by_group = Window.partitionBy("parent"), Window.partitionBy("parent", "signature")
     param = F.max(F.when(F.col("segment") == PARAM, F.col("signature"))).over(by_parent)
@@ -94,7 +95,7 @@ def _collapses(nodes: DataFrame, depth: int, observed: DataFrame) -> DataFrame:
     fresh = F.col("param_signature").isNull() & _looks_variable(F.col("fan"), F.col("through")) & ((F.col("kinds") == 1) | _looks_variable(F.col("alike"), F.col("through")))
     # what looks like the parameter beside it belongs to it
     straggler = F.col("param_signature").isNotNull() & (F.col("signature") == F.col("param_signature"))
-    return signed.where(literal & (fresh | straggler)).select("parent", "segment")
+    return signed.where(literal & (fresh | straggler)).select("parent", "segment", "deep")
 
 
 def _rewrite(paths: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
@@ -118,16 +119,18 @@ def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
     rules: DataFrame | None = None
     depth, settled = deepest, 0
     while depth >= 1:
-        nodes = _nodes(paths)
-        through = nodes.select(F.col("node").alias("parent"), "observed") if depth > 1 else paths.agg(F.sum("n").alias("observed")).select(F.lit("").alias("parent"), "observed")
+        # a decision looks at the parents and two levels below
+        nodes = _checkpoint(_nodes(paths, max(1, depth - 1), depth + 2))
+        through = nodes.where(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), "observed") if depth > 1 else paths.agg(F.sum("n").alias("observed")).select(F.lit("").alias("parent"), "observed")
         changed = _checkpoint(_collapses(nodes, depth, through.withColumnRenamed("observed", "through")))
-        if changed.limit(1).count():
-            paths = _checkpoint(_rewrite(paths, changed, depth))
+        deep = changed.agg(F.max("deep")).first()[0]
+        if deep is not None:
+            paths = _checkpoint(_rewrite(paths, changed.drop("deep"), depth))
             step = changed.select(F.lit(settled).alias("step"), F.lit(depth).alias("depth"), "parent", "segment")
             rules = step if rules is None else rules.unionByName(step)
             settled += 1
-            # merged subtrees have new evidence: decide what is below them again
-            depth = deepest
+            # merged subtrees have new evidence: decide what is below them again; else only look for stragglers beside the new parameter
+            depth = deepest if deep else depth
         else:
             depth -= 1
     if rules is None:
