@@ -5,11 +5,12 @@ so far. Lists begin with the neighbours in a few orders of the vectors by the
 signs of random projections, and are refined by local joins: a node introduces
 its neighbours, in both directions, to each other. When all of a node's
 neighbours pass the threshold its list is saturated and may miss links; the lists
-of its component are then enlarged to the whole component, block by block, where
-blocks that lie so close (or so far apart) that all (or none) of their pairs pass
-are counted without comparing. A bounded audit compares some nodes with all others;
-as long as it finds too few of their links, the search is repeated with longer
-lists.
+of its component are then enlarged to all components with such lists, block by
+block, where blocks that lie so close (or so far apart) that all (or none) of their
+pairs pass are counted without comparing, and components with links between them
+become one. A bounded audit compares some nodes, and some of each component, with
+all others; as long as it finds too few of their links, the search is repeated with
+longer lists.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ NEIGHBOURS, ORDERS, CHUNK = 10, 4, 128
 ROUNDS, SETTLED = 8, 0.002
 #: Vectors of a component compared together, and nodes of the audit.
 BLOCK, AUDITED = 1024, 256
+#: Outlines of blocks compared together.
+TILE = 1024
 #: Share of the audited nodes' links that must be found, and longer searches at most.
 RECALL, REPEATS = 0.95, 2
 
@@ -153,8 +155,8 @@ def search(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     return lists
 
 
-def _enlarged(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): links of every node of ``groups`` (id, list) within its group, counted with multiplicity."""
+def _enlarged(nodes: DataFrame, groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, links), (list, list2)) of ``groups`` (id, list): links of every node within all groups, with multiplicity, and groups that a link joins."""
     size = groups.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = groups.join(size, "list").join(nodes, "id")
     rows = durable(rows.select("list", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id", "v", "w", "blocks"))
@@ -171,37 +173,80 @@ def _enlarged(nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFram
 
     outlines = rows.select("list", "block", "id", "v", "w").repartition("list", "block").sortWithinPartitions("list", "block").mapInArrow(outline, "list long, block int, center binary, radius double, weight long")
     outlines = durable(outlines)
-    other = outlines.select("list", *(F.col(c).alias(f"{c}2") for c in ("block", "center", "radius", "weight")))
-
-    @F.pandas_udf("int")
-    def verdict(a: pd.Series, b: pd.Series, r: pd.Series, r2: pd.Series) -> pd.Series:
-        """1: all pairs pass, -1: none does, 0: compare. A margin keeps rounding out of it."""
-        angle = np.array([np.arccos(np.clip(np.frombuffer(x) @ np.frombuffer(y), -1, 1)) for x, y in zip(a, b, strict=True)])
-        return pd.Series(np.where(angle + r + r2 < width - 1e-7, 1, np.where(angle - r - r2 > width + 1e-7, -1, 0)).astype("int32"))
-
-    pairs = durable(outlines.join(other, "list").where("block <= block2").withColumn("verdict", verdict("center", "center2", "radius", "radius2")).select("list", "block", "block2", "weight", "weight2", "verdict"))
+    # every outline meets every other, tile by tile: groups that the lists hold apart may have links between them
+    tiles = max(1, -(-outlines.count() // TILE))
+    tile = F.pmod(F.xxhash64("list", "block"), F.lit(tiles)).cast("int")
+    dealt = outlines.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select(F.length("center").alias("bytes"), F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("t2"), "tile", "list", "block", "center", "radius", "weight")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """verdict 1: all pairs of two blocks pass, 0: compare; where none does, there is no row. A margin keeps rounding out of it."""
+        for (_, t, t2), (own, group, block, center, radius, weight) in groups_of(batches, 3):
+            own, group, block, radius, weight, unit = np.array(own), np.array(group, np.int64), np.array(block, np.int32), np.array(radius), np.array(weight, np.int64), _matrix(center)
+            a, b = np.flatnonzero(own == t), np.flatnonzero(own == t2)
+            angle = np.arccos(np.clip(unit[a] @ unit[b].T, -1, 1))
+            reach = radius[a][:, None] + radius[b][None, :]
+            i, j = np.nonzero(angle - reach <= width + 1e-7)
+            sure = (angle + reach < width - 1e-7)[i, j]
+            i, j = a[i], b[j]
+            late = (group[i] > group[j]) | ((group[i] == group[j]) & (block[i] > block[j]))
+            if t == t2:
+                i, j, sure = i[~late], j[~late], sure[~late]
+            else:
+                i, j = np.where(late, j, i), np.where(late, i, j)
+            raw = pa.array(center, pa.binary())
+            for at in range(0, len(i), TILE):  # few at a time, since a pair carries both centers
+                p, q = i[at: at + TILE], j[at: at + TILE]
+                yield pa.RecordBatch.from_arrays([
+                    *(x for k in (p, q) for x in (pa.array(group[k]), pa.array(block[k]), raw.take(pa.array(k)), pa.array(radius[k]), pa.array(weight[k]))), pa.array(sure[at: at + TILE].astype(np.int32))
+                ], [*(f"{c}{k}" for k in ("", "2") for c in ("list", "block", "center", "radius", "weight")), "verdict"])
+
+    keys = ["bytes", "t", "t2"]
+    schema = ", ".join(f"list{k} long, block{k} int, center{k} binary, radius{k} double, weight{k} long" for k in ("", "2")) + ", verdict int"
+    pairs = durable(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, schema))
+    itself = (F.col("list") == F.col("list2")) & (F.col("block") == F.col("block2"))
     sure = pairs.where("verdict = 1")
-    sure = sure.select("list", "block", F.col("weight2").alias("links")).unionByName(sure.where("block < block2").select("list", F.col("block2").alias("block"), F.col("weight").alias("links")))
+    sure = sure.select("list", "block", F.col("weight2").alias("links")).unionByName(sure.where(~itself).select(F.col("list2").alias("list"), F.col("block2").alias("block"), F.col("weight").alias("links")))
     sure = rows.join(sure.groupBy("list", "block").agg(F.sum("links").alias("links")), ["list", "block"]).select("id", "links", "w")
     # a node's own block holds the node itself, once for each of its rows; that is taken off at the end
-    open_pairs = pairs.where("verdict = 0").select("list", "block", "block2")
-    sides = open_pairs.select("list", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("own"))
-    shipped = sides.join(rows.withColumnRenamed("block", "own"), ["list", "own"]).select("list", "block", "block2", "own", "id", "v", "w")
+    keys = ["list", "block", "list2", "block2"]
+    open_pairs = pairs.where("verdict = 0")
+    sides = open_pairs.select(*keys, F.lit(1).alias("side"), F.col("list").alias("own"), F.col("block").alias("part"), F.col("center2").alias("center"), F.col("radius2").alias("radius"))
+    sides = sides.unionByName(open_pairs.where(~itself).select(*keys, F.lit(2).alias("side"), F.col("list2").alias("own"), F.col("block2").alias("part"), "center", "radius"))
+    shipped = sides.join(rows.select(F.col("list").alias("own"), F.col("block").alias("part"), "id", "v", "w"), ["own", "part"]).select(*keys, "side", "id", "v", "w", "center", "radius")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that may reach the other block."""
+        for batch in batches:
+            if batch.num_rows:
+                raw, centers = batch.column("v").to_pylist(), batch.column("center").to_pylist()
+                lengths = np.array([len(x) for x in raw])
+                keep = np.zeros(len(raw), bool)
+                for n in np.unique(lengths).tolist():
+                    at = np.flatnonzero(lengths == n)
+                    cosine = (_unit(_matrix([raw[i] for i in at])) * _matrix([centers[i] for i in at])).sum(1)
+                    keep[at] = np.arccos(np.clip(cosine, -1, 1)) <= width + batch.column("radius").to_numpy()[at] + 1e-7
+                yield batch.select([*keys, "side", "id", "v", "w"]).filter(pa.array(keep))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, block, block2), (own, ids, raw, weights) in groups_of(batches, 3):
-            own, ids, unit, weights = np.array(own), np.array(ids, np.int64), _unit(_matrix(raw)), np.array(weights, np.int64)
-            a = np.flatnonzero(own == block)
-            b = np.flatnonzero(own == block2)
+        for (group, block, group2, block2), (side, ids, raw, weights) in groups_of(batches, 4):
+            side, ids, unit, weights = np.array(side), np.array(ids, np.int64), _unit(_matrix(raw)), np.array(weights, np.int64)
+            same = (group, block) == (group2, block2)
+            a = np.flatnonzero(side == 1)
+            b = a if same else np.flatnonzero(side == 2)
             passed = unit[a] @ unit[b].T >= threshold
-            links = [(ids[a], passed @ weights[b])] + ([(ids[b], weights[a] @ passed)] if block != block2 else [])
+            links = [(ids[a], passed @ weights[b])] + ([] if same else [(ids[b], weights[a] @ passed)])
+            joined = group != group2 and passed.any()
             for i, n in links:
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n.astype(np.int64))], ["id", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n.astype(np.int64)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], ["id", "links", "list", "list2"])
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([group], pa.int64()), pa.array([group2], pa.int64())], ["id", "links", "list", "list2"])
 
-    keys = ["list", "block", "block2"]
-    compared = shipped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "id long, links long")
-    total = sure.select("id", "links").unionByName(compared).groupBy("id").agg(F.sum("links").alias("links"))
-    return total.join(nodes.select("id", "w"), "id").select("id", (F.col("links") - F.col("w")).alias("links"))
+    shipped = shipped.mapInArrow(near, "list long, block int, list2 long, block2 int, side int, id long, v binary, w long")
+    compared = durable(shipped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "id long, links long, list long, list2 long"))
+    total = sure.select("id", "links").unionByName(compared.where("id is not null").select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    bridges = compared.where("id is null").select("list", "list2").unionByName(pairs.where("verdict = 1 and list <> list2").select("list", "list2")).distinct()
+    return total.join(nodes.select("id", "w"), "id").select("id", (F.col("links") - F.col("w")).alias("links")), bridges
 
 
 def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -211,15 +256,31 @@ def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tupl
     full = edges.groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("id"))
     saturated = full.join(roots, "id").select(F.col("root").alias("list")).distinct()
     groups = roots.withColumnRenamed("root", "list").join(saturated, "list").select("id", "list")
-    enlarged = _enlarged(nodes, groups, threshold)
+    enlarged, bridges = _enlarged(nodes, groups, threshold)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     plain = both.join(groups.select(F.col("id").alias("a")), "a", "left_anti").join(nodes.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("links"))
-    return durable(enlarged.select("id", "links").unionByName(plain)), roots
+    links = durable(enlarged.select("id", "links").unionByName(plain))
+    bridges = durable(bridges)
+    if not bridges.isEmpty():
+        merged = connected_components(bridges, "list", "list2").select(F.col("node").alias("root"), F.col("root").alias("least"))
+        roots = durable(roots.join(merged, "root", "left").select("id", F.coalesce("least", "root").alias("root")))
+    return links, roots
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the links of ``AUDITED`` nodes that were found; they are compared with every node."""
-    asked = nodes.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(AUDITED).select("id", "v").collect()
+def audit(nodes: DataFrame, links: DataFrame, roots: DataFrame, threshold: float) -> float:
+    """Share of their links that was found of some nodes that are compared with every node.
+
+    ``AUDITED`` nodes are drawn from all, and as many components have one node
+    drawn from each. The least of three shares counts: of all links of the first,
+    the mean by node of the first, and the mean by node of the second, where a
+    large group weighs no more than a small one.
+    """
+    drawn = F.xxhash64("id", F.lit(9))
+    some = nodes.orderBy(drawn, "id").limit(AUDITED).select("id")
+    each = roots.groupBy("root").agg(F.min_by("id", F.struct(drawn.alias("h"), F.col("id"))).alias("id")).orderBy(drawn, "id").limit(AUDITED).select("id")
+    chosen = some.withColumn("of_all", F.lit(True)).unionByName(each.withColumn("of_all", F.lit(False))).groupBy("id").agg(F.bool_or("of_all").alias("of_all"), F.bool_or(~F.col("of_all")).alias("of_each"))
+    chosen = durable(chosen)
+    asked = nodes.join(chosen, "id").select("id", "v").collect()
     if not asked:
         return 1.0
     ids, raw = [r.id for r in asked], [bytes(r.v) for r in asked]
@@ -236,8 +297,10 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(((passed & ~same) @ weight[at]).astype(np.int64))], ["id", "n"])
 
     true = nodes.select("id", "v", "w").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    row = true.join(links, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("n"))).alias("found")).first()
-    return row.found / row.n if row.n else 1.0
+    found = true.where("n > 0").join(chosen, "id").join(links, "id", "left").select("n", "of_all", "of_each", F.least(F.coalesce("links", F.lit(0)), F.col("n")).alias("found"))
+    share = F.col("found") / F.col("n")
+    shares = found.agg(F.sum(F.when(F.col("of_all"), F.col("found"))) / F.sum(F.when(F.col("of_all"), F.col("n"))), F.avg(F.when(F.col("of_all"), share)), F.avg(F.when(F.col("of_each"), share))).first()
+    return min((x for x in shares if x is not None), default=1.0)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -253,7 +316,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     k = NEIGHBOURS
     for attempt in range(REPEATS + 1):
         links, roots = _links(nodes, search(nodes, k, attempt), k, threshold)
-        recall = audit(nodes, links, threshold)
+        recall = audit(nodes, links, roots, threshold)
         if recall >= RECALL:
             break
         k *= 2

@@ -41,3 +41,23 @@ def test_against_all_pairs(spark, monkeypatch, block):
 def test_nothing_to_link(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_duplicates(df).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_links_between_groups_with_full_lists(spark, monkeypatch, tile):
+    monkeypatch.setattr(nn_descent, "TILE", tile, raising=False)
+    random = np.random.default_rng(7)
+    q = np.linalg.qr(random.standard_normal((64, 64)))[0]
+    halves = [q[0], 0.945 * q[0] + np.sqrt(1 - 0.945**2) * q[1]]
+    rows = [h + random.standard_normal(64) * 0.005 for h in halves for _ in range(20)] + [q[2] + random.standard_normal(64) * 0.02 for _ in range(400)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    assert near[:40, :40].all() and not near[:40, 40:].any() and near[40:, 40:].all()
+    made = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert [(made[i].n_links, made[i].component_id) for i in range(440)] == [(39, 0)] * 40 + [(399, 40)] * 400
+    # the audit sees links that are missing in small groups, whatever a large one weighs
+    nodes = nn_descent.nodes_of(df, "vec_id", "embedding")
+    links = spark.createDataFrame([(i, 19 if i < 40 else 399) for i in range(440)], "id long, links long")
+    roots = spark.createDataFrame([(i, 0 if i < 20 else 20 if i < 40 else 40) for i in range(440)], "id long, root long")
+    assert nn_descent.audit(nodes, links, roots, 0.9) < 0.95
