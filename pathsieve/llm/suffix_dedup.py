@@ -7,7 +7,9 @@ all others. A run of windows with the same anchor is a chunk. Anchors that occur
 once are dropped, and equal chunks are sorted once, however often they occur.
 What is left are anchors with several different chunks; they are dealt out into
 shards, and each shard's suffixes are sorted by external induced sorting
-(``suffix_sort``), where neighbours that share ``window`` bytes are repeats.
+(``suffix_sort``), where neighbours that share ``window`` bytes are repeats. An
+anchor with more different chunks than a shard holds is split further: its
+windows are grouped by their digests, so no task holds all of it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pathsieve.llm.words import _BYTES, mix, powers
 
 #: Bytes of an anchor.
 GRAM = 32
-#: Bytes that a shard takes; a larger anchor is a shard of its own.
+#: Bytes that a shard takes; the windows of a larger anchor are grouped by digest.
 SHARD_BYTES = 1 << 20
+#: Tasks that one digest's windows are dealt out to.
+SALTS = 16
 
 
 def _chunks(texts: list, window: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,6 +66,34 @@ def _chunks(texts: list, window: int) -> Iterator[tuple[int, bytes, np.ndarray,
             yield i, text, first, np.diff(np.r_[first, count]), grams[place[first]].view(np.int64)
 
 
+def _by_digest(contents: DataFrame, window: int) -> DataFrame:
+    """(c, first, last): runs of windows of chunks (h, c, n, raw) that are in another chunk too. Chunks come repeatedly."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n, raw in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "raw")), strict=True):
+                found = [hashlib.blake2b(raw[j: j + window], digest_size=16).digest() for j in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(found, pa.binary())], ["c", "j", "d"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cs, firsts, lasts = [], [], []
+            for c, js in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                js = np.array(js)
+                new = np.flatnonzero(np.r_[True, np.diff(js) > 1])
+                cs += [c] * len(new)
+                firsts += js[new].tolist()
+                lasts += js[np.r_[new[1:], len(js)] - 1].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["c", "first", "last"])
+
+    # the windows of one chunk differ, since the anchor lies elsewhere in each
+    each = durable(contents.mapInArrow(windows, "c binary, j int, d binary"))
+    again = each.groupBy("d").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("d")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = each.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(again, ["d", "salt"])
+    return hits.groupBy("c").agg(F.array_sort(F.collect_set("j")).alias("js")).mapInArrow(runs, "c binary, first int, last int")
+
+
 def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
     """(t, runs): for each text (by its MD5), the runs [first, last] of window starts that occur elsewhere too."""
     spark = df.sparkSession
@@ -93,8 +125,10 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
 
     keyed = texts.withColumn("t", F.md5("text"))
     places = durable(keyed.mapInArrow(chunks, "h long, c binary, t string, s int, n int"))
-    alike = durable(places.groupBy("c").agg(F.count("*").alias("times"), F.min("h").alias("h")))
-    mixed = alike.groupBy("h").count().where("count > 1").select("h")
+    alike = durable(places.groupBy("c").agg(F.count("*").alias("times"), F.min("h").alias("h"), F.min("n").alias("n")))
+    anchored = durable(alike.groupBy("h").agg(F.count("*").alias("count"), F.sum(F.col("n").cast("long") + window - 1).alias("bytes")).where("count > 1"))
+    mixed = anchored.select("h")
+    large = anchored.where(F.col("bytes") > SHARD_BYTES).select("h")
     open_ = spark.sparkContext.broadcast(filter_of(mixed, "h"))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +165,16 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["c", "first", "last"])
 
-        for _, (cs, ns, raws) in groups_of(batches, 1):
+        def once() -> Iterator[pa.RecordBatch]:
+            """Without repeated chunks, which follow each other."""
+            last = None
+            for batch in batches:
+                cs = batch.column(1).to_pylist()
+                keep = [c != before for c, before in zip(cs, [last, *cs], strict=False)]
+                last = cs[-1] if cs else last
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        for _, (cs, ns, raws) in groups_of(once(), 1):
             group = {c: (n, raw) for c, n, raw in zip(cs, ns, raws, strict=True)}
             own = sum(len(raw) for _, raw in group.values())
             if held and size + own > SHARD_BYTES:
@@ -143,8 +186,15 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
         if held:
             yield finish()
 
-    shards = texts.mapInArrow(contents, "h long, c binary, n int, raw binary").repartition("h").sortWithinPartitions("h")
-    partly = shards.mapInArrow(sort, "c binary, first int, last int")
+    told = texts.mapInArrow(contents, "h long, c binary, n int, raw binary")
+    shards = told
+    some_large = not large.isEmpty()
+    if some_large:
+        told = durable(told)
+        shards = told.join(large, "h", "left_anti")
+    partly = shards.repartition("h").sortWithinPartitions("h", "c").mapInArrow(sort, "c binary, first int, last int")
+    if some_large:
+        partly = partly.unionByName(_by_digest(told.join(large, "h", "left_semi"), window))
     whole = places.join(alike.where("times > 1").select("c"), "c").select("t", F.col("s").alias("first"), (F.col("s") + F.col("n") - 1).alias("last"))
     once = places.join(partly, "c").select("t", (F.col("s") + F.col("first")).alias("first"), (F.col("s") + F.col("last")).alias("last"))
     out = durable(whole.unionByName(once).groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))

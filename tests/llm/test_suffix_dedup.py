@@ -52,3 +52,23 @@ def test_against_all_windows(spark, monkeypatch, shard):
     made = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup(df, window=40).collect())
     assert made == brute([(t or "").encode() for t in texts], 40)
     assert dedup(df.limit(0)).count() == 0
+
+
+def test_one_anchor_never_fills_a_task(spark, monkeypatch, tmp_path):
+    """A phrase in every text, in different surroundings: no shard that is sorted exceeds its bytes."""
+    sort = suffix_dedup.repeated
+
+    def bounded(chunks, starts, window):
+        if sum(map(len, chunks)) > 2000:
+            raise ValueError("a shard is too large")
+        return sort(chunks, starts, window)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "repeated", bounded)
+    pick = random.Random(3)
+    phrase = "".join(pick.choices("abcdefghijkl ", k=36))
+    around = ["".join(pick.choices("abcdefghijkl ", k=30)) for _ in range(4)]
+    texts = ["".join(pick.choices("mnopqrstuv ", k=60)) + pick.choice(around)[pick.randint(0, 20):] + phrase + "".join(pick.choices("mnopqrstuv ", k=60)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup(df, window=40).collect())
+    assert made == brute([t.encode() for t in texts], 40)
