@@ -20,6 +20,8 @@ from pathsieve.functions.urls import PARAM, path_shape
 MANY, OBSERVED, RATIO = 100, 30, 0.6
 #: Children up to which a signature names them (fixed value).
 NAMED = 8
+#: Tasks that the children of one prefix are dealt out to in a join on prefixes.
+SALTS = 16
 #: Separates the segments of a prefix; can't occur in a URL path.
 SEP = "\n"
 
@@ -58,6 +60,20 @@ def _nodes(paths: DataFrame, low: int, high: int) -> DataFrame:
     return each.groupBy("depth", "parent", "segment", "node").agg(F.sum("n").alias("observed"), F.sum("go_on").alias("below"))
 
 
+def _salted(segment: str = "segment"):
+    return F.pmod(F.xxhash64(segment), F.lit(SALTS)).cast("int")
+
+
+def _for_salts(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _few(children: DataFrame, counts: DataFrame) -> DataFrame:
+    """The children of parents that have at most ``NAMED``. ``counts``: (parent, children)."""
+    many = _for_salts(counts.where(F.col("children") > NAMED).select("parent"))
+    return children.withColumn("salt", _salted()).join(many, ["parent", "salt"], "left_anti").drop("salt")
+
+
 def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
     """(parent, segment, signature) of the nodes at a depth: what their children look like."""
     children = nodes.where(F.col("depth") == depth + 1).withColumn("leaf", F.col("below") == 0)
@@ -65,16 +81,17 @@ def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
         F.count("*").alias("children"), F.bool_or(F.col("segment") == PARAM).alias("param"),
         F.count_if(F.col("segment") != PARAM).alias("literals"),
     )
-    few = children.join(named.where((F.col("children") <= NAMED) & ~F.col("param")).select(F.col("node").alias("parent")), "parent", "left_semi")
+    few = _few(children, named.select(F.col("node").alias("parent"), "children"))
     names = few.groupBy(F.col("parent").alias("node")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*")))), "|").alias("names"))
     below_param = nodes.where(F.col("depth") == depth + 1).where(F.col("segment") == PARAM).select(F.col("parent").alias("node"), F.col("node").alias("param_node"), (F.col("below") == 0).alias("param_leaf"))
     # the signature of a parameter child, one level down
     down = nodes.where(F.col("depth") == depth + 2).withColumn("leaf", F.col("below") == 0)
     inner = down.groupBy(F.col("parent").alias("param_node")).agg(
         F.count("*").alias("c2"), F.bool_or(F.col("segment") == PARAM).alias("p2"), F.bool_and(F.when(F.col("segment") == PARAM, F.col("leaf"))).alias("p2_leaf"),
-        F.array_join(F.sort_array(F.slice(F.sort_array(F.collect_set(F.when(F.col("segment") != PARAM, F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*"))))), 1, NAMED)), "|").alias("n2"),
     )
-    at_param = below_param.join(inner, "param_node", "left").withColumn(
+    few_down = _few(down, inner.select(F.col("param_node").alias("parent"), F.col("c2").alias("children")))
+    names2 = few_down.groupBy(F.col("parent").alias("param_node")).agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("segment") != PARAM, F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*"))))), "|").alias("n2"))
+    at_param = below_param.join(inner, "param_node", "left").join(names2, "param_node", "left").withColumn(
         "inner", F.when(F.col("param_leaf"), "$").when(F.col("p2"), F.concat(F.lit("*>"), F.when(F.col("p2_leaf"), "$").otherwise("*"))).when(F.col("c2") > NAMED, "*").otherwise(F.col("n2"))
     ).select("node", "inner")
     own = nodes.where(F.col("depth") == depth).select("parent", "segment", "node", "observed", "below")
@@ -87,15 +104,17 @@ def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
 def _collapses(nodes: DataFrame, depth: int, observed: DataFrame) -> DataFrame:
     """(parent, segment, deep) at a depth that become a parameter, and whether anything is below. ``observed``: (parent, through), the URLs through each parent."""
     signed = _signatures(nodes, depth)
-    by_parent, by_group = Window.partitionBy("parent"), Window.partitionBy("parent", "signature")
-    param = F.max(F.when(F.col("segment") == PARAM, F.col("signature"))).over(by_parent)
-    literal = F.col("segment") != PARAM
-    signed = signed.join(observed, "parent").withColumn("param_signature", param)
-    signed = signed.withColumns({"fan": F.count("*").over(by_parent), "alike": F.count("*").over(by_group), "kinds": F.size(F.collect_set("signature").over(by_parent))})
+    # counts by (parent, signature) decide, so no task holds all children of a parent
+    groups = signed.groupBy("parent", "signature").agg(F.count("*").alias("alike"), F.bool_or(F.col("segment") == PARAM).alias("param"))
+    parents = groups.groupBy("parent").agg(F.sum("alike").alias("fan"), F.count("signature").alias("kinds"), F.max(F.when(F.col("param"), F.col("signature"))).alias("param_signature"))
+    groups = groups.join(parents, "parent").join(observed, "parent")
     fresh = F.col("param_signature").isNull() & _looks_variable(F.col("fan"), F.col("through")) & ((F.col("kinds") == 1) | _looks_variable(F.col("alike"), F.col("through")))
     # what looks like the parameter beside it belongs to it
     straggler = F.col("param_signature").isNotNull() & (F.col("signature") == F.col("param_signature"))
-    return signed.where(literal & (fresh | straggler)).select("parent", "segment", "deep")
+    chosen = _for_salts(groups.where(fresh | straggler).select(F.col("parent").alias("_parent"), F.col("signature").alias("_signature")))
+    literal = signed.where(F.col("segment") != PARAM).withColumn("_salt", _salted())
+    met = (F.col("parent") == F.col("_parent")) & F.col("signature").eqNullSafe(F.col("_signature")) & (F.col("_salt") == F.col("salt"))
+    return literal.join(chosen, met, "left_semi").select("parent", "segment", "deep")
 
 
 def _rewrite(paths: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
