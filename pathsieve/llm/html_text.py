@@ -1,14 +1,14 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks of text at block-level tags. Text that markup itself
-names as boilerplate (scripts, styles, menus, headers, footers, asides, forms,
-blocks whose class or id says advert, sidebar, comment and the like) is never
-part of a block. The first pass decides the remaining blocks by length, link
-density and the density of stop words: many links are boilerplate, running text
-is main text, and a short block stays undecided. In the second pass an undecided
-block takes the label of the nearest decided block; between two labels at the
-same distance a heading goes with what follows it, and any other block is main
-text only if it stands in a content container.
+A page is cut into blocks of text at block-level tags; what a browser doesn't show
+(scripts, styles, hidden elements, controls) is no text. The first pass scores
+every block: length and stop words speak for main text, links against it, a
+content container a little for it, and a name that says advert, menu, comment and
+the like strongly against it. High scores are main text, low ones boilerplate, and
+what lies between, mostly short blocks, stays undecided. In the second pass an
+undecided block takes the label of the nearest decided block of its section;
+between two labels at the same distance a heading goes with what follows it, and
+any other block is main text only if it stands in a content container.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose content is never shown as text.
 DROPPED = frozenset("script style noscript template iframe object svg math canvas head title select option button textarea input label datalist audio video map".split())
-#: Elements that are boilerplate by their name.
+#: Elements whose name speaks against their text.
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block.
@@ -48,40 +49,54 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|byline|captcha|comments?|commentlist|consent|cookies?|copyright|credits?|disqus|dropdown|footer|footnav|gdpr|header|hidden|legal|login|masthead|menu|modal|nav|navbar|navigation|navigation|newsletter|notices?|outbrain|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|shoutbox|sidebar|sidenav|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|topbar|tracking|widget|complementary|contentinfo|alert|alertdialog)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-#: Containers whose undecided blocks count as main text between two labels.
+#: Content containers.
 CONTENT = frozenset(["article", "main"])
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([!?/])[^>]*(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.IGNORECASE)
 WORD = re.compile(r"\w+")
 
-#: First pass: a block with this share of its characters in links is boilerplate.
-LINKS_HIGH = 0.5
-#: Blocks with at least this many words, or this share of stop words, are main text.
-WORDS_LONG, WORDS_SHORT = 25, 6
-STOPS_HIGH, STOPS_LOW = 0.30, 0.15
+#: Score of a block: for its words up to ``WORDS_LONG``, its share of stop words (fully from ``WORDS_SHORT`` words on), its
+#: share of characters in links, a content container, and a name that speaks against it.
+WORDS_LONG, WORDS_SHORT = 50, 10
+FOR_LENGTH, FOR_STOPS, FOR_LINKS, FOR_CONTAINER, FOR_NAME = 2.0, 4.0, -6.0, 0.5, -6.5
+#: Scores from which on a block is main text, and up to which it is boilerplate.
+MAIN, REST = 1.0, 0.0
 
 
-def _named_boilerplate(attributes: str) -> bool:
+class Block(NamedTuple):
+    text: str
+    #: Characters in links.
+    linked: int
+    heading: bool
+    #: In a content container.
+    content: bool
+    #: A name speaks against it.
+    named: bool
+
+
+def _evidence(attributes: str) -> tuple[bool, bool]:
+    """(never shown, a name speaks against it)."""
+    named = False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
+                return True, False
         elif NAMED.search(value):
-            return True
-    return False
+            named = True
+    return False, named
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, heading, in a content container) of each block outside named boilerplate, in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order."""
+    out: list[Block] = []
     texts: list[str] = []
     linked = 0
-    open_elements: list[tuple[str, bool]] = []  # (name, starts boilerplate)
-    hidden = links = content = headings = 0
+    open_elements: list[tuple[str, bool, bool]] = []  # (name, starts what is not shown, starts what a name speaks against)
+    hidden = named = links = content = headings = 0
     at = 0
 
     def flush() -> None:
@@ -89,15 +104,18 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if texts:
             whole = " ".join(html.unescape("".join(texts)).split())
             if whole:
-                out.append((whole, linked, headings > 0, content > 0))
+                out.append(Block(whole, linked, headings > 0, content > 0, named > 0))
             texts.clear()
         linked = 0
 
     def leave() -> None:
-        nonlocal hidden, links, content, headings
-        name, starts = open_elements.pop()
+        nonlocal hidden, named, links, content, headings
+        name, unseen, against = open_elements.pop()
+        if against:
+            flush()
         headings -= name in HEADINGS
-        hidden -= starts
+        hidden -= unseen
+        named -= against
         links -= name == "a"
         content -= name in CONTENT
 
@@ -128,7 +146,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if found[2]:
             if name in BLOCKS:
                 flush()
-            if any(x == name for x, _ in open_elements):
+            if any(x == name for x, *_ in open_elements):
                 while open_elements[-1][0] != name:
                     leave()
                 leave()
@@ -137,10 +155,10 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             flush()
         while open_elements and name in CLOSES.get(open_elements[-1][0], ()):
             leave()
-        if name in BLOCKS and any(x == "p" for x, _ in open_elements[-4:]) and name != "br":
+        if name in BLOCKS and any(x == "p" for x, *_ in open_elements[-4:]) and name != "br":
             # inline elements left open in a paragraph end with it
-            k = max(i for i, (x, _) in enumerate(open_elements) if x == "p")
-            if all(x not in BLOCKS for x, _ in open_elements[k + 1:]):
+            k = max(i for i, (x, *_) in enumerate(open_elements) if x == "p")
+            if all(x not in BLOCKS for x, *_ in open_elements[k + 1:]):
                 while len(open_elements) > k:
                     leave()
         if name in VOID or found[4].rstrip().endswith("/") and name not in BLOCKS and name not in DROPPED:
@@ -150,11 +168,13 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
-        starts = name in DROPPED or name in BOILERPLATE or name not in ("html", "body", "article", "main") and _named_boilerplate(found[4])
-        if starts:
+        unseen, against = (False, False) if name in ("html", "body", "article", "main") else _evidence(found[4])
+        unseen, against = unseen or name in DROPPED, against or name in BOILERPLATE
+        if unseen or against:
             flush()
-        open_elements.append((name, starts))
-        hidden += starts
+        open_elements.append((name, unseen, against))
+        hidden += unseen
+        named += against
         links += name == "a"
         headings += name in HEADINGS
         content += name in CONTENT
@@ -162,55 +182,58 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def first_pass(text: str, linked: int) -> bool | None:
-    """True: main text, False: boilerplate, None: undecided."""
-    words = WORD.findall(text.lower())
-    if linked and linked >= LINKS_HIGH * len(text):
-        return False
+def score(block: Block) -> float:
+    words = WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(words) >= WORDS_LONG or len(words) >= WORDS_SHORT and stops >= STOPS_HIGH:
-        return True
-    if len(words) >= WORDS_SHORT and stops < STOPS_LOW and linked:
-        return False
-    return None
+    return (
+        FOR_LENGTH * min(1, len(words) / WORDS_LONG) + FOR_STOPS * stops * min(1, len(words) / WORDS_SHORT)
+        + FOR_LINKS * min(1, block.linked / len(block.text)) + FOR_CONTAINER * block.content + FOR_NAME * block.named
+    )
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page; a page without markup is its own text."""
-    blocks = blocks_of(page or "")
-    labels = [first_pass(text, linked) for text, linked, *_ in blocks]
-    # a page with a content container keeps to it
-    inside = any(x for *_, x in blocks)
-    if inside:
-        labels = [label if x else False for label, (*_, x) in zip(labels, blocks, strict=True)]
-    n = len(labels)
-    before, after = [None] * n, [None] * n
-    for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
-        last = None
-        for i in order:
+def first_pass(blocks: list[Block]) -> list[bool | None]:
+    """True: main text, False: boilerplate, None: undecided."""
+    return [True if s >= MAIN else False if s <= REST else None for s in map(score, blocks)]
+
+
+def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Labels of all blocks. A block that its name speaks against says nothing of those around it.
+
+    Neighbours lie in the same section, in content containers or outside of
+    them. Where nothing in a section is decided, its undecided blocks are main text.
+    """
+    out = list(labels)
+    for content in (False, True):
+        own = [i for i, b in enumerate(blocks) if b.content == content]
+        before, after = [None] * len(own), [None] * len(own)
+        for found, order in ((before, range(len(own))), (after, range(len(own) - 1, -1, -1))):
+            last = None
+            for k in order:
+                if labels[own[k]] is not None and not blocks[own[k]].named:
+                    last = k
+                found[k] = last
+        for k, i in enumerate(own):
             if labels[i] is not None:
-                last = i
-            out[i] = last
-    kept = []
-    for i, (text, _, heading, content) in enumerate(blocks):
-        label = labels[i]
-        if label is None:
-            a, b = before[i], after[i]
+                continue
+            a, b = before[k], after[k]
             if a is None and b is None:
-                label = True
-            elif a is None or b is not None and b - i < i - a:
-                label = labels[b]
-            elif b is None or i - a < b - i:
-                label = labels[a]
-            elif heading:
-                label = labels[b]
+                out[i] = True
+            elif a is None or b is not None and b - k < k - a:
+                out[i] = labels[own[b]]
+            elif b is None or k - a < b - k:
+                out[i] = labels[own[a]]
+            elif blocks[i].heading:
+                out[i] = labels[own[b]]
             else:
-                label = labels[a] or labels[b] if content or labels[a] == labels[b] else labels[a] and labels[b]
-            # a content container vouches for what no link speaks against
-            label = label or content and not blocks[i][1]
-        if label:
-            kept.append(text)
-    return " ".join(kept)
+                labelled = labels[own[a]], labels[own[b]]
+                out[i] = any(labelled) if content else all(labelled)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page; a page without markup is its own text."""
+    blocks = blocks_of(page or "")
+    return " ".join(b.text for b, keep in zip(blocks, second_pass(blocks, first_pass(blocks)), strict=True) if keep)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

@@ -1,4 +1,6 @@
-from pathsieve.llm.html_text import extract, main_text
+import random
+
+from pathsieve.llm.html_text import Block, blocks_of, extract, first_pass, main_text, score, second_pass
 
 PROSE = "The council said on Monday that it would open the bridge to all of the traffic before the end of the year, and that it is safe."
 
@@ -17,6 +19,56 @@ def test_blocks_without_containers_follow_density_and_neighbours():
     assert main_text(page) == f"Short head {PROSE} Yes. {PROSE}"
 
 
+def test_short_blocks_follow_the_nearest_decided_block():
+    links = "".join(f"<li><a href=/{i}>topic number {i}</a></li>" for i in range(4))
+    page = f"<ul>{links}</ul><p>Far</p><p>Near</p><p>Title</p><p>{PROSE}</p><p>After</p><p>Later</p><p>Menu</p><ul>{links}</ul>"
+    labels = [(b.text, keep) for b, keep in zip(blocks_of(page), second_pass(blocks_of(page), first_pass(blocks_of(page))), strict=True) if len(b.text) < 8]
+    assert labels == [("Far", False), ("Near", False), ("Title", True), ("After", True), ("Later", False), ("Menu", False)]
+
+
+def test_names_are_evidence_but_links_and_words_decide():
+    links = "".join(f"<li><a href=/{i}>topic number {i}</a></li>" for i in range(4))
+    # links in an article go, although their container speaks for them; a comment goes for its name
+    page = f'<article><p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p><ul>{links}</ul><div class="comments"><p>{PROSE} {PROSE}</p></div><p>{PROSE}</p></article>'
+    assert main_text(page) == f"{PROSE} Yes. {PROSE} {PROSE}"
+    # without their names, the same blocks are judged by what they hold
+    assert main_text(page.replace(' class="comments"', "").replace("article", "section")) == f"{PROSE} Yes. {PROSE} {PROSE} {PROSE} {PROSE}"
+    assert main_text(f"<p>{PROSE}</p><span class=ad>buy it</span> <p>{PROSE}</p>") == f"{PROSE} {PROSE}"
+
+
+def slow_labels(blocks):
+    """Both passes, block by block, as the module states them."""
+    first = [True if score(b) >= 1 else False if score(b) <= 0 else None for b in blocks]
+    out = []
+    for i, b in enumerate(blocks):
+        if first[i] is not None:
+            out.append(first[i])
+            continue
+        section = [k for k, x in enumerate(blocks) if x.content == b.content]
+        at = section.index(i)
+        decided = [(abs(j - at), j > at, first[k]) for j, k in enumerate(section) if first[k] is not None and not blocks[k].named]
+        near = [d for d in decided if d[0] == min(decided)[0]]
+        if not near:
+            out.append(True)
+        elif len(near) == 1:
+            out.append(near[0][2])
+        elif b.heading:
+            out.append([x for _, later, x in near if later][0])
+        else:
+            out.append((any if b.content else all)(x for *_, x in near))
+    return out
+
+
+def test_passes_against_brute_force():
+    pick, words = random.Random(8), PROSE.lower().split() + ["xyz", "quux", "blat", "zorp"] * 4
+    for _ in range(300):
+        blocks = []
+        for _ in range(pick.randint(0, 25)):
+            text = " ".join(pick.choices(words, k=pick.choice([1, 2, 4, 9, 30, 80])))
+            blocks.append(Block(text, pick.choice([0, 0, 0, len(text) // 5, len(text)]), pick.random() < 0.2, pick.random() < 0.5, pick.random() < 0.2))
+        assert second_pass(blocks, first_pass(blocks)) == slow_labels(blocks)
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == ""
     assert main_text("a < b & c") == "a < b & c"
