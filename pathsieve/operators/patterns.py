@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathsieve.functions.urls import PARAM, path_shape
+from pathsieve.operators.upserts import checkpointed as _checkpoint
 
 #: Children from which a slot is a parameter, URLs that the ratio needs, and the ratio of children to URLs (fixed values).
 MANY, OBSERVED, RATIO = 100, 30, 0.6
@@ -26,19 +27,6 @@ SALTS = 16
 SEP = "\n"
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def path_counts(urls: DataFrame, segments: str = "segments") -> DataFrame:
     """(path, n): distinct segment paths and how many URLs have them."""
     return urls.groupBy(F.array_join(segments, SEP).alias("path")).agg(F.count("*").alias("n"))

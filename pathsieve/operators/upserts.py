@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the folder that ``spark.checkpoint.dir`` names; only a local session without it gets a temporary one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def append_new(new: DataFrame, existing: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
     """Rows of ``new`` whose key is neither in ``existing`` nor in an earlier new row (by ``order``, else any one). Keys are compared null-safe."""
     if order:
@@ -27,10 +40,10 @@ def upsert_add(existing: DataFrame, new: DataFrame, key: Sequence[str], amounts:
     return both.groupBy(*key).agg(*(F.sum(a).alias(a) for a in amounts))
 
 
-def upsert_replace(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``existing`` whose key ``new`` lacks; the last write of a key within a frame is any one."""
+def upsert_replace(existing: DataFrame, new: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of ``new``, and those of ``existing`` whose key ``new`` lacks; the last write of a key within a frame is that with the largest ``order``, or any one."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new")))).where("_r = 1").drop("_r", "_new")
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new"), *([F.desc(order)] if order else [])))).where("_r = 1").drop("_r", "_new")
 
 
 def distinct_children(urls: DataFrame, key: str = "url") -> DataFrame:

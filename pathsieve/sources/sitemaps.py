@@ -7,11 +7,15 @@ import xml.parsers.expat
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathsieve.operators.upserts import checkpointed
+
 #: Bytes in which the beginning of a sitemap must show, and rows a task sends at once.
 PREAMBLE_BYTES, ROWS = 500, 20_000
+#: Beginnings of a sitemap (fixed values).
+STARTS = ("<?xml", "<urlset", "<sitemapindex")
 #: Names in the seeded corpus (fixed values).
 CATEGORIES, STATIC_PAGES, SECTIONS = ("tools", "parts", "fasteners", "seals", "bearings"), ("/about", "/contact", "/terms", "/privacy", "/shipping"), 300
 SCHEMA = "file_url string, root_element string, ordinal int, loc string, had_preamble boolean, error string"
@@ -24,14 +28,19 @@ def _content(raw: bytes) -> tuple[bytes, bool, str | None]:
             raw = gzip.decompress(raw)
         except (OSError, EOFError) as e:
             return b"", False, f"GZIP: {e}"
-    head = raw[:PREAMBLE_BYTES].removeprefix(b"\xef\xbb\xbf").lstrip()
-    if head.startswith((b"<?xml", b"<urlset", b"<sitemapindex")):
+    head = raw[:PREAMBLE_BYTES]
+    if _recognised(head):
         return raw.removeprefix(b"\xef\xbb\xbf").lstrip(), False, None
-    marks = [at for mark in (b"<?xml", b"<urlset", b"<sitemapindex") if (at := raw.find(mark, 0, PREAMBLE_BYTES)) >= 0]
-    if marks:
-        return raw[min(marks):], True, None
-    first = raw.find(b"<", 0, PREAMBLE_BYTES)
-    return (raw[first:], True, None) if first >= 0 else (b"", False, "NON_XML_PREAMBLE")
+    first = head.find(b"<")
+    if first == 0:  # a tag, if an unknown one: the parser says what it is
+        return raw, False, None
+    # junk goes only when a sitemap is left
+    return (raw[first:], True, None) if first > 0 and _recognised(raw[first:first + PREAMBLE_BYTES]) else (b"", False, "NON_XML_PREAMBLE")
+
+
+def _recognised(head: bytes) -> bool:
+    """Whether a file begins as a sitemap does, in either case."""
+    return head.decode("utf-8", "replace").lstrip("\ufeff \t\r\n\v\f").lower().startswith(STARTS)
 
 
 def locations(raw: bytes) -> tuple[str | None, list[str], bool, str | None]:
@@ -45,7 +54,7 @@ def locations(raw: bytes) -> tuple[str | None, list[str], bool, str | None]:
     root: list[str] = []
 
     def start(name: str, _: dict) -> None:
-        local = name.rpartition(":")[2]
+        local = name.rpartition(":")[2].lower()
         if not path:
             root.append(local)
         path.append(local)
@@ -93,28 +102,49 @@ def parse_sitemaps(files: DataFrame) -> DataFrame:
 
 
 def expand_sitemap_indexes(entry: DataFrame, locs: DataFrame, file_limit: int = 50_000) -> DataFrame:
-    """Files reached from ``entry`` (file_url) through indexes in ``locs``: (file_url, depth, status, reason).
-
-    Breadth first; a file is reached once, so cycles end. An index is skipped as
-    ``NESTED_SITEMAP_INDEX``; an entry index without children is
-    ``SUSPICIOUSLY_EMPTY_INDEX``. Beyond ``file_limit`` files the walk stops and
-    what is left is marked; one join a level.
+    """Files reached from ``entry`` (file_url) through indexes in ``locs``: (file_url, depth, status, reason, children).
+
+    Breadth first, in the order in which indexes name their children; a file is
+    reached once, so cycles end. An expanded index is skipped as
+    ``NESTED_SITEMAP_INDEX``; an entry index without children is degraded as
+    ``SUSPICIOUSLY_EMPTY_INDEX``. The first index whose children would bring the
+    files over ``file_limit`` is skipped as ``NESTED_SITEMAP_INDEX_OVER_LIMIT``,
+    with their number, and none of them is reached; the walk ends there and what
+    comes after it stays pending. A level is two joins; no level has more files
+    than the limit.
     """
-    children = locs.where("root_element = 'sitemapindex' and loc is not null").select(F.col("file_url").alias("parent"), F.col("loc").alias("file_url")).distinct()
-    is_index = locs.where("root_element = 'sitemapindex'").groupBy("file_url").agg(F.count("loc").alias("n_children"))
-    seen = entry.select("file_url").distinct().withColumn("depth", F.lit(0))
-    frontier, depth = seen.select("file_url"), 0
+    order = F.coalesce(F.col("ordinal"), F.lit(0)) if "ordinal" in locs.columns else F.lit(0)
+    named = locs.where("root_element = 'sitemapindex' and loc is not null").groupBy(F.col("file_url").alias("parent"), F.col("loc").alias("file_url")).agg(F.min(order).alias("at"))
+    indexes = locs.where("root_element = 'sitemapindex'").groupBy("file_url").agg(F.count_distinct("loc").alias("children"))
+    level = entry.groupBy("file_url").agg(F.lit(0).alias("depth"))
+    level = checkpointed(level.withColumn("place", F.row_number().over(Window.orderBy("file_url")).cast("long")).join(indexes, "file_url", "left"))
+    seen, depth, total = level, 0, level.count()
+    over: tuple[str, int] | None = None
     while True:
         depth += 1
-        frontier = children.join(frontier.withColumnRenamed("file_url", "parent"), "parent").select("file_url").distinct().join(seen, "file_url", "left_anti").persist()
-        if not frontier.limit(1).count() or seen.count() > file_limit:
+        parents = level.where("children is not null").select(F.col("file_url").alias("parent"), F.col("place").alias("parent_place"), "children")
+        found = named.join(parents, "parent").join(seen.select("file_url"), "file_url", "left_anti")
+        first = found.groupBy("file_url").agg(F.min(F.struct("parent_place", "at", "parent")).alias("by")).select("file_url", "by.*")
+        new = parents.join(first.groupBy("parent").agg(F.count("*").alias("new")), "parent", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+        before = F.coalesce(F.sum("new").over(Window.orderBy("parent_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        stop = new.withColumn("would", F.lit(total) + before + F.col("children")).where((F.col("would") > file_limit) & (F.col("children") > 0)).agg(F.min(F.struct("parent_place", "parent")).alias("at")).first()["at"]
+        if stop is not None:
+            over = (stop.parent, stop.parent_place)
+            first = first.where(F.col("parent_place") < stop.parent_place)
+        place = F.row_number().over(Window.orderBy("parent_place", "at", "file_url")).cast("long") + F.lit(total)
+        level = checkpointed(first.select("file_url", F.lit(depth).alias("depth"), place.alias("place")).join(indexes, "file_url", "left"))
+        n = level.count()
+        seen, total = seen.unionByName(level), total + n
+        if over or not n:
             break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth))).persist()
-    out = seen.join(is_index, "file_url", "left")
-    empty = (F.col("n_children") == 0) & (F.col("depth") == 0)
-    return out.select(
-        "file_url", "depth", F.when(empty, "degraded").when(F.col("n_children").isNotNull(), "skipped").otherwise("pending").alias("status"),
-        F.when(empty, "SUSPICIOUSLY_EMPTY_INDEX").when(F.col("n_children").isNotNull(), "NESTED_SITEMAP_INDEX").alias("reason"),
+    empty = (F.col("children") == 0) & (F.col("depth") == 0)
+    reached = F.lit(True) if over is None else F.col("place") < over[1]
+    limit = F.lit(False) if over is None else F.col("file_url") == over[0]
+    expanded = F.col("children").isNotNull() & reached
+    return seen.select(
+        "file_url", "depth", F.when(limit, "skipped").when(empty & reached, "degraded").when(expanded, "skipped").otherwise("pending").alias("status"),
+        F.when(limit, "NESTED_SITEMAP_INDEX_OVER_LIMIT").when(empty & reached, "SUSPICIOUSLY_EMPTY_INDEX").when(expanded, "NESTED_SITEMAP_INDEX").alias("reason"),
+        F.when(limit | expanded, F.col("children")).alias("children"),
     )
 
 

@@ -10,9 +10,10 @@ NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 
 @pytest.mark.parametrize(("raw", "root", "locs", "dropped", "error"), [
     (f"<?xml version='1.0'?><urlset {NS}><url><loc> https://e.com/a </loc></url><url><loc><![CDATA[https://e.com/b?x=1&y]]></loc></url><url><loc> </loc></url></urlset>", "urlset", ["https://e.com/a", "https://e.com/b?x=1&y"], False, None),
-    ("<s:urlset xmlns:s='x'><s:url><s:loc>u</s:loc><s:image><s:loc>no</s:loc></s:image></s:url></s:urlset>", "urlset", ["u"], True, None),
+    ("<s:urlset xmlns:s='x'><s:url><s:loc>u</s:loc><s:image><s:loc>no</s:loc></s:image></s:url></s:urlset>", "urlset", ["u"], False, None),
     ("﻿<urlset></urlset>", "urlset", [], False, None), ("Warning: x in y.php\n<?xml version='1.0'?><urlset><url><loc>a</loc></url></urlset>", "urlset", ["a"], True, None),
-    ("no markup at all", None, [], False, "NON_XML_PREAMBLE"), ("<html><body/></html>", "html", [], True, "WRONG_ROOT"), ("<urlset><url><loc>a</loc>", "urlset", [], False, "MALFORMED_XML"),
+    ("no markup at all", None, [], False, "NON_XML_PREAMBLE"), ("<html><body/></html>", "html", [], False, "WRONG_ROOT"), ("<URLSET><URL><LOC>a</LOC></URL></URLSET>", "urlset", ["a"], False, None),
+    ("Error <html><body/></html>", None, [], False, "NON_XML_PREAMBLE"), ("x" * 600 + "<urlset></urlset>", None, [], False, "NON_XML_PREAMBLE"), ("a < b <urlset></urlset>", None, [], False, "NON_XML_PREAMBLE"), ("<urlset><url><loc>a</loc>", "urlset", [], False, "MALFORMED_XML"),
     ("<sitemapindex><sitemap><loc>c.xml</loc></sitemap></sitemapindex>", "sitemapindex", ["c.xml"], False, None),
 ])
 def test_locations(raw, root, locs, dropped, error):
@@ -36,6 +37,13 @@ def test_indexes_and_sizes(spark):
     locs = spark.createDataFrame(rows, "file_url string, root_element string, ordinal int, loc string")
     got = {r.file_url: (r.depth, r.status) for r in sitemaps.expand_sitemap_indexes(spark.createDataFrame([("i",)], "file_url string"), locs).collect()}
     assert got == {"i": (0, "skipped"), "j": (1, "skipped"), "a": (1, "pending"), "b": (2, "pending")}
+    # j's children would make five files: none of them is reached
+    rows = [("i", "sitemapindex", 0, "j"), ("i", "sitemapindex", 1, "a"), ("i", "sitemapindex", 2, "k"), ("j", "sitemapindex", 0, "b"), ("j", "sitemapindex", 1, "c"), ("k", "sitemapindex", 0, "d"), ("a", "urlset", 0, "u")]
+    locs = spark.createDataFrame(rows, "file_url string, root_element string, ordinal int, loc string")
+    got = {r.file_url: (r.status, r.reason, r.children) for r in sitemaps.expand_sitemap_indexes(spark.createDataFrame([("i",)], "file_url string"), locs, 5).collect()}
+    assert got == {"i": ("skipped", "NESTED_SITEMAP_INDEX", 3), "j": ("skipped", "NESTED_SITEMAP_INDEX_OVER_LIMIT", 2), "a": ("pending", None, None), "k": ("pending", None, None)}
+    got = sitemaps.expand_sitemap_indexes(spark.createDataFrame([("e",)], "file_url string"), spark.createDataFrame([("e", "sitemapindex", None, None)], locs.schema))
+    assert [(r.status, r.reason) for r in got.collect()] == [("degraded", "SUSPICIOUSLY_EMPTY_INDEX")]
     files = spark.createDataFrame([(1, 100), (2, 300)], "id int, url_count long")
     assert sitemaps.assess_size(files).first().verdict == "ok"
     r = sitemaps.assess_size(files, soft_urls=200).first()
