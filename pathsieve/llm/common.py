@@ -34,6 +34,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of ``durable`` frames that nothing reads again; any other frame is left alone."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Links of one node that a task of a join takes at most, about.
+HOT_NODE = 20_000
+
+
 def bounded_steps(texts: Iterable, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with about ``limit`` characters together."""
     begin = size = at = 0
@@ -52,9 +66,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected
     Components in MapReduce and Beyond" (2014): each is one aggregation and one
-    join on node keys, so no component is ever gathered in one task, and the
-    number of rounds grows with the logarithm of the longest path. Self links
-    and null ends are ignored; repeated links count once.
+    join on node keys, and the number of rounds grows with the logarithm of the
+    longest path. The root of a large component has a link to each of its nodes;
+    the join deals the links of such a node out to tasks of ``HOT_NODE`` links.
+    Self links and null ends are ignored; repeated links count once.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     # every link points from the larger to the smaller end
@@ -62,16 +77,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     sums = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.ceil(F.count("*") / HOT_NODE).cast("int").alias("parts"))
+        # at most one node in HOT_NODE / 2 links has more than one part
+        hot = F.broadcast(low.where("parts > 1").select("u", "parts"))
+        part = F.coalesce(F.pmod(F.xxhash64("v"), "parts"), F.lit(0)).cast("int")
+        dealt = both.where("v > u").join(hot, "u", "left").select("u", "v", part.alias("part"))
+        low = low.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        large = dealt.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
-        e = durable(
+        before, e = e, durable(
             star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sums:
             break

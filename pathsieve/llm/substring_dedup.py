@@ -6,7 +6,7 @@ merge-joined with them without moving them. Fingerprints are hashes of the
 7-word windows that are lowest among those of some 13-word window: two documents
 that share a 13-word window share its fingerprint, and one in about four places
 needs a row. Fingerprints that a batch shares with a run, or that two of its own
-documents share, name the windows to verify: their whole 13-word hashes (96
+documents share, name the windows to verify: their whole 13-word hashes (128
 bits) are compared across all documents up to this batch. When there are more
 than ``MAX_RUNS`` runs, they are compacted into one.
 """
@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathsieve.llm.common import bounded_steps, durable, filter_of, may_hold, parted, release, small_batches, table
-from pathsieve.llm.words import run_hashes, run_hashes_at, word_hashes
+from pathsieve.llm.common import bounded_steps, durable, filter_of, forget, may_hold, parted, release, small_batches, table
+from pathsieve.llm.words import run_hashes, run_hashes_at, word_digests
 
 #: Words of a fingerprint; shorter than the window.
 GRAM = 7
@@ -38,7 +38,7 @@ def _steps(texts: list, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
     gram = min(GRAM, window)
     span = window - gram + 1
     for a, b in bounded_steps(texts):
-        words, counts = word_hashes([(t or "").encode() for t in texts[a:b]])
+        words, counts = word_digests([(t or "").encode() for t in texts[a:b]])
         n = len(words) - window + 1
         if n <= 0:
             continue
@@ -122,12 +122,12 @@ def _windows(texts: DataFrame, hits: DataFrame, window: int, places: bool) -> Da
             for first, words, owner, place, at, low in _steps(batch.column(1).to_pylist(), window):
                 may = np.flatnonzero(may_hold(shared.value, low))
                 if len(may):
-                    w, v = run_hashes_at(words, at[may], window)
+                    w, v = (run_hashes_at(words, at[may], window, 2, column) for column in (0, 1))
                     row = first + owner[may]
                     p = place[may].astype(np.int32) if places else np.full(len(may), -1, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int32)), pa.array(ids[row]), pa.array(marks[row]), pa.array(p)], ["w", "v", "id", "t", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(ids[row]), pa.array(marks[row]), pa.array(p)], ["w", "v", "id", "t", "p"])
 
-    return texts.mapInArrow(run, "w long, v int, id long, t long, p int")
+    return texts.mapInArrow(run, "w long, v long, id long, t long, p int")
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13, batches: int = 2) -> DataFrame:
@@ -151,11 +151,13 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         every = own.select("w", "v", "id")
         if low is not None:
             every = every.unionByName(_windows(texts.where(F.col("id") <= low), known, window, False).select("w", "v", "id"))
-        first = every.groupBy("w", "v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "v", "lo")
+        # stored, so that Spark may split the windows that many documents hold when it joins them
+        first = durable(every.groupBy("w", "v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "v", "lo"))
         later = own.join(first, ["w", "v"]).where("lo < id")
         starts = durable(later.groupBy("id", "t").agg(F.sort_array(F.collect_set("p")).alias("starts")))
         found = starts if found is None else found.unionByName(starts)
         index.compact()
+        forget(first, known)
         del own, every, first, later, hits, known
         release(spark)
     index.drop()
