@@ -128,19 +128,25 @@ def build_findings(observations: DataFrame, samples: DataFrame, level: float = 0
     the observations' column of that name divides the sample, and ``samples`` has
     one row for each label.
     """
-    keys = ["site_id", "pattern_id", "sample_id"]
-    group = ["http_status", "is_soft_404"]
     parts = ["stratum_label"] if label else []
     o = observations.withColumn("is_soft_404", F.coalesce("is_soft_404", F.lit(False)))
-    s = samples.select(*keys, "population", *([F.col(label).alias("stratum_label")] if label else []))
     o = o.withColumn("stratum_label", F.col(label)) if label else o
-    tally = o.groupBy("site_id", "sample_id", *parts, *group).agg(F.count("*").alias("hits"))
+    tally = o.groupBy("site_id", "sample_id", *parts, "http_status", "is_soft_404").agg(F.count("*").alias("hits"))
+    return findings_of_tallies(tally, samples.withColumnRenamed(label, "stratum_label") if label else samples, level, bool(label), weights)
+
+
+def findings_of_tallies(tally: DataFrame, samples: DataFrame, level: float = 0.95, stratified: bool = False, weights: dict[str, float] = SEVERITY_WEIGHTS) -> DataFrame:
+    """``build_findings`` from counts (site_id, sample_id, http_status, is_soft_404, hits), by stratum_label if ``stratified``."""
+    keys = ["site_id", "pattern_id", "sample_id"]
+    group = ["http_status", "is_soft_404"]
+    parts = ["stratum_label"] if stratified else []
+    s = samples.select(*keys, "population", *parts)
     sampled = tally.groupBy("site_id", "sample_id", *parts).agg(F.sum("hits").alias("sampled"))
     outcomes = tally.where("http_status is not null").select("site_id", "sample_id", *group).distinct()
     # every outcome of a sample meets every stratum of it
     strata = s.join(sampled, ["site_id", "sample_id", *parts], "left").join(outcomes, ["site_id", "sample_id"])
     strata = strata.join(tally.where("http_status is not null"), ["site_id", "sample_id", *parts, *group], "left").select(
-        *keys, *group, (F.col("stratum_label") if label else F.lit("all")).alias("label"), F.greatest("population", F.coalesce("sampled", F.lit(0))).alias("population"), F.coalesce("sampled", F.lit(0)).alias("sampled"), F.coalesce("hits", F.lit(0)).alias("hits")
+        *keys, *group, (F.col("stratum_label") if stratified else F.lit("all")).alias("label"), F.greatest("population", F.coalesce("sampled", F.lit(0))).alias("population"), F.coalesce("sampled", F.lit(0)).alias("sampled"), F.coalesce("hits", F.lit(0)).alias("hits")
     )
     found = measure_proportion(strata, [*keys, *group], level).withColumn("severity_class", classify_outcome(F.col("http_status"), F.col("is_soft_404")))
     silent = s.groupBy(*keys).agg(F.sum("population").alias("population_count")).join(outcomes.select("site_id", "sample_id").distinct(), ["site_id", "sample_id"], "left_anti")

@@ -329,11 +329,22 @@ def site_analytics(runs: DataFrame, health: DataFrame, patterns: DataFrame, wind
     return health_series(health, windows), run_status_slices(runs), count_patterns_by_status(patterns)
 
 
-def pattern_detail(site_id: str, pattern_id: str, findings: DataFrame, observations: DataFrame, populations: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """The pages of one pattern's report: newest findings (20) and observations (200), its files and its population from them."""
-    key = {"site_id": site_id, "pattern_id": pattern_id}
-    own = by_id(populations, **key)
+def pattern_details(findings: DataFrame, observations: DataFrame, populations: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The pages of every pattern's report: its newest findings (20) and observations (200), its files and its population from them."""
+    key = ["site_id", "pattern_id"]
+
+    def newest(df: DataFrame, n: int, *order) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
     return {
-        "findings": by_id(findings, **key).orderBy(F.desc("computed_at"), "finding_id").limit(20), "observations": list_run_observations(by_id(observations, **key), 200),
-        "files": populations_with_file(own, files).orderBy(F.desc("url_count"), "file_id"), "population": sum_pattern_population(own),
+        "findings": newest(findings, 20, F.desc("computed_at"), F.asc("finding_id")), "observations": newest(observations, 200, F.desc("observed_at"), F.desc("observation_id")),
+        "files": populations_with_file(populations, files), "population": populations.groupBy(*key).agg(F.sum("url_count").alias("population")),
     }
+
+
+def pattern_detail(site_id: str, pattern_id: str, findings: DataFrame, observations: DataFrame, populations: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """``pattern_details`` of one pattern, in the report's order."""
+    key = {"site_id": site_id, "pattern_id": pattern_id}
+    pages = {k: by_id(df, **key) for k, df in pattern_details(findings, observations, populations, files).items()}
+    order = {"findings": (F.desc("computed_at"), F.asc("finding_id")), "observations": (F.desc("observed_at"), F.desc("observation_id")), "files": (F.desc("url_count"), F.asc("file_id"))}
+    return {k: df.orderBy(*order[k]) if k in order else df for k, df in pages.items()}

@@ -104,8 +104,12 @@ def draw_samples(patterns: DataFrame, candidates: DataFrame, files: DataFrame, b
     return samples, drawn
 
 
-def expand_sample(sample: DataFrame, candidates: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What the next round adds: the first ``k`` candidates of each group of ``plan`` (keys, k) without those sampled."""
+def expand_sample(sample: DataFrame, candidates: DataFrame, plan: DataFrame, keys: Sequence[str], budget: Budget = DEFAULT) -> DataFrame:
+    """What the next round adds: the first ``k`` candidates of each group of ``plan`` (keys, k) without those sampled.
+
+    No plan exceeds ``budget.most``, so each partition keeps that many of a group before anything moves.
+    """
+    candidates = k_smallest_sample(candidates, keys, budget.most)
     larger = k_smallest_sample(candidates.join(plan, list(keys)), keys, "k").drop("k")
     return larger.join(sample.select(*keys, *KEY), [*keys, *KEY], "left_anti")
 

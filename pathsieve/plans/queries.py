@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from pathsieve.functions import status as st
 from pathsieve.functions import urls as ur
 from pathsieve.operators import checks, estimate, patterns, probes, reports, sampling, upserts
 from pathsieve.plans.derived import oracle, table
+from pathsieve.plans.strata_sql import CIRCUITS, VERDICTS, allocation, expansion, measured
 from pathsieve.sources import sitemaps, tables
 
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
@@ -48,9 +52,17 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 # sources and exports
 
-@query("a5_assess_size", "SELECT count(*) AS files, cast(sum(url_count) AS bigint) AS urls, 'OVERSIZE_SOFT_LIMIT' AS reason, 'degraded' AS verdict, round(greatest(0.1::DOUBLE, 100.0::DOUBLE / sum(url_count)), 8) AS sample_multiplier FROM sitemap_file")
+LIMITS = ((100.0, None, 50_000), (1e12, None, 50_000), (1e12, 100.0, 50_000), (100.0, 100.0, 5))
+ASSESSED = " UNION ALL ".join(f"SELECT {k} AS k, files, urls, CASE WHEN files > {most} THEN 'HARD_LIMIT_FILES' WHEN urls > {hard or 1e18} THEN 'HARD_LIMIT_URLS' WHEN urls > {soft} THEN 'OVERSIZE_SOFT_LIMIT' END AS reason, {soft}::DOUBLE AS soft FROM t" for k, (soft, hard, most) in enumerate(LIMITS))
+
+
+@query("a5_assess_size", f"SELECT * FROM (WITH t AS (SELECT count(*) AS files, cast(sum(url_count) AS bigint) AS urls FROM sitemap_file), v AS ({ASSESSED}) SELECT k, files, urls, reason, CASE WHEN reason IS NULL THEN 'ok' WHEN reason = 'OVERSIZE_SOFT_LIMIT' THEN 'degraded' ELSE 'stop' END AS verdict, round(CASE WHEN reason = 'OVERSIZE_SOFT_LIMIT' THEN greatest(0.1::DOUBLE, soft / urls) ELSE 1 END, 8) AS sample_multiplier FROM v)")
 def _(spark, sf):
-    return sitemaps.assess_size(table(spark, sf, "sitemap_file"), soft_urls=100.0).withColumn("sample_multiplier", F.round("sample_multiplier", 8))
+    made = None
+    for k, (soft, hard, most) in enumerate(LIMITS):
+        one = sitemaps.assess_size(table(spark, sf, "sitemap_file"), soft_urls=soft, hard_urls=hard, hard_files=most).withColumns({"k": F.lit(k), "sample_multiplier": F.round("sample_multiplier", 8)})
+        made = one if made is None else made.unionByName(one)
+    return made
 
 
 @query("a6_url_lines", "SELECT file_id, line, trim(raw) AS url FROM (SELECT doc_id AS file_id, unnest(range(0, len(l))) AS line, unnest(l) AS raw FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents)) WHERE trim(raw) <> ''")
@@ -69,10 +81,112 @@ def _(spark, sf):
     return tables.observation_rows(o)
 
 
-@query("a9_portfolio_rows", "SELECT s.site_id, s.tier, r.run_id, r.status AS run_status FROM site s LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC NULLS LAST, created_at DESC, run_id DESC) AS n FROM sitemap_run) WHERE n = 1) r USING (site_id) WHERE s.is_active AND s.deleted_at IS NULL")
+LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC NULLS LAST, created_at DESC, run_id DESC) AS n FROM sitemap_run) WHERE n = 1"
+STATE = "CASE WHEN r.status IS NULL THEN 'never_run' WHEN r.status IN ('pending', 'running') THEN 'in_flight' WHEN r.total_urls = 0 THEN 'no_urls' ELSE 'measured' END"
+PORTFOLIO = f"""SELECT s.site_id, s.name, s.host, s.tier, {STATE} AS state, r.run_id, r.status AS run_status, r.started_at, r.total_urls, coalesce(total, 0) AS total, coalesce(critical, 0) AS critical, cast('2024-01-01' AS timestamp) AS created_at
+    FROM site s LEFT JOIN ({LATEST}) r USING (site_id) LEFT JOIN (SELECT 'c' || substr(pattern_id, 2) AS site_id, count(*) AS total, count(*) FILTER (severity_class IN {CRITICAL}) AS critical FROM finding GROUP BY 1) f USING (site_id)
+    WHERE s.is_active AND s.deleted_at IS NULL"""
+
+
+def portfolio_rows(spark, sf):
+    """The portfolio; a pattern's findings count for the site of its number."""
+    sites = table(spark, sf, "site").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    own = findings(spark, sf).withColumn("site_id", F.concat(F.lit("c"), F.substring("pattern_id", 2, 20)))
+    return reports.portfolio(sites, table(spark, sf, "sitemap_run"), own)
+
+
+@query("a9_portfolio_rows", PORTFOLIO)
+def _(spark, sf):
+    return portfolio_rows(spark, sf).select(*tables.PORTFOLIO_COLUMNS)
+
+
+@query("k6_fleet_totals", f"SELECT count(*) AS sites, count(*) FILTER (state = 'in_flight') AS in_flight, count(*) FILTER (run_status IN ('degraded', 'failed')) AS degraded_or_failed, cast(coalesce(sum(total_urls), 0) AS bigint) AS urls, cast(sum(total) AS bigint) AS findings, cast(sum(critical) AS bigint) AS critical, count(*) FILTER (total > 0) AS sites_affected, count(*) FILTER (created_at >= cast('2024-01-20' AS timestamp) - INTERVAL 30 DAYS) AS onboarded_30_days FROM ({PORTFOLIO})")
+def _(spark, sf):
+    return reports.fleet_totals(portfolio_rows(spark, sf), F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+# sitemap files made of the pages' URLs: 25 to a file, in five forms
+
+STYLE = "floor(page_id / 25) % 5"
+
+
+def sitemap_files(spark, sf):
+    """(path, content): plain, after a warning, with a prefix, an index, and no sitemap at all."""
+    pages = table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 25).alias("file"), "url")
+    loc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    style = F.col("file") % 5
+    item = F.when(style == 2, F.concat(F.lit("<s:url><s:loc>"), loc, F.lit("</s:loc></s:url>"))).when(style == 3, F.concat(F.lit("<sitemap><loc>"), loc, F.lit("</loc></sitemap>"))).when(style == 4, F.lit("nothing ")).otherwise(F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>")))
+    head = F.when(style == 0, "<?xml version='1.0'?><urlset>").when(style == 1, "Warning: x.php\n<?xml version='1.0'?><urlset>").when(style == 2, "<s:urlset xmlns:s='x'>").when(style == 3, "<sitemapindex>").otherwise("")
+    tail = F.when(style == 2, "</s:urlset>").when(style == 3, "</sitemapindex>").when(style == 4, "").otherwise("</urlset>")
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "")
+    made = pages.groupBy("file").agg(items.alias("items"))
+    return made.select(F.concat(F.lit("file-"), F.col("file").cast("string")).alias("path"), F.concat(head, "items", tail).cast("binary").alias("content"))
+
+
+LOCS_OF_FILES = f"""SELECT 'file-' || cast(floor(page_id / 25) AS bigint) AS file_url, CASE {STYLE} WHEN 3 THEN 'sitemapindex' ELSE 'urlset' END AS root_element,
+    cast(row_number() OVER (PARTITION BY floor(page_id / 25) ORDER BY page_id) - 1 AS int) AS ordinal, url AS loc, {STYLE} = 1 AS had_preamble, NULL::VARCHAR AS error FROM pages WHERE {STYLE} <> 4
+    UNION ALL SELECT DISTINCT 'file-' || cast(floor(page_id / 25) AS bigint), NULL, NULL, NULL, false, 'NON_XML_PREAMBLE' FROM pages WHERE {STYLE} = 4"""
+
+
+@query("a1_parse_sitemaps", LOCS_OF_FILES)
+def _(spark, sf):
+    """Locations of all files; the plain ones are compressed, which their names don't say."""
+    def packed(content: pd.Series) -> pd.Series:
+        return content.map(gzip.compress)
+
+    files = sitemap_files(spark, sf)
+    plain = F.pandas_udf(packed, "binary")(F.col("content"))
+    return sitemaps.parse_sitemaps(files.where("content like '<?xml%'").select("path", plain.alias("content")).unionByName(files.where("content not like '<?xml%'")))
+
+
+FORMS = f"""SELECT 'file-' || cast(floor(page_id / 25) AS bigint) AS path, any_value({STYLE}) AS style, count(*) AS n, string_agg(CASE {STYLE} WHEN 2 THEN '<s:url><s:loc>' || replace(url, '&', '&amp;') || '</s:loc></s:url>' WHEN 3 THEN '<sitemap><loc>' || replace(url, '&', '&amp;') || '</loc></sitemap>' WHEN 4 THEN 'nothing ' ELSE '<url><loc>' || replace(url, '&', '&amp;') || '</loc></url>' END, '' ORDER BY page_id) AS items FROM pages GROUP BY 1"""
+WHOLE = "CASE style WHEN 0 THEN '<?xml version=''1.0''?><urlset>' WHEN 1 THEN 'Warning: x.php' || chr(10) || '<?xml version=''1.0''?><urlset>' WHEN 2 THEN '<s:urlset xmlns:s=''x''>' WHEN 3 THEN '<sitemapindex>' ELSE '' END || items || CASE style WHEN 2 THEN '</s:urlset>' WHEN 3 THEN '</sitemapindex>' WHEN 4 THEN '' ELSE '</urlset>' END"
+
+
+@query("a7_file_inventory", f"SELECT path, octet_length(encode(content)) AS byte_size, sha256(content) AS sha256, false AS is_gzip, CASE style WHEN 4 THEN 0 ELSE n END AS url_count, CASE style WHEN 4 THEN 'NON_XML_PREAMBLE' END AS parse_error, CASE style WHEN 4 THEN 'failed' ELSE 'parsed' END AS parse_status FROM (SELECT *, {WHOLE} AS content FROM ({FORMS}))")
+def _(spark, sf):
+    files = sitemap_files(spark, sf)
+    return sitemaps.file_inventory(files, sitemaps.parse_sitemaps(files)).withColumn("byte_size", F.col("byte_size").cast("long"))
+
+
+def sitemap_graph(spark, sf):
+    """(entry, locs): an index for each region, naming one for each nation, naming a file for each supplier."""
+    region, nation, supplier = (table(spark, sf, n) for n in ("region", "nation", "supplier"))
+    named = [
+        nation.select(F.format_string("region/%d", "n_regionkey").alias("file_url"), F.col("n_nationkey").cast("int").alias("ordinal"), F.format_string("nation/%d", "n_nationkey").alias("loc")),
+        supplier.select(F.format_string("nation/%d", "s_nationkey").alias("file_url"), F.col("s_suppkey").cast("int").alias("ordinal"), F.format_string("supplier/%d", "s_suppkey").alias("loc")),
+        # each nation names its region again, which is reached already
+        nation.select(F.format_string("nation/%d", "n_nationkey").alias("file_url"), F.lit(-1).alias("ordinal"), F.format_string("region/%d", "n_regionkey").alias("loc")),
+    ]
+    locs = named[0].unionByName(named[1]).unionByName(named[2]).withColumn("root_element", F.lit("sitemapindex"))
+    return region.select(F.format_string("region/%d", "r_regionkey").alias("file_url")), locs
+
+
+@query("a4_expand_indexes", """SELECT 'region/' || r_regionkey AS file_url, 0 AS depth, 'skipped' AS status, 'NESTED_SITEMAP_INDEX' AS reason, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS children FROM region
+    UNION ALL SELECT 'nation/' || n_nationkey, 1, 'skipped', 'NESTED_SITEMAP_INDEX', 1 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
+    UNION ALL SELECT 'supplier/' || s_suppkey, 2, 'pending', NULL, NULL FROM supplier""")
+def _(spark, sf):
+    return sitemaps.expand_sitemap_indexes(*sitemap_graph(spark, sf))
+
+
+@query("a4_over_limit", """SELECT * FROM (WITH r AS (SELECT 'region/' || r_regionkey AS file_url, r_regionkey AS k, count(n_nationkey) AS children FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2),
+    w AS (SELECT *, (SELECT count(*) FROM region) + coalesce(sum(children) OVER (ORDER BY file_url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + children AS would FROM r),
+    f AS (SELECT min(file_url) AS first FROM w WHERE would > 18)
+    SELECT file_url, 0 AS depth, CASE WHEN file_url <= first THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN file_url < first THEN 'NESTED_SITEMAP_INDEX' WHEN file_url = first THEN 'NESTED_SITEMAP_INDEX_OVER_LIMIT' END AS reason, CASE WHEN file_url <= first THEN children END AS children FROM w, f
+    UNION ALL SELECT 'nation/' || n_nationkey, 1, 'pending', NULL, NULL FROM nation, f WHERE 'region/' || n_regionkey < first)""")
 def _(spark, sf):
-    sites = table(spark, sf, "site").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    return reports.portfolio(sites, table(spark, sf, "sitemap_run"), findings(spark, sf)).select(*tables.PORTFOLIO_COLUMNS).select("site_id", "tier", "run_id", "run_status")
+    """With a limit of 18 files the third region's nations are too many."""
+    return sitemaps.expand_sitemap_indexes(*sitemap_graph(spark, sf), 18)
+
+
+@query("a10_write_partitioned", "SELECT site_id, pattern_id, file_id, url_count FROM pattern_population")
+def _(spark, sf):
+    """A table written by site and read back."""
+    from pathsieve.streaming.runs import _folder
+
+    path = _folder(spark)
+    tables.write_partitioned(table(spark, sf, "pattern_population").select("site_id", "pattern_id", "file_id", "url_count"), path)
+    return spark.read.parquet(path)
 
 
 # scalar functions
@@ -82,9 +196,18 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", ur.normalize_host(_own_host(F.col("url"))).alias("host"))
 
 
-@query("b2_parse_loc", f"SELECT ordinal, 'matched' AS kind, {PATH.format(x='loc')} || regexp_extract(regexp_replace(loc, '#.*$', ''), '(\\?.+)$', 1) AS path, len({SEGMENTS.format(x='loc')}) AS n_segments FROM locs")
+#: Locations in every form: as they are, relative, without scheme, with a fragment, blank, on another host.
+FORMED = "SELECT ordinal, file_id, CASE ordinal % 7 WHEN 0 THEN loc WHEN 1 THEN regexp_extract(loc, '^[a-z]+://[^/]*(.*)$', 1) WHEN 2 THEN regexp_extract(loc, '^[a-z]+:(.*)$', 1) WHEN 3 THEN '  ' || loc || '#top ' WHEN 4 THEN '  ' WHEN 5 THEN 'https://www.other.example.org/x/' || cast(ordinal AS string) ELSE '?q=' || cast(ordinal AS string) END AS loc, regexp_extract(loc, '^[a-z]+://([^/?#:]+)', 1) AS host FROM locs"
+
+
+@query("b2_parse_loc", f"""SELECT ordinal, CASE ordinal % 7 WHEN 4 THEN 'unparseable' WHEN 5 THEN 'foreign' ELSE 'matched' END AS kind,
+    CASE WHEN ordinal % 7 = 6 THEN '/base/?q=' || cast(ordinal AS string) WHEN ordinal % 7 NOT IN (4, 5) THEN {PATH.format(x='loc')} || regexp_extract(regexp_replace(loc, '#.*$', ''), '(\\?.+)$', 1) END AS path,
+    CASE WHEN ordinal % 7 = 6 THEN 1 WHEN ordinal % 7 NOT IN (4, 5) THEN len({SEGMENTS.format(x='loc')}) END AS n_segments, CASE WHEN ordinal % 7 = 5 THEN 'other.example.org' END AS detected_host FROM locs""")
 def _(spark, sf):
-    return parsed(spark, sf).select("ordinal", "kind", "path", F.size("segments").alias("n_segments"))
+    table(spark, sf, "locs").createOrReplaceTempView("locs_of_pages")
+    rows = spark.sql(FORMED.replace("FROM locs", "FROM locs_of_pages"))
+    p = rows.select("ordinal", ur.parse_loc(F.col("loc"), F.concat(F.lit("http://"), "host", F.lit("/base/")), F.col("host")).alias("p")).select("ordinal", "p.*")
+    return p.select("ordinal", "kind", "path", F.when(F.col("segments").isNotNull(), F.size("segments")).alias("n_segments"), "detected_host")
 
 
 @query("b3_stable_hash", f"SELECT page_id, {FNV.format(x='url')} AS hash FROM pages")
@@ -222,7 +345,7 @@ def _(spark, sf):
 RESOLVE = "CASE ordinal % 5 WHEN 0 THEN 'hash_mismatch' WHEN 1 THEN 'missing_ordinal' WHEN 2 THEN 'unknown_file' ELSE 'resolved' END"
 
 
-@query("d5_resolve_candidates", f"SELECT status, count(*) AS n, count(path) AS with_path FROM (SELECT {RESOLVE} AS status, CASE WHEN ordinal % 5 IN (1, 2) THEN NULL ELSE 'x' END AS path FROM locs) GROUP BY 1")
+@query("d5_resolve_candidates", f"SELECT CASE ordinal % 5 WHEN 2 THEN file_id + 1000 ELSE file_id END AS file_id, CASE ordinal % 5 WHEN 1 THEN -ordinal - 1 ELSE ordinal END AS ordinal, {RESOLVE} AS status, CASE WHEN ordinal % 5 IN (1, 2) THEN NULL ELSE {PATH.format(x='loc')} || regexp_extract(regexp_replace(loc, '#.*$', ''), '(\\?.+)$', 1) END AS path, (ordinal % 5 <> 2 AND min(CASE WHEN ordinal % 5 IN (0, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY file_id, ordinal % 5 = 2) = 1) AS file_ok FROM locs")
 def _(spark, sf):
     p = parsed(spark, sf)
     kind = F.col("ordinal") % 5
@@ -230,7 +353,7 @@ def _(spark, sf):
         F.when(kind == 2, F.col("file_id") + 1000).otherwise(F.col("file_id")).cast("int").alias("file_id"), F.when(kind == 1, -F.col("ordinal") - 1).otherwise(F.col("ordinal")).cast("int").alias("ordinal"),
         F.when(kind == 0, F.lit(-1)).otherwise(ur.stable_hash(F.col("path"))).alias("hash"),
     )
-    return patterns.resolve_candidates(samples, p).groupBy("status").agg(F.count("*").alias("n"), F.count("path").alias("with_path"))
+    return patterns.resolve_candidates(samples, p).select("file_id", "ordinal", "status", "path", "file_ok")
 
 
 # patterns
@@ -306,7 +429,10 @@ def _(spark, sf):
     return table(spark, sf, "pattern").select("pattern_id", sampling.first_round_size(F.col("population_count") * 20).alias("size"))
 
 
-@query("f5_plan_strata")
+SHAPES = f"SELECT family AS template, {SHAPE.format(x='path')} AS stratum, count(*) AS population FROM shop_urls GROUP BY 1, 2"
+
+
+@query("f5_plan_strata", f"SELECT * FROM (WITH fs AS ({SHAPES}), fb AS (SELECT *, {SIZE.format(p='total')} AS fbudget FROM (SELECT *, cast(sum(population) OVER (PARTITION BY template) AS bigint) AS total FROM fs)), {allocation('fb', 'template', 'stratum', 'population', 'fbudget', 30)} SELECT template, stratum, population, size, cast(sum(size) OVER (PARTITION BY template) AS double) / total AS effective_rate FROM sized)")
 def _(spark, sf):
     strata = patterns.stratify_by_shape(table(spark, sf, "shop_urls").withColumnRenamed("family", "template")).withColumnRenamed("shape", "stratum")
     return sampling.plan_first_round(strata, ["template"])
@@ -327,7 +453,10 @@ def strata_of(spark, sf):
     return t.withColumn("population", F.col("sampled") * (F.length("pattern_id") * 40))
 
 
-@query("f7_plan_expansion")
+STRATA = "SELECT pattern_id, CASE WHEN observation_id % 3 = 0 THEN 'a' ELSE 'b' END AS label, count(*) AS sampled, count(*) FILTER (http_status = 404) AS hits, count(*) * (length(pattern_id) * 40) AS population FROM observation GROUP BY 1, 2"
+
+
+@query("f7_plan_expansion", f"SELECT * FROM (WITH st AS ({STRATA}), {expansion('st', 'pattern_id')} SELECT * FROM ex)")
 def _(spark, sf):
     return estimate.plan_expansion(strata_of(spark, sf), ["pattern_id"]).drop("strata")
 
@@ -361,7 +490,7 @@ def _(spark, sf):
     return probes.escalation_summary(table(spark, sf, "probe")).withColumn("escalation_rate", F.round("escalation_rate", 8))
 
 
-@query("g3_pattern_verdict")
+@query("g3_pattern_verdict", f"SELECT * FROM ({VERDICTS})")
 def _(spark, sf):
     return probes.pattern_verdict(table(spark, sf, "probe"))
 
@@ -371,7 +500,7 @@ def _(spark, sf):
     return probes.refusal_runs(table(spark, sf, "probe")).select("seq", F.col("in_a_row").cast("long").alias("in_a_row"))
 
 
-@query("g4_refusal_circuits")
+@query("g4_refusal_circuits", f"SELECT * FROM ({CIRCUITS})")
 def _(spark, sf):
     return probes.refusal_circuits(table(spark, sf, "probe").withColumn("at", F.col("seq") * 30.0))
 
@@ -391,7 +520,7 @@ def _(spark, sf):
     return t.select("pattern_id", "http_status", "is_soft_404", *(F.round(f"w.{c}", 10).alias(c) for c in ("point", "low", "high")))
 
 
-@query("h4_measure_strata")
+@query("h4_measure_strata", f"SELECT * FROM (WITH st AS ({STRATA}), {measured('st', 'pattern_id')} SELECT * FROM me)")
 def _(spark, sf):
     return estimate.measure_proportion(strata_of(spark, sf), ["pattern_id"]).drop("strata", "unsampled_strata")
 
@@ -404,11 +533,21 @@ def _(spark, sf):
     return findings(spark, sf).selectExpr(*FINDING.replace("round(impact_score, 6)", "round(impact_score; 6)").split(", ")[:-1], "round(impact_score, 6) AS impact_score")
 
 
-@query("h10_findings_stratified")
+STRATIFIED = """SELECT * FROM (WITH os AS (SELECT *, CASE WHEN observation_id % 3 = 0 THEN 'a' ELSE 'b' END AS label FROM observation),
+    pop AS (SELECT site_id, pattern_id, sample_id, label, count(*) AS sampled, count(*) * 20 AS population FROM os GROUP BY ALL),
+    outc AS (SELECT DISTINCT sample_id, http_status, is_soft_404 FROM os WHERE http_status IS NOT NULL),
+    hit AS (SELECT sample_id, label, http_status, is_soft_404, count(*) AS hits FROM os WHERE http_status IS NOT NULL GROUP BY ALL),
+    st AS (SELECT pop.*, http_status, is_soft_404, coalesce(hits, 0) AS hits FROM pop JOIN outc USING (sample_id) LEFT JOIN hit USING (sample_id, label, http_status, is_soft_404)), """ + measured("st", "site_id, pattern_id, sample_id, http_status, is_soft_404") + """
+    SELECT site_id, pattern_id, sample_id, http_status, is_soft_404, observed_count, sample_size, population_count, point_estimate, ci_low, ci_high, evidence_tier, confidence_band, round(point_estimate * w, 6) AS impact_score
+    FROM (SELECT *, CASE WHEN http_status IN (429, 403) THEN 0.0 WHEN http_status IN (410, 404) THEN 1.0 WHEN http_status >= 500 THEN 0.8 WHEN http_status BETWEEN 300 AND 399 THEN 0.15 WHEN is_soft_404 THEN 0.9 ELSE 0.0 END::DOUBLE AS w FROM me))"""
+
+
+@query("h10_findings_stratified", STRATIFIED)
 def _(spark, sf):
     o = table(spark, sf, "observation").withColumn("shape", F.when(F.col("observation_id") % 3 == 0, "a").otherwise("b"))
     s = o.groupBy("site_id", "pattern_id", "sample_id", "shape").agg((F.count("*") * 20).alias("population"))
-    return estimate.build_findings(o, s, label="shape").drop("strata")
+    columns = ["site_id", "pattern_id", "sample_id", "http_status", "is_soft_404", "observed_count", "sample_size", "population_count", "point_estimate", "ci_low", "ci_high", "evidence_tier", "confidence_band"]
+    return estimate.build_findings(o, s, label="shape").select(*columns, F.round(F.col("impact_score").cast("double"), 6).alias("impact_score"))
 
 
 @query("h7_pattern_impact", "SELECT site_id, pattern_id, round(coalesce(sum(impact_score) FILTER (severity_class NOT IN ('blocked', 'unknown')), 0), 4) AS total, coalesce(count(*) FILTER (severity_class NOT IN ('blocked', 'unknown')), 0) = 0 AS is_unmeasured, arg_min(severity_class, -impact_score) AS worst FROM (SELECT * FROM finding ORDER BY pattern_id, impact_score DESC, finding_id) GROUP BY 1, 2".replace(", arg_min(severity_class, -impact_score) AS worst", ""))
@@ -416,7 +555,10 @@ def _(spark, sf):
     return estimate.rank_by_impact(estimate.score_pattern_impact(findings(spark, sf))).select("site_id", "pattern_id", F.round("total", 4).alias("total"), "is_unmeasured")
 
 
-@query("h11_what_if")
+ONE_STRATUM = "SELECT pattern_id AS id, 'all' AS label, population, sample_size AS sampled, cast(floor(sample_size / 4.0::DOUBLE) AS bigint) AS hits FROM sample"
+
+
+@query("h11_what_if", f"SELECT * FROM (WITH st AS ({ONE_STRATUM}), {expansion('st', 'id')} SELECT me.*, should_expand, reason, additional_total, {SIZE.format(p='population_count')} AS first_round FROM me JOIN ex USING (id))")
 def _(spark, sf):
     s = table(spark, sf, "sample").select(F.col("pattern_id").alias("id"), "population", F.col("sample_size").alias("sampled"), F.floor(F.col("sample_size") / 4).alias("hits"))
     return estimate.what_if_plan(s)
@@ -561,9 +703,12 @@ def _(spark, sf):
     return reports.latest_run_per_site(table(spark, sf, "sitemap_run")).select("site_id", "run_id", "status")
 
 
-@query("j2_latest_sample", "SELECT site_id, pattern_id, sample_id FROM sample")
+@query("j2_latest_sample", "SELECT site_id, pattern_id, CASE WHEN sample_id % 2 = 0 THEN sample_id + 1000000 ELSE sample_id END AS sample_id, CASE WHEN sample_id % 2 = 0 THEN 1 + sample_id % 2 + 1 ELSE 1 + sample_id % 2 END AS round FROM sample")
 def _(spark, sf):
-    return reports.latest_sample_per_pattern(table(spark, sf, "sample")).select("site_id", "pattern_id", "sample_id")
+    """Every other sample has a second round."""
+    s = table(spark, sf, "sample").select("site_id", "pattern_id", "sample_id", "round")
+    second = s.where("sample_id % 2 = 0").withColumns({"sample_id": F.col("sample_id") + 1_000_000, "round": F.col("round") + 1})
+    return reports.latest_sample_per_pattern(s.unionByName(second))
 
 
 @query("j3_latest_complete", "SELECT site_id, run_id FROM (SELECT *, min(r) OVER (PARTITION BY site_id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY started_at DESC NULLS LAST, run_id DESC) AS r FROM sitemap_run) WHERE r <= 10 AND status IN ('complete', 'degraded')) WHERE r = f")
@@ -618,23 +763,48 @@ def _(spark, sf):
     return reports.portfolio(table(spark, sf, "site"), table(spark, sf, "sitemap_run"), findings(spark, sf)).select("site_id", "tier", "run_id", "state")
 
 
-@query("k7_run_report", "SELECT run_id, total_urls, previous_urls FROM (SELECT *, lag(total_urls) OVER (PARTITION BY site_id ORDER BY started_at, run_id) AS previous_urls FROM sitemap_run)")
+@query("k7_run_report", """SELECT r.site_id, r.run_id, total_urls, previous_urls, round(CASE WHEN previous_urls <> 0 THEN (total_urls - previous_urls) / previous_urls::DOUBLE * 100 END, 6) AS trend_percent, coalesce(n, 0) AS files, coalesce(bad, 0) AS files_failed, coalesce(own, 0) AS patterns, round(depth, 6) AS average_depth, coalesce(n, 0) AS observations, coalesce(silent, 0) AS no_response
+    FROM (SELECT *, lag(total_urls) OVER (PARTITION BY site_id ORDER BY started_at, run_id) AS previous_urls FROM sitemap_run) r
+    LEFT JOIN (SELECT 'o' || l_orderkey AS run_id, count(*) AS n, count(DISTINCT l_linenumber) AS own, count(*) FILTER (l_returnflag = 'R') AS bad, sum(l_linenumber * l_quantity) / sum(l_quantity) AS depth, count(*) FILTER (l_linestatus = 'O') AS silent FROM lineitem GROUP BY 1) l USING (run_id)""")
 def _(spark, sf):
-    return reports.run_report(table(spark, sf, "sitemap_run"), table(spark, sf, "sitemap_file"), table(spark, sf, "pattern"), table(spark, sf, "observation")).select("run_id", "total_urls", "previous_urls")
+    """Every run's report; an order is a run, and its lines are files, patterns and observations."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("site_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("run_id"), F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("pattern_id"), F.lit("/").alias("template"),
+        F.when(F.col("l_returnflag") == "R", "failed").otherwise("parsed").alias("parse_status"), F.col("l_linenumber").alias("segment_count"), F.col("l_quantity").alias("population_count"), F.when(F.col("l_linestatus") != "O", 200).alias("http_status"),
+    )
+    made = reports.run_report(table(spark, sf, "sitemap_run"), lines.select("site_id", "run_id", "parse_status"), lines.groupBy("site_id", "run_id", "pattern_id", "template", "segment_count").agg(F.sum("population_count").alias("population_count")), lines.select("site_id", "pattern_id", "http_status"))
+    return made.select("site_id", "run_id", "total_urls", "previous_urls", F.round("trend_percent", 6).alias("trend_percent"), "files", "files_failed", "patterns", F.round("average_depth", 6).alias("average_depth"), "observations", "no_response")
 
 
-@query("k8_site_analytics", "SELECT status, count(*) AS n, cast(sum(population_count) AS bigint) AS population FROM pattern WHERE site_id = 's3' GROUP BY 1")
+@query("k8_site_analytics", "SELECT 'window' AS part, site_id || ' ' || cast(cast(day AS date) AS string) AS label, http_requests AS n FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY day DESC) AS r FROM (SELECT site_id, date_trunc('day', observed_at) AS day, count(*) AS http_requests FROM observation GROUP BY 1, 2)) WHERE r <= 20 UNION ALL SELECT 'run', status, count(*) FROM sitemap_run GROUP BY 2 UNION ALL SELECT 'pattern', status, count(*) FROM pattern GROUP BY 2")
 def _(spark, sf):
+    """All three parts: windows of every site, runs by status, patterns by status."""
     h = table(spark, sf, "observation").groupBy("site_id", F.date_trunc("day", "observed_at").alias("window_start")).agg(F.count("*").alias("http_requests"))
-    _, _, statuses = reports.site_analytics(table(spark, sf, "sitemap_run"), h, reports.scope_site(table(spark, sf, "pattern"), "s3"))
-    return statuses
+    windows, runs, statuses = reports.site_analytics(table(spark, sf, "sitemap_run"), h, table(spark, sf, "pattern"), 20)
+    windows = windows.select(F.lit("window").alias("part"), F.concat_ws(" ", "site_id", F.to_date("window_start").cast("string")).alias("label"), F.col("http_requests").alias("n"))
+    return windows.unionByName(runs.select(F.lit("run").alias("part"), "label", "n")).unionByName(statuses.select(F.lit("pattern").alias("part"), F.col("status").alias("label"), "n"))
 
 
-@query("k9_pattern_files", "SELECT file_id, filename, p.url_count AS url_count FROM pattern_population p JOIN sitemap_file f USING (site_id, file_id) WHERE site_id = 's2' AND pattern_id = 'p7'")
-def _(spark, sf):
+def pages_of_patterns(spark, sf):
     f = findings(spark, sf).withColumn("computed_at", F.lit("2024-01-01").cast("timestamp"))
-    detail = reports.pattern_detail("s2", "p7", f, table(spark, sf, "observation"), table(spark, sf, "pattern_population"), table(spark, sf, "sitemap_file").drop("url_count"))
-    return detail["files"].select("file_id", "filename", "url_count")
+    return reports.pattern_details(f, table(spark, sf, "observation"), table(spark, sf, "pattern_population"), table(spark, sf, "sitemap_file").drop("url_count"))
+
+
+@query("k9_pattern_files", "SELECT site_id, pattern_id, file_id, filename, p.url_count AS url_count FROM pattern_population p JOIN sitemap_file f USING (site_id, file_id)")
+def _(spark, sf):
+    return pages_of_patterns(spark, sf)["files"].select("site_id", "pattern_id", "file_id", "filename", "url_count")
+
+
+@query("k9_pattern_observations", "SELECT site_id, pattern_id, observation_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id, pattern_id ORDER BY observed_at DESC, observation_id DESC) AS r FROM observation) WHERE r <= 200")
+def _(spark, sf):
+    return pages_of_patterns(spark, sf)["observations"].select("site_id", "pattern_id", "observation_id")
+
+
+@query("k9_pattern_findings", "SELECT f.site_id, f.pattern_id, finding_id, population FROM (SELECT *, row_number() OVER (PARTITION BY site_id, pattern_id ORDER BY finding_id) AS r FROM finding) f JOIN (SELECT site_id, pattern_id, cast(sum(url_count) AS bigint) AS population FROM pattern_population GROUP BY 1, 2) p USING (site_id, pattern_id) WHERE r <= 20")
+def _(spark, sf):
+    """Each pattern's newest findings beside its population."""
+    pages = pages_of_patterns(spark, sf)
+    return pages["findings"].join(pages["population"], ["site_id", "pattern_id"]).select("site_id", "pattern_id", "finding_id", "population")
 
 
 @query("k10_list_runs", "SELECT run_id, status FROM sitemap_run ORDER BY started_at DESC NULLS LAST, run_id DESC LIMIT 100")
@@ -706,24 +876,40 @@ def _(spark, sf):
     return checks.population_mismatch(table(spark, sf, "pattern"), table(spark, sf, "pattern_population"))
 
 
-@query("m1_stream_observations")
+@query("m1_stream_observations", "SELECT site_id, sample_id, url, min(observation_id) AS observation_id FROM observation GROUP BY 1, 2, 3")
 def _(spark, sf):
     """The observations through the idempotent stream into a table, read back."""
-    from pathsieve.streaming.jobs import stream_observations
-    from pathsieve.streaming.runs import run_to_table
+    from pathsieve.streaming.runs import run_observations
 
-    return run_to_table(spark, sf, stream_observations).select("sample_id", "url").groupBy("sample_id").agg(F.count_distinct("url").alias("urls"))
+    return run_observations(spark, sf).select("site_id", "sample_id", "url", "observation_id")
 
 
 @query("m2_stream_tallies", "SELECT site_id, sample_id, http_status, is_soft_404, count(*) AS n FROM observation GROUP BY ALL")
 def _(spark, sf):
     """Running tallies of the stream, as its last micro-batches leave them."""
-    from pathsieve.streaming.runs import run_tallies
+    from pathsieve.streaming.runs import run_findings
+
+    return run_findings(spark, sf)[0]
+
+
+@query("m2_stream_findings", f"SELECT {FINDING} FROM finding")
+def _(spark, sf):
+    """Findings refreshed with every micro-batch, as the last ones leave them."""
+    from pathsieve.streaming.runs import run_findings
+
+    f = run_findings(spark, sf)[1].withColumn("finding_id", F.concat_ws(":", "pattern_id", F.col("http_status").cast("string"), F.col("is_soft_404").cast("string")))
+    return f.selectExpr(*FINDING.replace("round(impact_score, 6)", "round(impact_score; 6)").split(", ")[:-1], "round(impact_score, 6) AS impact_score")
+
+
+@query("m4_stream_stale_runs", "SELECT run_id, stale_ms FROM (SELECT 'r' || user_id AS run_id, epoch_us(max(ts)) // 1000 + 900000 AS stale_ms, (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000 AS reached FROM events GROUP BY 1) WHERE stale_ms <= reached")
+def _(spark, sf):
+    """Users of the log as runs; those silent for 15 minutes when the log ends."""
+    from pathsieve.streaming.runs import run_stale
 
-    return run_tallies(spark, sf)
+    return run_stale(spark, sf)
 
 
-@query("m3_stream_circuits")
+@query("m3_stream_circuits", f"SELECT * FROM ({CIRCUITS})")
 def _(spark, sf):
     """The same openings as ``g4_refusal_circuits``, from the stream."""
     from pathsieve.streaming.runs import run_circuits

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathsieve.operators.reports import portfolio
 
+#: Columns of the two exports, in order (fixed values).
 OBSERVATION_COLUMNS = ("url", "pattern", "http_status", "method", "escalated_to_get", "is_soft_404", "error_reason", "response_ms", "observed_at")
 PORTFOLIO_COLUMNS = ("site_id", "name", "host", "tier", "state", "run_id", "run_status", "started_at", "total_urls", "total", "critical", "created_at")
 

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pathsieve.operators.estimate import findings_of_tallies
 from pathsieve.operators.probes import COOLDOWN_S, FORBIDDEN, TOO_MANY
+from pathsieve.operators.upserts import append_new
+
+
+KEY = ("site_id", "sample_id", "url")
 
 
 def stream_observations(observations: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each (site, sample, url) once, within the watermark."""
-    return observations.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["site_id", "sample_id", "url"])
+    """Each (site, sample, url) once, within the watermark; ``store_observations`` knows no such limit."""
+    return observations.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", late).dropDuplicatesWithinWatermark(list(KEY))
+
+
+def store_observations(observations: DataFrame, path: str, order: str = "observation_id") -> DataStreamWriter:
+    """Appends what is new in each micro-batch to the table in ``path``, whenever its key came before; a batch that is run again replaces its own rows."""
+
+    def append(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        stored = spark.read.schema(f"{_ddl(rows)}, batch long").parquet(path) if _exists(spark, path) else spark.createDataFrame([], f"{_ddl(rows)}, batch long")
+        append_new(rows, stored.where(F.col("batch") < batch), KEY, order).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return observations.writeStream.foreachBatch(append)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def stream_tallies(observations: DataFrame) -> DataFrame:
@@ -24,9 +49,32 @@ def stream_tallies(observations: DataFrame) -> DataFrame:
     return observations.groupBy("site_id", "sample_id", "http_status", "is_soft_404").agg(F.count("*").alias("n"))
 
 
-def refresh_findings(tallies: DataFrame, refresh: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Calls ``refresh`` with the changed tallies of each micro-batch."""
-    return tallies.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(refresh).start()
+def refresh_findings(tallies: DataFrame, samples: DataFrame, path: str) -> DataStreamWriter:
+    """Keeps ``path``/tallies and ``path``/findings: with each micro-batch, the changed counts and new findings of the samples they belong to.
+
+    ``samples`` (site_id, pattern_id, sample_id, population) is a table. The
+    newest batch of a key holds; ``newest`` reads it. A batch that is run again
+    replaces its own rows.
+    """
+
+    def refresh(changed: DataFrame, batch: int) -> None:
+        spark = changed.sparkSession
+        changed.write.mode("overwrite").parquet(f"{path}/tallies/batch={batch}")
+        known = spark.read.schema(f"{_ddl(changed)}, batch long").parquet(f"{path}/tallies").where(F.col("batch") <= batch)
+        touched = known.where(F.col("batch") == batch).select("site_id", "sample_id").distinct()
+        now = newest(known.join(touched, ["site_id", "sample_id"], "left_semi"), TALLY).withColumnRenamed("n", "hits")
+        findings_of_tallies(now, samples.join(touched, ["site_id", "sample_id"], "left_semi")).write.mode("overwrite").parquet(f"{path}/findings/batch={batch}")
+
+    return tallies.writeStream.outputMode("update").foreachBatch(refresh)
+
+
+TALLY = ("site_id", "sample_id", "http_status", "is_soft_404")
+
+
+def newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows of the newest batch of each key."""
+    last = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return rows.withColumn("_r", F.rank().over(last)).where("_r = 1").drop("_r", "batch")
 
 
 class RefusalCircuit(StatefulProcessor):
@@ -38,19 +86,20 @@ class RefusalCircuit(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, streak, until = self.state.get() if self.state.exists() else (0, 0, float("-inf"))
         out = []
-        for pdf in rows:
-            for seq, at, status in pdf.sort_values("seq")[["seq", "at", "status"]].itertuples(index=False):
-                if at < until:
-                    continue
-                status = 0 if pd.isna(status) else int(status)
-                if status not in (429, 403):
-                    last, streak = 0, 0
-                    continue
-                streak = streak + 1 if status == last else 1
-                last = status
-                if streak >= (TOO_MANY if status == 429 else FORBIDDEN):
-                    out.append((key[0], int(seq), "TOO_MANY_REQUESTS" if status == 429 else "FORBIDDEN"))
-                    last, streak, until = 0, 0, at + COOLDOWN_S
+        # a host's rows of one micro-batch may come in several pieces, none of them in order
+        batch = pd.concat(list(rows), ignore_index=True)
+        for seq, at, status in batch.sort_values("seq")[["seq", "at", "status"]].itertuples(index=False):
+            if at < until:
+                continue
+            status = 0 if pd.isna(status) else int(status)
+            if status not in (429, 403):
+                last, streak = 0, 0
+                continue
+            streak = streak + 1 if status == last else 1
+            last = status
+            if streak >= (TOO_MANY if status == 429 else FORBIDDEN):
+                out.append((key[0], int(seq), "TOO_MANY_REQUESTS" if status == 429 else "FORBIDDEN"))
+                last, streak, until = 0, 0, at + COOLDOWN_S
         self.state.update((last, streak, until))
         yield pd.DataFrame(out, columns=["host", "opened_seq", "reason"])
 

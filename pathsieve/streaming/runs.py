@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathsieve.plans.derived import TABLES, table
-from pathsieve.streaming.jobs import refresh_findings, stream_tallies
+from pathsieve.streaming.jobs import TALLY, newest, refresh_findings, store_observations, stream_stale_runs, stream_tallies
 
 
 def _folder(spark: SparkSession) -> str:
@@ -22,44 +21,51 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def observation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probe log as a stream: ``events`` read file by file, derived as the batch table is."""
+def _events(spark: SparkSession, sf_dir: str) -> str:
+    """Name of a view of the log as a stream."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     name = f"events_{uuid.uuid4().hex}"
     events.createOrReplaceTempView(name)
+    return name
+
+
+def observation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe log as a stream: ``events`` read file by file, derived as the batch table is."""
+    name = _events(spark, sf_dir)
     return spark.sql(TABLES["observation"].replace("FROM events", f"FROM {name}"))
 
 
-def run_to_table(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as the idempotent stream stores them."""
     path = _folder(spark)
-    query = job(observation_stream(spark, sf_dir)).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/table")
+    query = store_observations(observation_stream(spark, sf_dir), f"{path}/table").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return spark.read.parquet(f"{path}/table").drop("batch")
 
 
-def run_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest count of each (sample, status, soft 404), from the changed counts of every micro-batch."""
-    path = _folder(spark)
+def run_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(tallies, findings) as the stream's last micro-batches leave them."""
+    path, samples = _folder(spark), table(spark, sf_dir, "sample").select("site_id", "pattern_id", "sample_id", "population")
+    query = refresh_findings(stream_tallies(observation_stream(spark, sf_dir)), samples, path).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return newest(spark.read.parquet(f"{path}/tallies"), TALLY), newest(spark.read.parquet(f"{path}/findings"), ["site_id", "sample_id"])
 
-    def keep(changed: DataFrame, batch: int) -> None:
-        changed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/table")
 
-    query = refresh_findings(stream_tallies(observation_stream(spark, sf_dir)), keep, f"{path}/log")
-    query.processAllAvailable()
-    query.stop()
-    keys = ["site_id", "sample_id", "http_status", "is_soft_404"]
-    rows = spark.read.parquet(f"{path}/table")
-    newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return rows.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select(*keys, "n")
+def run_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs (one for each user of the log) that fall silent, from the heartbeats in the log."""
+    name = _events(spark, sf_dir)
+    heartbeats = spark.sql(f"SELECT 'r' || cast(user_id AS string) AS run_id, cast(ts AS timestamp) AS heartbeat_at FROM {name}")
+    path = _folder(spark)
+    query = stream_stale_runs(heartbeats).writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/table")
+    query.awaitTermination()
+    return spark.read.schema("run_id string, stale_ms long").parquet(f"{path}/table")
 
 
 def run_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Openings of refusal circuits in the probe log, read as a stream; the state store is RocksDB while it runs."""
     from pathsieve.streaming.jobs import stream_refusal_circuits
 
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"events_{uuid.uuid4().hex}"
-    events.createOrReplaceTempView(name)
+    name = _events(spark, sf_dir)
     probes = spark.sql(TABLES["probe"].replace("FROM events", f"FROM {name}")).select("host", "seq", (F.col("seq") * 30.0).cast("double").alias("at"), F.col("status").cast("long").alias("status"))
     path, key = _folder(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
