@@ -28,8 +28,8 @@ MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 3, 5, 7, 8), (0, 1, 4, 7, 8, 9, 10))
 SHORT_MASK = (0, 1, 2)
 #: Share of the words of such an item that must agree.
 SHORT_SHARE = 0.85
-#: Benchmark seeds that are broadcast at most.
-BROADCAST_SEEDS = 1_000_000
+#: Benchmark seeds and words that are broadcast at most; a seed takes about 24 bytes and a word 8.
+BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 4_000_000
 
 
 def word_array(text: Column) -> Column:
@@ -70,8 +70,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
     seeds = seeds.select("item_id", "item", "q", F.posexplode(_seeds(F.col("item"), F.col("q"), masks)).alias("mask", "seed"))
     fits = F.element_at(F.array(*map(F.lit, spans)), F.col("mask") + 1) + F.col("q") <= F.size("item")
     whole = (F.size("item") >= WINDOW) == (F.col("mask") < len(MASKS))
-    seeds = seeds.where(fits & whole).select("item_id", "item", "q", "seed")
-    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    seeds = seeds.where(fits & whole).select("item_id", "q", "seed")
+    words = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
+    few = words <= BROADCAST_WORDS and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
 
     def worded(rows: DataFrame) -> DataFrame:
         return rows.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), word_array(F.col(text)).alias("document"))
@@ -82,10 +83,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
     places = places.select("doc_id", "document", "p", F.explode(_seeds(F.col("document"), F.col("p"), masks)).alias("seed"))
     offset = F.col("p") - F.col("q")
     if few:
-        hits = places.join(F.broadcast(seeds), "seed")
+        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
     else:
         # words meet again only where seeds do
-        known = places.select("doc_id", "p", "seed").join(seeds.select("seed", "item_id", "q"), "seed").select("doc_id", "item_id", offset.alias("p"), F.lit(0).alias("q")).distinct()
+        known = places.select("doc_id", "p", "seed").join(seeds, "seed").select("doc_id", "item_id", offset.alias("p"), F.lit(0).alias("q")).distinct()
         hits = known.join(worded(docs), "doc_id").join(items, "item_id")
     base = F.greatest(offset, F.lit(0))
     hits = hits.select("doc_id", "item_id", "item", offset.alias("offset"), F.slice("document", base + 1, F.size("item")).alias("part"))
