@@ -27,7 +27,7 @@ BUCKETS = 1 << 17
 #: Labelled rows of each class that the hinge-loss model is fitted on, at most.
 FIT_ROWS = 3000
 #: Label rows that are broadcast at most; more are joined by a shuffle.
-BROADCAST_LABELS = 4_000_000
+BROADCAST_LABELS = 500_000
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 40
 
 _CLASS = np.arange(256, dtype=np.uint64)
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
     indicator it saw, and at most ``BUCKETS`` rows of sums reach the driver. The
     hinge-loss model takes ``FIT_ROWS`` rows of each class, those with the lowest
     hash of their id, and is fitted in one task. Null ids or labels are left
-    out, an id labelled more than once counts once with its highest label;
+    out, an id labelled more than once counts once with its highest label; of rows
+    that share an id, all are counted and one is fitted on;
     without labels of both classes every text gets the same score.
     """
     small_batches(docs.sparkSession)
@@ -196,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
                 yield pa.RecordBatch.from_arrays([pa.array([indicators(t).astype(np.int32) for t in texts[a:b]], pa.list_(pa.int32())), good.slice(a, b - a)], ["found", "good"])
 
     sample = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    sample = sample.select("text", "good").mapInArrow(featurise, "found array<int>, good int").repartition(1)
+    sample = sample.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "good")).alias("row"))
+    sample = sample.select("row.text", "row.good").mapInArrow(featurise, "found array<int>, good int").repartition(1)
     row = sample.mapInPandas(train, "weights binary, bias double, slope double, shift double").first()
     return Model(ratio, np.frombuffer(bytes(row.weights)).copy(), row.bias, row.slope, row.shift)
 

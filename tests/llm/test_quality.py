@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from pathsieve.llm.quality import BUCKETS, fit, indicators, score
+from pathsieve.llm.quality import BUCKETS, COST, SMOOTHING, fit, indicators, score
 
 
 def test_learns_and_scores_every_row(spark):
@@ -39,3 +39,34 @@ def test_indicators_are_sets_of_whole_texts():
     long = indicators("ab " * 50_000 + "###")
     assert len(long) == len(set(long)) and long.max() < BUCKETS
     assert not np.array_equal(long, indicators("ab " * 50_000))
+
+
+def test_ratios_and_weights_against_brute_force(spark):
+    """The ratios are plain counts, and no other weights have a lower hinge loss."""
+    pick = random.Random(5)
+    rows = [(i, " ".join("".join(pick.choices("abcd", k=3)) + ("!" if i % 3 == 0 and pick.random() < 0.6 else "") for _ in range(12)), int(i % 3 > 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "other text of the same id")] * 40, "doc_id long, text string")
+    model = fit(docs.repartition(5), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    good, bad = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    for i, t, y in rows + [(1, "other text of the same id", 1)] * 40:
+        (good if y else bad)[indicators(t)] += 1
+    assert np.allclose(model.ratio, np.log((good / good.sum()) / (bad / bad.sum())))
+
+    def loss(w, b):
+        total = (w @ w + b * b) / 2
+        for i, t, y in rows:
+            if i != 1:  # which of its rows is fitted on is another matter
+                x = np.zeros(BUCKETS)
+                x[indicators(t)] = model.ratio[indicators(t)]
+                sign = 1 if y else -1
+                cost = COST * 90 / (2 * sum(r[2] == y for r in rows))
+                total += cost * max(0.0, 1 - sign * (w @ x / np.sqrt(x @ x) + b))
+        return total
+
+    least, around = loss(model.weights, model.bias), np.random.default_rng(2)
+    used = np.flatnonzero(model.weights)
+    for size in (0.01, 0.1):
+        for _ in range(20):
+            w = model.weights.copy()
+            w[used] += size * around.standard_normal(len(used)) / np.sqrt(len(used))
+            assert loss(w, model.bias + size * around.standard_normal() / 10) > least - 0.05
