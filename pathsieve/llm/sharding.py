@@ -70,32 +70,34 @@ def jump_shard(key: Column, shards: int, more: int = 1) -> Column:
 
 
 def shard(df: DataFrame, key: str, shards: int, *columns: str) -> DataFrame:
-    """Adds shard, slot and grown_shard to (key, *columns).
+    """(key, *columns, shard, slot, grown_shard) of every row of ``df``.
 
     slot numbers the rows of a shard from 0 without gaps. A shard is never
-    sorted in one task: its rows are dealt over ranges by a hash of the key, the
+    sorted in one task: its rows are dealt over ranges by a hash of the row, the
     ranges are counted (shards x ranges rows), and a row's slot is its place in
     its range plus what the ranges before hold. The ranges grow with the input.
-    Repeated rows all get slots of their own; which of two equal rows comes
-    first doesn't show.
+    Equal rows are one counted row until they have their slots, however many
+    there are; they get slots of their own, and which of them comes first doesn't
+    show.
 
-    Nulls: a null key counts as 0. An empty table gives an empty result.
+    Nulls: a null key counts as 0. An empty table gives an empty result. A key or
+    column named shard, slot or grown_shard is left out of the result, for the
+    new column of that name.
     """
-    hit = jump_shard(F.col(key), shards)
-    placed = df.select(key, *columns, hit.alias("hit")).select(key, *columns, F.col("hit.shard").alias("shard"), F.col("hit.grown").alias("grown_shard"))
+    given = [key, *columns]
+    own = [f"_c{i}" for i in range(len(given))]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(given, own, strict=True))).groupBy(*own).agg(F.count("*").alias("_n"))
+    hit = jump_shard(F.col(own[0]), shards)
+    placed = rows.withColumn("_hit", hit).select(*own, "_n", F.col("_hit.shard").alias("_shard"), F.col("_hit.grown").alias("_grown"))
     ranges = max(LEAST_RANGES, -(-df.count() // (shards * ROWS_PER_RANGE)))
-    # rows of one key are dealt by their other columns as well
-    placed = placed.withColumn("_range", F.pmod(F.xxhash64(F.col(key), *columns), F.lit(ranges)).cast("int"))
-    counts = placed.groupBy("shard", "_range").agg(F.count("*").alias("n"))
-    before = counts.select(
-        "shard", "_range", (F.sum("n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("n")).alias("before")
-    )
-    within = Window.partitionBy("shard", "_range").orderBy(F.col(key), *columns)
-    return (
-        placed.withColumn("_place", F.row_number().over(within))
-        .join(before, ["shard", "_range"])
-        .select(key, *columns, "shard", (F.col("before") + F.col("_place") - 1).alias("slot"), "grown_shard")
-    )
+    placed = placed.withColumn("_range", F.pmod(F.xxhash64(*own), F.lit(ranges)).cast("int"))
+    counts = placed.groupBy("_shard", "_range").agg(F.sum("_n").alias("_rows"))
+    before = counts.select("_shard", "_range", (F.sum("_rows").over(Window.partitionBy("_shard").orderBy("_range")) - F.col("_rows")).alias("_before"))
+    within = Window.partitionBy("_shard", "_range").orderBy(*own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = placed.withColumn("_upto", F.sum("_n").over(within)).join(before, ["_shard", "_range"])
+    slots = first.withColumn("_slot", F.explode(F.sequence(F.col("_before") + F.col("_upto") - F.col("_n"), F.col("_before") + F.col("_upto") - 1)))
+    new = {"shard": "_shard", "slot": "_slot", "grown_shard": "_grown"}
+    return slots.select(*(F.col(n).alias(c) for c, n in zip(given, own, strict=True) if c not in new), *(F.col(n).alias(c) for c, n in new.items()))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def jump(key, n):
 
 def test_against_the_published_loop(spark):
     keys = [*range(-50, 400), 2**63 - 1, -(2**63), 7, 7, 7, None]
-    df = spark.createDataFrame([(k, "x" * 1) for k in keys], "k long, shard string").withColumnRenamed("shard", "extra")
+    df = spark.createDataFrame([(k, "x" * 1) for k in keys], "k long, extra string")
     rows = shard(df, "k", 24, "extra").collect()
     assert len(rows) == len(keys)
     slots = collections.defaultdict(list)
@@ -25,3 +25,15 @@ def test_against_the_published_loop(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert shard(df.limit(0), "k", 24).count() == 0
+
+
+def test_clashing_names_and_equal_rows(spark):
+    df = spark.createDataFrame([(k % 5, "a", "b") for k in range(3000)], "shard long, slot string, `_n` string")
+    rows = shard(df, "shard", 3, "slot", "_n").collect()
+    assert rows[0].__fields__ == ["_n", "shard", "slot", "grown_shard"] and len(rows) == 3000
+    own = collections.defaultdict(list)
+    for r in rows:
+        own[r.shard].append(r.slot)
+    assert {s: len(x) for s, x in own.items()} == collections.Counter(jump(k % 5, 3) for k in range(3000))
+    assert all(sorted(x) == list(range(len(x))) for x in own.values())
+    assert shard(df.withColumnRenamed("slot", "hit").withColumnRenamed("_n", "grown_shard"), "shard", 3, "hit", "grown_shard").columns == ["hit", "shard", "slot", "grown_shard"]
