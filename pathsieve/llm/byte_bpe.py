@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathsieve.llm.common import bounded_steps, small_batches, table
 
-#: Pre-tokens a worker remembers before it starts anew.
-CACHE_ENTRIES = 120_000
+#: Bytes that a worker's cache of pre-tokens takes before it starts anew, what an entry takes besides its text, and the longest pre-token it keeps.
+CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 40_000_000, 220, 256
 #: Code points per block of the scan.
 BLOCK = 128
 
@@ -57,17 +58,18 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 GO, CUT = _automaton()
 
 
-def code_point_classes(pattern_library=None) -> np.ndarray:
+def code_point_classes() -> np.ndarray:
     """Class of every code point, as the tokenizer library's own Unicode tables have it."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     bytes_only = {bytes([i]): i for i in range(256)}
     out = np.zeros(0x110000, np.uint8)
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        found = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=bytes_only, special_tokens={}).encode_ordinary(every)
-        points = np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)
-        out[points] = kind
+        encoding = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=bytes_only, special_tokens={})
+        for first in range(0, 0x110000, 0x8000):
+            points = [c for c in range(first, first + 0x8000) if not 0xD800 <= c < 0xE000]
+            found = encoding.encode_ordinary("".join(map(chr, points)))
+            out[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = kind
     out[ord(" ")] = BLANK
     return out
 
@@ -128,20 +130,22 @@ def boundaries(symbols: np.ndarray) -> np.ndarray:
 
 
 class PairMerger:
-    """Merges the byte pairs of many pre-tokens together; ranks are those of a .tiktoken file."""
+    """Merges the byte pairs of many pre-tokens together."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.pieces = {i: b for b, i in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    def __init__(self, byte_ids: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
+        self.byte_ids, self.keys, self.ranks = byte_ids, keys, ranks
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> PairMerger:
+        """Of the ranks of a .tiktoken file."""
         pairs = {}
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):
                 a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.whole = ranks
+        keys = np.array(sorted(pairs), np.int64)
+        return cls(np.array([ranks[bytes([i])] for i in range(256)], np.int64), keys, np.array([pairs[k] for k in keys.tolist()], np.int64))
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -191,12 +195,19 @@ class PairMerger:
 
 
 class ByteBpe:
+    """Codec for a .tiktoken file; made once, by whoever has the file, and sent to the workers without its cache."""
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.merger = PairMerger(ranks)
+        self.merger = PairMerger.of(ranks)
         self.classes = code_point_classes()
+        self.pieces = {i: b for b, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}, "cached": 0}
 
     def slices(self, texts: list[str]) -> list[list[str]]:
         """The pre-tokens of each text."""
@@ -220,50 +231,56 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
+        if self.cached > CACHE_BYTES:
             cache.clear()
+            self.cached = 0
         split = self.slices(texts)
         missing = list({w for words in split for w in words if w not in cache})
+        long = []
         if missing:
-            cache.update(zip(missing, self.merger.merge([w.encode() for w in missing]), strict=True))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            made = self.merger.merge([w.encode() for w in missing])
+            cache.update(zip(missing, made, strict=True))
+            self.cached += ENTRY_BYTES * len(missing) + sum(map(len, missing)) + sum(map(len, made))
+            long = [w for w in missing if len(w) > KEPT_CHARS]
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for w in long:
+            self.cached -= ENTRY_BYTES + len(w) + len(cache.pop(w))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.merger.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def offsets(self, ids: bytes) -> np.ndarray:
         """First byte of each id in the decoded text, and the text's length."""
-        return np.cumsum([0, *(len(self.merger.pieces[i]) for i in np.frombuffer(ids, "<u4").tolist())])
+        return np.cumsum([0, *(len(self.pieces[i]) for i in np.frombuffer(ids, "<u4").tolist())])
 
 
-_CODECS: dict[str, ByteBpe] = {}
+def codec(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The codec of a .tiktoken file, a name of the public tokenizers or a path, for all workers: about 3 MB, whatever is encoded."""
+    if "/" not in vocabulary:
+        import public_tokenizers
 
+        vocabulary = public_tokenizers.path(vocabulary)
+    return spark.sparkContext.broadcast(ByteBpe(vocabulary))
 
-def codec(vocabulary: str) -> ByteBpe:
-    """The worker's codec for a .tiktoken file: a name of the public tokenizers or a path every executor has."""
-    if vocabulary not in _CODECS:
-        if "/" in vocabulary:
-            path = vocabulary
-        else:
-            import public_tokenizers
 
-            path = public_tokenizers.path(vocabulary)
-        _CODECS[vocabulary] = ByteBpe(path)
-    return _CODECS[vocabulary]
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", offsets: str | None = None, round_trip: str | None = None) -> DataFrame:
+    """``df`` with the ids of every whole text (array<int>), and optionally each id's first byte, and whether they decode to the text.
 
-
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """``df`` with the ids of every whole text (array<int>), and optionally each id's first byte.
-
-    No row is shuffled. A null or empty text has no ids; rows repeat as they do
-    in ``df``; a column of ``df`` named like a new one is replaced.
+    No row is shuffled, and encoding and decoding are one pass. A null or empty
+    text has no ids; rows repeat as they do in ``df``; a column of ``df`` named
+    like a new one is replaced.
     """
+    from pyspark.sql import types as T
+
     small_batches(df.sparkSession)
-    new = {ids: "array<int>"} | ({offsets: "array<int>"} if offsets else {})
+    ints = T.ArrayType(T.IntegerType())
+    new = {ids: ints} | ({offsets: ints} if offsets else {}) | ({round_trip: T.BooleanType()} if round_trip else {})
     kept = [c for c in df.columns if c not in new]
+    shared = codec(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
+        own = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for a, b in bounded_steps(texts):
@@ -271,12 +288,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 columns = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in made], pa.list_(pa.int32()))]
                 if offsets:
                     columns.append(pa.array([own.offsets(x)[:-1].astype(np.int32) for x in made], pa.list_(pa.int32())))
+                if round_trip:
+                    columns.append(pa.array([own.decode(x) == t.encode() for x, t in zip(made, texts[a:b], strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *columns], [*kept, *new])
 
     # the text goes along as a last column, whether or not it is kept
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, T.ArrayType(T.IntegerType())) for k in new)])
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, kind) for k, kind in new.items())])
     return df.select(*kept, F.col(text).cast("string").alias("_text_")).mapInArrow(run, schema)
 
 
@@ -286,9 +303,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
     kept = [c for c in df.columns if c != out]
     small_batches(df.sparkSession)
+    shared = codec(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
+        own = shared.value
         for batch in batches:
             made = [None if x is None else own.decode(np.array(x, "<u4").tobytes()) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], [*kept, out])
@@ -303,9 +321,10 @@ def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str =
     Encoding and decoding run in one pass over a batch, so that ids need not
     leave the task.
     """
+    shared = codec(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
+        own = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []

@@ -7,7 +7,8 @@ import tiktoken
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from pathsieve.llm.byte_bpe import codec, decode, digests, encode  # noqa: E402
+from pathsieve.llm import byte_bpe  # noqa: E402
+from pathsieve.llm.byte_bpe import ByteBpe, decode, digests, encode  # noqa: E402
 
 NAME = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,7 +21,7 @@ def library():
 
 
 def test_random_texts_encode_as_the_library_does(library):
-    own, pick = codec(NAME), random.Random(5)
+    own, pick = ByteBpe(public_tokenizers.path(NAME)), random.Random(5)
     alphabet = ["a", "the", "'s", "'re", "'v", "'", "''ll", " ", "  ", "\n", "\t ", " ", "　", "é", "ß", "9", "12", "٣", "½", ".", "###", "漢字", "🙂", "́", "\x1c", "\x85", "I'm", "'D", "<|endoftext|>"]
     texts = ["".join(pick.choices(alphabet, k=pick.randint(0, 60))) for _ in range(3000)]
     texts += ["", " ", "  ", "'", "'s", " 's", "a" * 5000, "ab" * 3000, "=" * 3001, " " * 300 + "x", "x" + " " * 300]
@@ -30,14 +31,23 @@ def test_random_texts_encode_as_the_library_does(library):
         assert own.decode(ids) == text.encode()
 
 
+def test_cache_starts_anew(monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2000)
+    own, texts = ByteBpe(public_tokenizers.path(NAME)), [f"word{i} {'z' * 300}{i}" for i in range(60)]
+    for text in texts * 2:
+        (ids,) = own.encode([text])
+        assert ids == b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
+        assert own.cached <= 2600 and not any(len(w) > byte_bpe.KEPT_CHARS for w in own.cache)
+
+
 def test_frames(spark, library):
     df = spark.createDataFrame([(1, "Hello world's end", "x"), (1, "Hello world's end", "x"), (2, "", "y"), (3, None, None), (None, "ü  \n", "z")], "doc_id long, text string, ids string")
-    rows = decode(encode(df, NAME, offsets="at"), NAME).collect()
+    rows = decode(encode(df, NAME, offsets="at", round_trip="whole"), NAME).collect()
     assert len(rows) == 5
     for r in rows:
         assert list(r.ids) == library.encode_ordinary(r.text or "")
         assert bytes(r.decoded).decode() == (r.text or "")
-        assert len(r.at) == len(r.ids)
+        assert len(r.at) == len(r.ids) and r.whole
     made = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests(df, NAME).collect()}
     for r in df.collect():
         ids = library.encode_ordinary(r.text or "")
