@@ -376,7 +376,22 @@ def _(spark, sf):
     return patterns.pattern_population(patterns.assign_patterns(p, patterns.learn_patterns(p)))
 
 
-@query("e1_learn_shop")
+#: Whether so many children among so many URLs are values.
+VARIES = "({f} > 100 OR ({o} >= 30 AND {f} / {o}::DOUBLE >= 0.6))"
+#: The shop's patterns, level by level: order numbers, parts of each flag, sections beside the other first segments, and pages below them.
+SHOP_PATTERNS = f"""SELECT * FROM (WITH e AS (SELECT file_id, string_split(path, '/') AS s FROM shop_urls), u AS (SELECT file_id, s[2] AS a, s[3] AS b, s[4] AS c, s[5] AS d FROM e),
+    ord AS (SELECT count(DISTINCT b) AS f, count(*) AS o FROM u WHERE a = 'order'), part AS (SELECT b, count(DISTINCT c) AS f, count(*) AS o FROM u WHERE a = 'shop' GROUP BY b),
+    root AS (SELECT count(DISTINCT a) AS f, count(*) AS o, count(DISTINCT a) FILTER (a LIKE 'section-%') AS alike FROM u), flat AS (SELECT {VARIES.format(f='f', o='o')} AND {VARIES.format(f='alike', o='o')} AS section_is_param FROM root),
+    sec AS (SELECT CASE WHEN section_is_param THEN '{{param}}' ELSE a END AS a2, count(DISTINCT c) AS f, count(*) AS o FROM u, flat WHERE a LIKE 'section-%' GROUP BY 1),
+    t AS (SELECT file_id, CASE a WHEN 'about' THEN '/about'
+        WHEN 'order' THEN '/order/' || (SELECT CASE WHEN {VARIES.format(f='f', o='o')} THEN '{{param}}' ELSE u.b END FROM ord) || '/line/' || d
+        WHEN 'shop' THEN '/shop/' || u.b || '/' || (SELECT CASE WHEN {VARIES.format(f='f', o='o')} THEN '{{param}}' ELSE u.c END FROM part WHERE part.b = u.b)
+        ELSE '/' || a2 || '/page/' || CASE WHEN {VARIES.format(f='sec.f', o='sec.o')} THEN '{{param}}' ELSE c END END AS template
+        FROM u, flat LEFT JOIN sec ON a2 = CASE WHEN section_is_param THEN '{{param}}' ELSE a END AND a LIKE 'section-%')
+    SELECT template, len(string_split(template, '/')) - 1 AS segment_count, count(*) AS population_count, count(DISTINCT file_id) AS file_count FROM t GROUP BY 1)"""
+
+
+@query("e1_learn_shop", SHOP_PATTERNS)
 def learn_shop(spark, sf):
     """Patterns of every order line's URL, with exact populations."""
     u = table(spark, sf, "shop_urls").withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != ""))
