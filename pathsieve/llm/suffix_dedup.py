@@ -1,15 +1,16 @@
 """Long byte strings that occur more than once, found by suffix sorting.
 
 All texts together are too long to sort in one place. Each ``window``-byte string
-is assigned to the lowest hash among its 32-byte strings (its anchor): equal
-windows have equal anchors, so the windows of one anchor can be sorted apart from
-all others. A run of windows with the same anchor is a chunk. Anchors that occur
-once are dropped, and equal chunks are sorted once, however often they occur.
-What is left are anchors with several different chunks; they are dealt out into
-shards, and each shard's suffixes are sorted by external induced sorting
-(``suffix_sort``), where neighbours that share ``window`` bytes are repeats. An
-anchor with more different chunks than a shard holds is split further: its
-windows are grouped by their digests, so no task holds all of it.
+is assigned to the lowest hash among its 128-byte strings (its anchor): equal
+windows have equal anchors at the same distance, so the windows of one anchor can
+be sorted apart from all others. A run of windows with the same anchor is a chunk.
+Anchors that occur once are dropped, and equal chunks are sorted once, however
+often they occur. What is left are anchors with several different chunks; they are
+dealt out into shards, and each shard's suffixes are sorted by external induced
+sorting (``suffix_sort``), where neighbours that share ``window`` bytes are
+repeats. An anchor with more different chunks than a shard holds is split by
+distance and by digests of what its windows have in common, so no task holds all
+of it.
 """
 
 from __future__ import annotations
@@ -23,75 +24,124 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathsieve.llm.common import bounded_steps, durable, filter_of, groups_of, may_hold, parted, release, small_batches, table
+from pathsieve.llm.common import bounded_steps, durable, filter_of, forget, groups_of, may_hold, parted, release, small_batches, table
 from pathsieve.llm.suffix_sort import repeated
 from pathsieve.llm.words import _BYTES, mix, powers
 
 #: Bytes of an anchor.
-GRAM = 32
-#: Bytes that a shard takes; the windows of a larger anchor are grouped by digest.
+GRAM = 128
+#: Windows of a text that are worked on together, and bits that name a place among their anchors.
+SEGMENT, PLACE_BITS = 1 << 20, 21
+#: Bytes that a shard takes; the windows of a larger anchor are split by digests.
 SHARD_BYTES = 1 << 20
-#: Tasks that one digest's windows are dealt out to.
-SALTS = 16
+#: Neighbouring distances from the anchor whose windows are told apart together at first.
+STRIDE = 16
 
 
-def _chunks(texts: list, window: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, bytes, first window, windows, anchor) of every text: its runs of windows with one anchor."""
+def _chunks(texts: list, window: int) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, offset, bytes, first window, windows, place of the anchor, anchor) of every segment of every text: its runs of windows with one anchor.
+
+    Places count from the offset, where the segment's bytes begin.
+    """
     gram = min(GRAM, window)
     span = window - gram + 1
+    low_bits = np.uint64((1 << PLACE_BITS) - 1)
     for a, b in bounded_steps(texts):
         raws = [(t or "").encode() for t in texts[a:b]]
-        for i, text in enumerate(raws, a):
-            count = len(text) - window + 1
-            if count <= 0:
-                continue
-            raw = np.frombuffer(text, np.uint8)
-            power, inverse = powers(len(raw))
-            total = np.empty(len(raw) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTES[raw] * power[: len(raw)], out=total[1:])
-            n = len(raw) - gram + 1
-            grams = mix((total[gram:] - total[:n]) * inverse[:n])
-            # the lowest hash of each window, its first place if there are several
-            packed = (grams & ~np.uint64((1 << 28) - 1)) | np.arange(n, dtype=np.uint64)
-            blocks = -(-n // span)
-            grid = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
-            grid[:n] = packed
-            grid = grid.reshape(blocks, span)
-            left = np.minimum.accumulate(grid, axis=1).reshape(-1)
-            right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-            low = np.minimum(right[:count], left[span - 1: span - 1 + count])
-            place = (low & np.uint64((1 << 28) - 1)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            yield i, text, first, np.diff(np.r_[first, count]), grams[place[first]].view(np.int64)
+        for i, whole in enumerate(raws, a):
+            for offset in range(0, len(whole) - window + 1, SEGMENT):
+                text = whole[offset: offset + SEGMENT + window - 1]
+                count = len(text) - window + 1
+                raw = np.frombuffer(text, np.uint8)
+                power, inverse = powers(len(raw))
+                total = np.empty(len(raw) + 1, np.uint64)
+                total[0] = 0
+                np.cumsum(_BYTES[raw] * power[: len(raw)], out=total[1:])
+                n = len(raw) - gram + 1
+                grams = mix((total[gram:] - total[:n]) * inverse[:n])
+                # the lowest hash of each window, its first place if there are several
+                packed = (grams & ~low_bits) | np.arange(n, dtype=np.uint64)
+                blocks = -(-n // span)
+                grid = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
+                grid[:n] = packed
+                grid = grid.reshape(blocks, span)
+                left = np.minimum.accumulate(grid, axis=1).reshape(-1)
+                right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+                low = np.minimum(right[:count], left[span - 1: span - 1 + count])
+                place = (low & low_bits).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                yield i, offset, text, first, np.diff(np.r_[first, count]), place[first], grams[place[first]].view(np.int64)
+
+
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
 def _by_digest(contents: DataFrame, window: int) -> DataFrame:
-    """(c, first, last): runs of windows of chunks (h, c, n, raw) that are in another chunk too. Chunks come repeatedly."""
+    """(c, first, last): runs of windows of chunks (h, c, n, a, raw) that are in another chunk too. Chunks come repeatedly.
+
+    Equal windows lie at the same distance from their anchor. ``STRIDE``
+    neighbouring distances are one stretch: its windows all hold the same core,
+    so stretches whose core is in no other chunk are done, and so are those that
+    are equal wherever their core occurs. Only the rest is looked at window by
+    window.
+    """
+    schema = "c binary, first int, last int, core binary, own binary"
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, c, n, a, raw in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "n", "a", "raw")), strict=True):
+                for block in range((a - n + 1) // STRIDE, a // STRIDE + 1):
+                    near, far = max(block * STRIDE, a - n + 1), min(block * STRIDE + STRIDE - 1, a)
+                    at = a - block * STRIDE
+                    core = raw[at: at + max(0, window - STRIDE + 1)]
+                    key = h.to_bytes(8, "little", signed=True) + block.to_bytes(4, "little")
+                    rows.append((c, a - far, a - near, _digest(key, core), _digest(bytes([near % STRIDE, far % STRIDE]), raw[a - far: a - near + window])))
+            kinds = {"c": pa.binary(), "first": pa.int32(), "last": pa.int32(), "core": pa.binary(), "own": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, n, raw in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "raw")), strict=True):
-                found = [hashlib.blake2b(raw[j: j + window], digest_size=16).digest() for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(found, pa.binary())], ["c", "j", "d"])
+            cs, js, ds = [], [], []
+            for c, h, a, raw, first, last in zip(*(batch.column(k).to_pylist() for k in ("c", "h", "a", "raw", "first", "last")), strict=True):
+                for j in range(first, last + 1):
+                    cs.append(c)
+                    js.append(j)
+                    ds.append(_digest(h.to_bytes(8, "little", signed=True), (a - j).to_bytes(4, "little"), raw[j: j + window]))
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(js, pa.int32()), pa.array(ds, pa.binary())], ["c", "j", "d"])
+
+    once = durable(contents.dropDuplicates(["c"]))
+    each = durable(once.mapInArrow(stretches, schema))
+    cores = each.groupBy("core").agg((F.min("own") == F.max("own")).alias("alike"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    cores = durable(cores.select("core", "alike"))
+    shared = durable(each.join(cores, "core").select("c", "first", "last", "alike"))
+    forget(each, cores)
+    mixed = shared.where("not alike").join(once, "c").select("c", "h", "a", "raw", "first", "last").mapInArrow(windows, "c binary, j int, d binary")
+    mixed = durable(mixed)
+    again = durable(mixed.groupBy("d").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("d"))
+    single = mixed.join(again, "d").select("c", F.col("j").alias("first"), F.col("j").alias("last"))
+    return shared.where("alike").select("c", "first", "last").unionByName(single)
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(c, first, last): the same windows in as few runs as can be."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cs, firsts, lasts = [], [], []
-            for c, js in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                js = np.array(js)
-                new = np.flatnonzero(np.r_[True, np.diff(js) > 1])
-                cs += [c] * len(new)
-                firsts += js[new].tolist()
-                lasts += js[np.r_[new[1:], len(js)] - 1].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["c", "first", "last"])
-
-    # the windows of one chunk differ, since the anchor lies elsewhere in each
-    each = durable(contents.mapInArrow(windows, "c binary, j int, d binary"))
-    again = each.groupBy("d").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("d")
-    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = each.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(again, ["d", "salt"])
-    return hits.groupBy("c").agg(F.array_sort(F.collect_set("j")).alias("js")).mapInArrow(runs, "c binary, first int, last int")
+            out = []
+            for c, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last = None
+                for span in spans:
+                    if last is not None and span["first"] <= last[2] + 1:
+                        last[2] = max(last[2], span["last"])
+                    else:
+                        last = [c, span["first"], span["last"]]
+                        out.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2))], ["c", "first", "last"])
+
+    spans = found.groupBy("c").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    return spans.mapInArrow(runs, "c binary, first int, last int")
 
 
 def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
@@ -113,13 +163,13 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
         for batch in batches:
             keys = batch.column(1).to_pylist()
             hs, cs, ts, ss, ns = [], [], [], [], []
-            for i, raw, first, count, h in _chunks(batch.column(0).to_pylist(), window):
+            for i, offset, raw, first, count, _, h in _chunks(batch.column(0).to_pylist(), window):
                 for k in np.flatnonzero(may_hold(several.value, h)).tolist():
                     s, n = int(first[k]), int(count[k])
                     hs.append(int(h[k]))
-                    cs.append(hashlib.blake2b(raw[s: s + n + window - 1], digest_size=16).digest())
+                    cs.append(_digest(raw[s: s + n + window - 1]))
                     ts.append(keys[i])
-                    ss.append(s)
+                    ss.append(offset + s)
                     ns.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(cs, pa.binary()), pa.array(ts, pa.string()), pa.array(ss, pa.int32()), pa.array(ns, pa.int32())], ["h", "c", "t", "s", "n"])
 
@@ -127,28 +177,32 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
     places = durable(keyed.mapInArrow(chunks, "h long, c binary, t string, s int, n int"))
     alike = durable(places.groupBy("c").agg(F.count("*").alias("times"), F.min("h").alias("h"), F.min("n").alias("n")))
     anchored = durable(alike.groupBy("h").agg(F.count("*").alias("count"), F.sum(F.col("n").cast("long") + window - 1).alias("bytes")).where("count > 1"))
-    mixed = anchored.select("h")
     large = anchored.where(F.col("bytes") > SHARD_BYTES).select("h")
-    open_ = spark.sparkContext.broadcast(filter_of(mixed, "h"))
+    some_large = not large.isEmpty()
+    open_ = spark.sparkContext.broadcast(filter_of(anchored, "h"))
+    big = spark.sparkContext.broadcast(filter_of(large, "h"))  # a smaller anchor that it lets through is split as well
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[bytes] = set()
         for batch in batches:
-            hs, cs, ns, raws = [], [], [], []
-            for _, raw, first, count, h in _chunks(batch.column(0).to_pylist(), window):
+            hs, cs, ns, places_, raws, bigs = [], [], [], [], [], []
+            for _, _, raw, first, count, place, h in _chunks(batch.column(0).to_pylist(), window):
+                split = may_hold(big.value, h)
                 for k in np.flatnonzero(may_hold(open_.value, h)).tolist():
                     s, n = int(first[k]), int(count[k])
                     chunk = raw[s: s + n + window - 1]
-                    c = hashlib.blake2b(chunk, digest_size=16).digest()
+                    c = _digest(chunk)
                     if c not in said:
-                        if len(said) > 500_000:
+                        if len(said) > 200_000:
                             said.clear()
                         said.add(c)
                         hs.append(int(h[k]))
                         cs.append(c)
                         ns.append(n)
+                        places_.append(int(place[k]) - s)
                         raws.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(cs, pa.binary()), pa.array(ns, pa.int32()), pa.array(raws, pa.binary())], ["h", "c", "n", "raw"])
+                        bigs.append(bool(split[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(cs, pa.binary()), pa.array(ns, pa.int32()), pa.array(places_, pa.int32()), pa.array(raws, pa.binary()), pa.array(bigs, pa.bool_())], ["h", "c", "n", "a", "raw", "big"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, bytes]] = []
@@ -186,18 +240,19 @@ def repeats(df: DataFrame, text: str = "text", window: int = 400) -> DataFrame:
         if held:
             yield finish()
 
-    told = texts.mapInArrow(contents, "h long, c binary, n int, raw binary")
-    shards = told
-    some_large = not large.isEmpty()
+    told = texts.mapInArrow(contents, "h long, c binary, n int, a int, raw binary, big boolean")
     if some_large:
         told = durable(told)
-        shards = told.join(large, "h", "left_anti")
+    shards = told.where("not big").select("h", "c", "n", "raw")
     partly = shards.repartition("h").sortWithinPartitions("h", "c").mapInArrow(sort, "c binary, first int, last int")
     if some_large:
-        partly = partly.unionByName(_by_digest(told.join(large, "h", "left_semi"), window))
-    whole = places.join(alike.where("times > 1").select("c"), "c").select("t", F.col("s").alias("first"), (F.col("s") + F.col("n") - 1).alias("last"))
-    once = places.join(partly, "c").select("t", (F.col("s") + F.col("first")).alias("first"), (F.col("s") + F.col("last")).alias("last"))
-    out = durable(whole.unionByName(once).groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))
+        partly = partly.unionByName(_merged(_by_digest(told.where("big").select("h", "c", "n", "a", "raw"), window)))
+    # of a chunk that occurs repeatedly every window does; only one that occurs once depends on the others
+    runs = alike.where("times > 1").select("c", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
+    runs = runs.unionByName(partly.join(alike.where("times = 1").select("c"), "c", "left_semi").select("c", "first", "last"))
+    placed = places.join(runs, "c").select("t", (F.col("s") + F.col("first")).alias("first"), (F.col("s") + F.col("last")).alias("last"))
+    out = durable(placed.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")))
+    forget(hits, places, alike, anchored)
     release(spark)
     return out
 

@@ -1,74 +1,127 @@
-"""Induced suffix sorting of a shard, with queues that spill to disk.
+"""Induced suffix sorting of a shard, with queues of suffixes and common prefixes that spill to disk.
 
 The scheme of SA-IS (Nong, Zhang and Chan, 2009) in the external form of eSAIS
 (Bingmann, Fischer and Osipov, 2013): suffixes whose type turns from L to S are
 sorted first; the order of the L suffixes is induced from theirs, and that of the
 S suffixes from the L suffixes. The priority queue of suffix tuples is a queue
-for each first symbol, since tuples of one symbol arrive in order; a queue keeps
-blocks of positions and writes them to a temporary file beyond ``MEMORY`` items.
-The seeds are sorted on names of the pieces between them, by doubling; only the
-first ``depth`` bytes count, so the recursion ends where they are named.
+for each first symbol, since tuples of one symbol arrive in order. A tuple is a
+position and how many symbols it has in common with the one before it in its
+queue: one more than its inducer with the inducer of that one, which is the least
+of the values in between (Fischer, 2011). Queues write blocks to a temporary file
+beyond ``MEMORY`` tuples and are read back piece by piece; text, types and marks
+of a shard beyond it lie in mapped files. The seeds are sorted on names of the
+pieces between them, by doubling; only the first ``depth`` symbols count, so there
+is no further recursion.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Positions that the queues of a shard hold in memory before blocks go to disk.
-MEMORY = 8_000_000
+#: Tuples that the queues of a shard hold in memory before blocks go to disk, and tuples taken from a queue at once.
+MEMORY, PIECE = 8_000_000, 1 << 17
+#: More than any common prefix.
+NONE_YET = 1 << 30
+
+
+def _array(n: int, dtype) -> np.ndarray:
+    """Zeros, in a mapped temporary file if there are many."""
+    if n <= MEMORY:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile(prefix="suffix-array-") as file:
+        return np.memmap(file, dtype, "w+", shape=n)
 
 
 class _Queues:
-    """First-in first-out queues of position blocks, one for each symbol."""
+    """Queues of (position, common prefix with the one before) blocks, one for each symbol."""
 
     def __init__(self, symbols: int):
         self.blocks: list[list] = [[] for _ in range(symbols)]
         self.held = 0
         self.file = None
 
-    def push(self, symbol: int, block: np.ndarray) -> None:
+    def push(self, symbol: int, block: np.ndarray, common: np.ndarray) -> None:
         if not len(block):
             return
+        pair = np.stack([block, common]).astype(np.int32)
         if self.held + len(block) > MEMORY:
             self.file = self.file or tempfile.TemporaryFile(prefix="suffix-queue-")
             self.file.seek(0, 2)
             at = self.file.tell()
-            self.file.write(block.tobytes())
+            self.file.write(pair.tobytes())
             self.blocks[symbol].append((at, len(block)))
         else:
             self.held += len(block)
-            self.blocks[symbol].append(block)
+            self.blocks[symbol].append(pair)
 
-    def spread(self, symbols: np.ndarray, block: np.ndarray) -> None:
-        """Deals a block out by symbol, in order."""
-        if not len(block):
-            return
-        order = np.argsort(symbols, kind="stable")
-        symbols, block = symbols[order], block[order]
-        cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
-            self.push(int(symbols[a]), block[a:b])
-
-    def take(self, symbol: int) -> np.ndarray:
-        """All positions that wait under a symbol; they leave the queue."""
-        found, out = self.blocks[symbol], []
-        self.blocks[symbol] = []
-        for x in found:
+    def take(self, symbol: int, last: bool = False) -> np.ndarray | None:
+        """The next blocks that wait under a symbol, or the last ones, about ``PIECE`` tuples; they leave the queue."""
+        found, out, size = self.blocks[symbol], [], 0
+        if not found:
+            return None
+        order = range(len(found) - 1, -1, -1) if last else range(len(found))
+        for i in order:
+            x = found[i]
             if isinstance(x, tuple):
                 self.file.seek(x[0])
-                out.append(np.frombuffer(self.file.read(4 * x[1]), np.int32))
+                x = np.frombuffer(self.file.read(8 * x[1]), np.int32).reshape(2, -1)
             else:
-                self.held -= len(x)
-                out.append(x)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+                self.held -= x.shape[1]
+            out.append(x)
+            size += x.shape[1]
+            if size >= PIECE:
+                break
+        if last:
+            del found[len(found) - len(out):]
+            out.reverse()
+        else:
+            del found[:len(out)]
+        return np.concatenate(out, axis=1)
 
     def close(self) -> None:
         if self.file:
             self.file.close()
 
 
+class _Inducer:
+    """Pushes the suffixes one position before those of a sorted sequence, with their common prefixes."""
+
+    def __init__(self, text: np.ndarray, queues: _Queues, symbols: int):
+        self.text, self.queues = text, queues
+        #: Least common prefix since the last suffix that went to each queue, and whether there is one.
+        self.least, self.started = np.full(symbols, NONE_YET, np.int64), np.zeros(symbols, bool)
+
+    def read(self, block: np.ndarray, common: np.ndarray, chosen: np.ndarray) -> None:
+        """The next suffixes of the sequence, each with its common prefix with the one before, and which of them induce."""
+        at = np.flatnonzero(chosen)
+        if not len(at):
+            np.minimum(self.least, common.min(), out=self.least)
+            return
+        symbol = self.text[block[at] - 1]
+        order = np.argsort(symbol, kind="stable")
+        symbol, at = symbol[order], at[order]
+        head = np.r_[True, symbol[1:] != symbol[:-1]]
+        begin = np.r_[0, at[:-1] + 1]
+        begin[head] = 0
+        ranged = np.r_[common, NONE_YET]
+        value = np.minimum.reduceat(ranged, np.stack([begin, at + 1], 1).reshape(-1))[::2].astype(np.int64)
+        cuts = np.flatnonzero(head)
+        own = symbol[cuts].astype(np.int64)
+        value[cuts] = np.minimum(value[cuts], self.least[own])
+        value += 1
+        value[cuts[~self.started[own]]] = 0  # the first of its symbol
+        ends = [*cuts[1:].tolist(), len(at)]
+        for k, a, b in zip(own.tolist(), cuts.tolist(), ends, strict=True):
+            self.queues.push(k, block[at[a:b]] - 1, value[a:b])
+        rest = np.minimum.accumulate(ranged[::-1])[::-1]
+        np.minimum(self.least, common.min(), out=self.least)
+        self.least[own] = rest[at[np.array(ends) - 1] + 1]
+        self.started[own] = True
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it (S); the last one is."""
     ends = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
@@ -84,118 +137,128 @@ def _packed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(keys: tuple) -> np.ndarray:
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) - 1
-    return out
+def _refined(rank: np.ndarray, open_: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Tells apart, by a key, the entries that share a rank; gives those that still do. A rank is the number of smaller entries."""
+    order = np.lexsort((key, rank[open_]))
+    own, key = open_[order], key[order]
+    old = rank[own]
+    at = np.arange(len(own))
+    group = np.r_[True, old[1:] != old[:-1]]
+    head = group.copy()
+    head[1:] |= key[1:] != key[:-1]
+    rank[own] = old + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+    return own[~(head & np.r_[head[1:], True])]
 
 
 def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
     """The seeds in the order of the first ``depth`` symbols of their suffixes."""
     length = np.diff(np.r_[seeds, len(text)]) + 1  # a piece reaches to the first symbol of the next
     length[-1] = 1
-    rank = np.zeros(len(seeds), np.int64)
-    for at in range(0, int(length.max()), 7):
+    rank, open_ = np.zeros(len(seeds), np.int64), np.arange(len(seeds))
+    for at in range(0, min(int(length.max()), depth + 7), 7):
         # a piece that has ended comes after those that go on (its last symbol is of type S)
-        left = length - at
-        word = np.full(len(seeds), 1 << 63, np.uint64)
+        left = length[open_] - at
+        word = np.full(len(open_), 1 << 63, np.uint64)
         some = left > 0
-        full = _packed(text, seeds[some] + at)
         short = np.clip(7 - left[some], 0, 7).astype(np.uint64) * np.uint64(9)
-        word[some] = full | ((np.uint64(1) << short) - np.uint64(1))
-        rank = _ranks((rank, word))
-        if rank.max() == len(seeds) - 1:
-            break
-        if at > depth:
+        word[some] = _packed(text, seeds[open_[some]] + at) | ((np.uint64(1) << short) - np.uint64(1))
+        open_ = _refined(rank, open_, word)
+        if not len(open_):
             break
     step = 1
-    while rank.max() < len(seeds) - 1 and step < depth:  # a name stands for two symbols at least
-        after = np.full(len(seeds), -1, np.int64)
-        after[: max(0, len(seeds) - step)] = rank[step:]
-        rank = _ranks((rank, after))
+    while len(open_) and step < depth:  # a name stands for two symbols at least
+        after = np.where(open_ + step < len(seeds), rank[np.minimum(open_ + step, len(seeds) - 1)], -1)
+        open_ = _refined(rank, open_, after)
         step *= 2
     return seeds[np.argsort(rank, kind="stable")]
 
 
-def sorted_suffixes(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
-    """The wanted positions in the order of the first ``depth`` symbols of their suffixes.
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many of the first ``depth`` symbols the suffixes at two places have in common, pair by pair."""
+    out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+    top = len(text) - 1
+    for k in range(0, depth, 16):
+        reach = np.arange(k, min(k + 16, depth))
+        x, y = a[open_, None] + reach, b[open_, None] + reach
+        same = (text[np.minimum(x, top)] == text[np.minimum(y, top)]) & (x <= top) & (y <= top)
+        whole = same.all(1)
+        out[open_] += np.where(whole, len(reach), np.argmin(same, axis=1))
+        open_ = open_[whole]
+        if not len(open_):
+            break
+    return out
+
+
+def sorted_suffixes(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (position, common prefix with the position before) in falling order of the first ``depth`` symbols of their suffixes.
 
     ``text`` holds symbols 0 to 256 and ends with 0; 0 occurs nowhere else but
-    between pieces, never twice in a row.
+    between pieces, never twice in a row. The end comes after every symbol, and the
+    suffix of the last 0 is left out. Common prefixes are right up to ``depth``.
     """
     rising = _types(text)
     seed = np.zeros(len(text), bool)
     seed[1:] = rising[1:] & ~rising[:-1]
     seed[-1] = True
-    seeds = _sorted_seeds(text, np.flatnonzero(seed), depth).astype(np.int32)
+    seeds = _sorted_seeds(text, np.flatnonzero(seed), depth)
+    del seed
+    between = np.r_[0, _common(text, seeds[1:], seeds[:-1], depth)]
     symbols = int(text.max()) + 1
     first = text[seeds]
     begin = np.searchsorted(first, np.arange(symbols))
     finish = np.searchsorted(first, np.arange(symbols), side="right")
+
+    def seam(a: int, b: int) -> int:
+        return int(_common(text, np.array([a]), np.array([b]), depth)[0])
+
     queue, falling = _Queues(symbols), _Queues(symbols)
+    inducer = _Inducer(text, queue, symbols)
     for c in range(symbols):
-        while len(block := queue.take(c)):
-            falling.push(c, block)
-            before = block[block > 0] - 1
-            before = before[~rising[before]]
-            queue.spread(text[before], before)
-        block = seeds[begin[c]:finish[c]]
-        before = block[block > 0] - 1
-        before = before[~rising[before]]
-        queue.spread(text[before], before)
+        last = None
+        while (taken := queue.take(c)) is not None:
+            block, common = taken
+            falling.push(c, block, common)
+            inducer.read(block, common, (block > 0) & ~rising[block - 1])
+            last = int(block[-1])
+        block, common = seeds[begin[c]:finish[c]], between[begin[c]:finish[c]].copy()
+        if len(block):
+            common[0] = 0 if last is None else seam(last, int(block[0]))
+            inducer.read(block, common, (block > 0) & ~rising[block - 1])
     queue.close()
-    queue, parts = _Queues(symbols), []
+    del seeds, between, first
+    queue = _Queues(symbols)
+    inducer = _Inducer(text, queue, symbols)
     for c in range(symbols - 1, -1, -1):
-        own = []
-        while len(block := queue.take(c)):
-            own.append(block)
-            before = block[block > 0] - 1
-            before = before[rising[before]]
-            queue.spread(text[before], before)
-        block = falling.take(c)[::-1]
-        before = block[block > 0] - 1
-        before = before[rising[before]]
-        queue.spread(text[before], before)
-        parts += [x[wanted[x]] for x in own] + [block[wanted[block]]]
+        last, carried = None, None
+        while (taken := queue.take(c)) is not None:
+            block, common = taken
+            yield block, common
+            inducer.read(block, common, (block > 0) & rising[block - 1])
+            last = int(block[-1])
+        # the L suffixes from the largest down, each with what it has in common with the larger one
+        while (taken := falling.take(c, last=True)) is not None:
+            block, common = taken[0][::-1], taken[1][::-1]
+            if carried is None:
+                carried = 0 if last is None else seam(last, int(block[0]))
+            common, carried = np.r_[carried, common[:-1]], int(common[-1])
+            yield block, common
+            inducer.read(block, common, (block > 0) & rising[block - 1])
     queue.close()
     falling.close()
-    return np.concatenate(parts)[::-1]
 
 
 def repeated(chunks: list[bytes], starts: list[int], window: int) -> list[np.ndarray]:
     """For each chunk, which of its first ``starts`` windows begins elsewhere in the shard too."""
     lengths = np.array([len(c) for c in chunks])
-    text = np.zeros(int(lengths.sum()) + len(chunks), np.int16)
     base = np.cumsum(np.r_[0, lengths[:-1] + 1])
-    keep = np.ones(len(text), bool)
-    keep[base[1:] - 1] = False
-    keep[-1] = False
-    raw = np.frombuffer(b"".join(chunks), np.uint8)
-    text[keep] = raw.astype(np.int16) + 1
-    wanted = np.zeros(len(text), bool)
-    for b, n in zip(base.tolist(), starts, strict=True):
-        wanted[b: b + n] = True
-    order = sorted_suffixes(text, wanted, window).astype(np.int64)
-    # common prefixes of neighbours, word by word, up to the window
-    words = np.lib.stride_tricks.sliding_window_view(np.r_[text.astype(np.uint8), np.zeros(8, np.uint8)], 8)
-    same = np.arange(1, len(order))
-    for at in range(0, window, 8):
-        at = min(at, window - 8) if window >= 8 else 0
-        if not len(same):
-            break
-        a = np.ascontiguousarray(words[order[same - 1] + at]).view(np.uint64)[:, 0]
-        b = np.ascontiguousarray(words[order[same] + at]).view(np.uint64)[:, 0]
-        if window < 8:
-            mask = np.uint64((1 << 8 * window) - 1)
-            a, b = a & mask, b & mask
-        same = same[a == b]
-    hit = np.zeros(len(text), bool)
-    hit[order[same]] = True
-    hit[order[same - 1]] = True
-    return [hit[b: b + n] for b, n in zip(base.tolist(), starts, strict=True)]
+    text = _array(int(lengths.sum()) + len(chunks), np.int16)
+    for b, c in zip(base.tolist(), chunks, strict=True):
+        text[b: b + len(c)] = np.frombuffer(c, np.uint8)
+        text[b: b + len(c)] += 1
+    hit, before = _array(len(text), bool), -1
+    for block, common in sorted_suffixes(text, window):
+        long = np.flatnonzero(common >= window)
+        hit[block[long]] = True
+        hit[np.where(long > 0, block[long - 1], before)] = True
+        before = int(block[-1])
+    return [np.array(hit[b: b + n]) for b, n in zip(base.tolist(), starts, strict=True)]

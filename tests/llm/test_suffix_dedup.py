@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from pathsieve.llm import suffix_dedup, suffix_sort
@@ -8,9 +9,10 @@ from pathsieve.llm.suffix_dedup import dedup
 from pathsieve.llm.suffix_sort import repeated
 
 
-@pytest.mark.parametrize("memory", [0, 50, 8_000_000])
-def test_sorting_finds_every_repeat(monkeypatch, memory):
+@pytest.mark.parametrize(("memory", "piece"), [(0, 3), (50, 7), (8_000_000, 1 << 17)])
+def test_sorting_finds_every_repeat(monkeypatch, memory, piece):
     monkeypatch.setattr(suffix_sort, "MEMORY", memory)
+    monkeypatch.setattr(suffix_sort, "PIECE", piece)
     for seed in range(60):
         pick = random.Random(seed)
         window, alphabet = pick.choice([3, 8, 9, 12, 20]), bytes(range(pick.choice([1, 2, 3, 256])))
@@ -22,6 +24,26 @@ def test_sorting_finds_every_repeat(monkeypatch, memory):
         assert [x.tolist() for x in repeated(chunks, starts, window)] == [[seen[c[i:i + window]] > 1 for i in range(n)] for c, n in zip(chunks, starts)]
 
 
+@pytest.mark.parametrize(("memory", "piece"), [(100, 16), (8_000_000, 1 << 17)])
+def test_order_and_common_prefixes(monkeypatch, memory, piece):
+    """A shard of many times the queues' memory: the order of all suffixes, and what neighbours have in common."""
+    monkeypatch.setattr(suffix_sort, "MEMORY", memory)
+    monkeypatch.setattr(suffix_sort, "PIECE", piece)
+    for seed in range(12):
+        pick = random.Random(seed)
+        depth = pick.choice([5, 30, 64])
+        text = np.array([x for _ in range(30) for x in [*pick.choices(range(1, pick.choice([2, 3, 9, 257])), k=pick.randint(1, 90)), 0]], np.int16)
+        blocks = list(suffix_sort.sorted_suffixes(text, depth))
+        order, common = (np.concatenate(x).tolist() for x in zip(*blocks, strict=True))
+        # the end of the text comes after every symbol
+        keys = {i: tuple([*text[i:i + depth].tolist(), *[999] * (i + depth - len(text))]) for i in range(len(text) - 1)}
+        assert sorted(order) == sorted(keys)
+        assert all(keys[a] >= keys[b] for a, b in zip(order, order[1:]))
+        for a, b, n in zip(order, order[1:], common[1:]):
+            same = next((k for k, (x, y) in enumerate(zip(keys[a], keys[b])) if x != y), depth)
+            assert min(n, depth) == same, (keys[a], keys[b], n)
+
+
 def brute(texts, window):
     seen = collections.Counter(t[i:i + window] for t in texts for i in range(len(t) - window + 1))
     out = []
@@ -35,9 +57,10 @@ def brute(texts, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 200])
-def test_against_all_windows(spark, monkeypatch, shard):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+@pytest.mark.parametrize(("shard", "gram", "segment"), [(1 << 20, 128, 1 << 20), (200, 16, 1 << 20), (200, 10, 37), (0, 1, 100)])
+def test_against_all_windows(spark, monkeypatch, shard, gram, segment):
+    for name, value in (("SHARD_BYTES", shard), ("GRAM", gram), ("SEGMENT", segment)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     pick = random.Random(shard)
     passages = ["".join(pick.choices("abcdé ", k=pick.randint(30, 90))) for _ in range(5)]
     texts = []
@@ -64,6 +87,7 @@ def test_one_anchor_never_fills_a_task(spark, monkeypatch, tmp_path):
         return sort(chunks, starts, window)
 
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 32)
     monkeypatch.setattr(suffix_dedup, "repeated", bounded)
     pick = random.Random(3)
     phrase = "".join(pick.choices("abcdefghijkl ", k=36))
