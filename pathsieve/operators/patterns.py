@@ -122,29 +122,42 @@ def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
     """
     spark = urls.sparkSession
     paths = _checkpoint(path_counts(urls.where(F.col(segments).isNotNull()), segments))
-    deepest = paths.select(F.max(F.when(F.col("path") != "", F.size(F.split("path", SEP))))).first()[0] or 0
-    rules: DataFrame | None = None
-    depth, settled = deepest, 0
-    while depth >= 1:
+    first = paths.agg(F.max(F.when(F.col("path") != "", F.size(F.split("path", SEP)))).alias("deepest"), F.sum("n").alias("n")).first()
+    deepest, settled, rules = first.deepest or 0, 0, None
+    upto, nodes, levels = deepest, None, []
+    while True:
+        if nodes is None:
+            nodes = _checkpoint(_nodes(paths, 1, deepest))
+            levels = _undecided(nodes)
+        depth = max((d for d in levels if d <= upto), default=0)
+        if not depth:
+            break
         # a decision looks at the parents and two levels below
-        nodes = _checkpoint(_nodes(paths, max(1, depth - 1), depth + 2))
-        through = nodes.where(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), "observed") if depth > 1 else paths.agg(F.sum("n").alias("observed")).select(F.lit("").alias("parent"), "observed")
+        through = nodes.where(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), "observed") if depth > 1 else spark.range(1).select(F.lit("").alias("parent"), F.lit(first.n).alias("observed"))
         changed = _checkpoint(_collapses(nodes, depth, through.withColumnRenamed("observed", "through")))
         deep = changed.agg(F.max("deep")).first()[0]
-        if deep is not None:
-            paths = _checkpoint(_rewrite(paths, changed.drop("deep"), depth))
-            step = changed.select(F.lit(settled).alias("step"), F.lit(depth).alias("depth"), "parent", "segment")
-            rules = step if rules is None else rules.unionByName(step)
-            settled += 1
-            # merged subtrees have new evidence: decide what is below them again; else only look for stragglers beside the new parameter
-            depth = deepest if deep else depth
-        else:
-            depth -= 1
+        if deep is None:
+            upto = depth - 1
+            continue
+        paths, nodes = _checkpoint(_rewrite(paths, changed.drop("deep"), depth)), None
+        step = changed.select(F.lit(settled).alias("step"), F.lit(depth).alias("depth"), "parent", "segment")
+        rules = step if rules is None else rules.unionByName(step)
+        settled += 1
+        # merged subtrees have new evidence: decide what is below them again; else only look for stragglers beside the new parameter
+        upto = deepest if deep else depth
     if rules is None:
         return spark.createDataFrame([], "step int, depth int, parent string, segment string")
     return rules
 
 
+def _undecided(nodes: DataFrame) -> list[int]:
+    """Depths at which some parent has children enough for a parameter, or a parameter beside others."""
+    counts = nodes.groupBy("depth", "parent").agg(F.count("*").alias("fan"), F.sum("observed").alias("through"), F.bool_or(F.col("segment") == PARAM).alias("param"))
+    # not all URLs through a parent go on to a child, so the ratio is at most this
+    some = (F.col("fan") > MANY) | ((F.col("fan") >= OBSERVED * RATIO) & (F.col("fan") / F.col("through") >= RATIO)) | (F.col("param") & (F.col("fan") > 1))
+    return [r.depth for r in counts.where(some).select("depth").distinct().collect()]
+
+
 def assign_patterns(urls: DataFrame, rules: DataFrame, segments: str = "segments") -> DataFrame:
     """``urls`` with ``template``. Each step of the rules is one equi-join on (rewritten prefix, segment)."""
     steps = [r.step for r in rules.select("step").distinct().orderBy("step").collect()]
