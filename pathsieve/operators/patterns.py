@@ -62,18 +62,20 @@ def _few(children: DataFrame, counts: DataFrame) -> DataFrame:
     return children.withColumn("salt", _salted()).join(many, ["parent", "salt"], "left_anti").drop("salt")
 
 
-def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
-    """(parent, segment, signature) of the nodes at a depth: what their children look like."""
-    children = nodes.where(F.col("depth") == depth + 1).withColumn("leaf", F.col("below") == 0)
+def _signatures(nodes: DataFrame, depth: int, parents: DataFrame) -> DataFrame:
+    """(parent, segment, signature) of the nodes at a depth below ``parents``: what their children look like."""
+    own = nodes.where(F.col("depth") == depth).join(parents, "parent", "left_semi").select("parent", "segment", "node", "observed", "below")
+    inside = own.where("below > 0").select(F.col("node").alias("parent"))
+    children = nodes.where(F.col("depth") == depth + 1).join(inside, "parent", "left_semi").withColumn("leaf", F.col("below") == 0)
     named = children.groupBy(F.col("parent").alias("node")).agg(
         F.count("*").alias("children"), F.bool_or(F.col("segment") == PARAM).alias("param"),
         F.count_if(F.col("segment") != PARAM).alias("literals"),
     )
     few = _few(children, named.select(F.col("node").alias("parent"), "children"))
     names = few.groupBy(F.col("parent").alias("node")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*")))), "|").alias("names"))
-    below_param = nodes.where(F.col("depth") == depth + 1).where(F.col("segment") == PARAM).select(F.col("parent").alias("node"), F.col("node").alias("param_node"), (F.col("below") == 0).alias("param_leaf"))
+    below_param = children.where(F.col("segment") == PARAM).select(F.col("parent").alias("node"), F.col("node").alias("param_node"), F.col("leaf").alias("param_leaf"))
     # the signature of a parameter child, one level down
-    down = nodes.where(F.col("depth") == depth + 2).withColumn("leaf", F.col("below") == 0)
+    down = nodes.where(F.col("depth") == depth + 2).join(below_param.select(F.col("param_node").alias("parent")), "parent", "left_semi").withColumn("leaf", F.col("below") == 0)
     inner = down.groupBy(F.col("parent").alias("param_node")).agg(
         F.count("*").alias("c2"), F.bool_or(F.col("segment") == PARAM).alias("p2"), F.bool_and(F.when(F.col("segment") == PARAM, F.col("leaf"))).alias("p2_leaf"),
     )
@@ -82,16 +84,15 @@ def _signatures(nodes: DataFrame, depth: int) -> DataFrame:
     at_param = below_param.join(inner, "param_node", "left").join(names2, "param_node", "left").withColumn(
         "inner", F.when(F.col("param_leaf"), "$").when(F.col("p2"), F.concat(F.lit("*>"), F.when(F.col("p2_leaf"), "$").otherwise("*"))).when(F.col("c2") > NAMED, "*").otherwise(F.col("n2"))
     ).select("node", "inner")
-    own = nodes.where(F.col("depth") == depth).select("parent", "segment", "node", "observed", "below")
     signature = (
         F.when(F.col("param"), F.concat(F.lit("*>"), F.col("inner"))).when(F.col("children").isNull(), "$").when(F.col("children") > NAMED, "*").otherwise(F.col("names"))
     )
     return own.join(named, "node", "left").join(names, "node", "left").join(at_param, "node", "left").select("parent", "segment", "observed", (F.col("below") > 0).alias("deep"), signature.alias("signature"))
 
 
-def _collapses(nodes: DataFrame, depth: int, observed: DataFrame) -> DataFrame:
-    """(parent, segment, deep) at a depth that become a parameter, and whether anything is below. ``observed``: (parent, through), the URLs through each parent."""
-    signed = _signatures(nodes, depth)
+def _collapses(nodes: DataFrame, depth: int, observed: DataFrame, parents: DataFrame) -> DataFrame:
+    """(parent, segment, deep) at a depth, below ``parents``, that become a parameter, and whether anything is below. ``observed``: (parent, through), the URLs through each parent."""
+    signed = _signatures(nodes, depth, parents)
     # counts by (parent, signature) decide, so no task holds all children of a parent
     groups = signed.groupBy("parent", "signature").agg(F.count("*").alias("alike"), F.bool_or(F.col("segment") == PARAM).alias("param"))
     parents = groups.groupBy("parent").agg(F.sum("alike").alias("fan"), F.count("signature").alias("kinds"), F.max(F.when(F.col("param"), F.col("signature"))).alias("param_signature"))
@@ -124,17 +125,18 @@ def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
     paths = _checkpoint(path_counts(urls.where(F.col(segments).isNotNull()), segments))
     first = paths.agg(F.max(F.when(F.col("path") != "", F.size(F.split("path", SEP)))).alias("deepest"), F.sum("n").alias("n")).first()
     deepest, settled, rules = first.deepest or 0, 0, None
-    upto, nodes, levels = deepest, None, []
+    upto, nodes, open_, levels = deepest, None, None, []
     while True:
         if nodes is None:
             nodes = _checkpoint(_nodes(paths, 1, deepest))
-            levels = _undecided(nodes)
+            open_ = _checkpoint(_undecided(nodes))
+            levels = [r.depth for r in open_.select("depth").distinct().collect()]
         depth = max((d for d in levels if d <= upto), default=0)
         if not depth:
             break
         # a decision looks at the parents and two levels below
         through = nodes.where(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), "observed") if depth > 1 else spark.range(1).select(F.lit("").alias("parent"), F.lit(first.n).alias("observed"))
-        changed = _checkpoint(_collapses(nodes, depth, through.withColumnRenamed("observed", "through")))
+        changed = _checkpoint(_collapses(nodes, depth, through.withColumnRenamed("observed", "through"), open_.where(F.col("depth") == depth).select("parent")))
         deep = changed.agg(F.max("deep")).first()[0]
         if deep is None:
             upto = depth - 1
@@ -150,12 +152,12 @@ def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
     return rules
 
 
-def _undecided(nodes: DataFrame) -> list[int]:
-    """Depths at which some parent has children enough for a parameter, or a parameter beside others."""
+def _undecided(nodes: DataFrame) -> DataFrame:
+    """(depth, parent) of the parents that have children enough for a parameter, or a parameter beside others; their children are at the depth."""
     counts = nodes.groupBy("depth", "parent").agg(F.count("*").alias("fan"), F.sum("observed").alias("through"), F.bool_or(F.col("segment") == PARAM).alias("param"))
     # not all URLs through a parent go on to a child, so the ratio is at most this
     some = (F.col("fan") > MANY) | ((F.col("fan") >= OBSERVED * RATIO) & (F.col("fan") / F.col("through") >= RATIO)) | (F.col("param") & (F.col("fan") > 1))
-    return [r.depth for r in counts.where(some).select("depth").distinct().collect()]
+    return counts.where(some).select("depth", "parent")
 
 
 def assign_patterns(urls: DataFrame, rules: DataFrame, segments: str = "segments") -> DataFrame:
