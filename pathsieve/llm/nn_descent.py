@@ -10,7 +10,7 @@ block, where blocks that lie so close (or so far apart) that all (or none) of th
 pairs pass are counted without comparing, and components with links between them
 become one. A bounded audit compares some nodes, and some of each component, with
 all others; as long as it finds too few of their links, the search is repeated with
-longer lists.
+longer lists, and in the end all blocks are compared with all others.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1. The largest component goes out first, so that squares neither over- nor underflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -54,7 +56,7 @@ def nodes_of(df: DataFrame, id_col: str, vector: str) -> DataFrame:
                 if i is None or x is None or any(c is None for c in x):
                     continue
                 v = np.array(x, np.float64) + 0.0  # no negative zeros
-                if len(v) and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0:
+                if len(v) and np.isfinite(v).all() and v.any():
                     ids.append(i)
                     out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
@@ -89,18 +91,31 @@ def _first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
                     codes = ((unit @ planes > 0) * (1 << np.arange(24))).sum(1).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), order * (1 << 40) + size, np.int64)), pa.array(codes), ids.take(pa.array(at)), pa.array([raw[i] for i in at], pa.binary())], ["o", "code", "id", "v"])
 
+    def near(ids: list[int], raw: list[bytes]) -> pa.RecordBatch:
+        ids, unit = np.array(ids, np.int64), _unit(_matrix(raw))
+        sims = unit @ unit.T
+        np.fill_diagonal(sims, -2)
+        r, c = _best(sims, k)
+        keep = r != c
+        return _pairs([(ids[r[keep]], ids[c[keep]], sims[r[keep], c[keep]])])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (_, ids, raw) in groups_of(batches, 1):
-            ids = np.array(ids, np.int64)
-            unit = _unit(_matrix(raw))
-            for at in range(0, max(1, len(ids) - CHUNK // 2), CHUNK // 2):  # chunks overlap by half
-                part, own = ids[at: at + CHUNK], unit[at: at + CHUNK]
-                if len(part) > 1:
-                    sims = own @ own.T
-                    np.fill_diagonal(sims, -2)
-                    r, c = _best(sims, k)
-                    keep = r != c
-                    yield _pairs([(part[r[keep]], part[c[keep]], sims[r[keep], c[keep]])])
+        """``CHUNK`` rows of an order at a time; chunks overlap by half, and no more is held."""
+        order, ids, raw, new = None, [], [], 0
+        for batch in batches:
+            for o, i, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if o != order:
+                    if new and len(ids) > 1:
+                        yield near(ids, raw)
+                    order, ids, raw, new = o, [], [], 0
+                ids.append(i)
+                raw.append(v)
+                new += 1
+                if len(ids) == CHUNK:
+                    yield near(ids, raw)
+                    ids, raw, new = ids[CHUNK // 2:], raw[CHUNK // 2:], 0
+        if new and len(ids) > 1:
+            yield near(ids, raw)
 
     coded = nodes.select("id", "v").mapInArrow(code, "o long, code long, id long, v binary")
     return coded.repartitionByRange("o", "code", "id").sortWithinPartitions("o", "code", "id").mapInArrow(compare, "a long, b long, s double")
@@ -249,13 +264,16 @@ def _enlarged(nodes: DataFrame, groups: DataFrame, threshold: float) -> tuple[Da
     return total.join(nodes.select("id", "w"), "id").select("id", (F.col("links") - F.col("w")).alias("links")), bridges
 
 
-def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """((id, links to other nodes with multiplicity), (id, root)) of the nodes that are linked."""
+def _links(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((id, links to other nodes with multiplicity), (id, root)) of the nodes that are linked; if ``exact``, every component and every single node is compared with all others."""
     edges = durable(lists.where(F.col("s") >= threshold))
     roots = durable(connected_components(edges.select("a", "b")).select(F.col("node").alias("id"), "root"))
     full = edges.groupBy("a").count().where(F.col("count") >= k).select(F.col("a").alias("id"))
     saturated = full.join(roots, "id").select(F.col("root").alias("list")).distinct()
     groups = roots.withColumnRenamed("root", "list").join(saturated, "list").select("id", "list")
+    if exact:
+        roots = durable(nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+        groups = roots.withColumnRenamed("root", "list")
     enlarged, bridges = _enlarged(nodes, groups, threshold)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     plain = both.join(groups.select(F.col("id").alias("a")), "a", "left_anti").join(nodes.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("links"))
@@ -320,6 +338,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         if recall >= RECALL:
             break
         k *= 2
+    else:
+        # the lists miss too much: their components are only where a comparison of all blocks begins
+        links, roots = _links(nodes, search(nodes, k, attempt), k, threshold, exact=True)
+        recall = audit(nodes, links, roots, threshold)
     of_node = nodes.join(links, "id", "left").join(roots, "id", "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("root", "id").alias("component")
     )

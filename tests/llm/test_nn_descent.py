@@ -61,3 +61,28 @@ def test_links_between_groups_with_full_lists(spark, monkeypatch, tile):
     links = spark.createDataFrame([(i, 19 if i < 40 else 399) for i in range(440)], "id long, links long")
     roots = spark.createDataFrame([(i, 0 if i < 20 else 20 if i < 40 else 40) for i in range(440)], "id long, root long")
     assert nn_descent.audit(nodes, links, roots, 0.9) < 0.95
+
+
+def test_searches_that_miss_end_in_a_whole_comparison(spark, monkeypatch):
+    """With lists of one neighbour and no audit to please, every link and component is still found."""
+    monkeypatch.setattr(nn_descent, "RECALL", 2.0)
+    monkeypatch.setattr(nn_descent, "REPEATS", 0)
+    monkeypatch.setattr(nn_descent, "NEIGHBOURS", 1)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 0)
+    monkeypatch.setattr(nn_descent, "BLOCK", 8)
+    random = np.random.default_rng(11)
+    rows = np.concatenate([c + random.standard_normal((random.integers(1, 12), 8)) * 0.12 for c in random.standard_normal((40, 8))])
+    near = (unit := rows / np.linalg.norm(rows, axis=1)[:, None]) @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(rows))
+    for _ in range(len(rows)):
+        root = np.array([min([root[i], *root[near[i]]]) for i in range(len(rows))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    made = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert [(made[i].n_links, made[i].component_id) for i in range(len(rows))] == [(near[i].sum(), root[i]) for i in range(len(rows))]
+
+
+def test_lengths_of_any_size(spark):
+    rows = [[1e200, 1.0], [1e200, 2.0], [1e-200, 0.0], [2e-200, 0.0], [5e-324, 0.0], [0.0, 1e300]]
+    made = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert made == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 0}
