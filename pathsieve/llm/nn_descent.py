@@ -324,7 +324,7 @@ def audit(nodes: DataFrame, links: DataFrame, roots: DataFrame, threshold: float
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept, recall) of every row of ``df``; links are found pairs with cosine >= threshold.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components,
+    Ids are whole numbers or strings of them; others are an error. Vectors that are null, empty, zero, or hold null or non-finite components,
     and rows with a null id, link with nothing; so do vectors of different
     lengths. n_links counts other rows; equal vectors are linked. component_id
     is the least id reachable and kept says that it is the row's own. recall is

@@ -54,12 +54,18 @@ def _steps(texts: list, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 class FingerprintIndex:
-    """Runs of fingerprints of the documents seen so far, as Spark tables."""
+    """Runs of fingerprints of the documents seen so far, as Spark tables.
 
-    def __init__(self, spark: SparkSession, window: int = 13):
+    An index with a name outlives the call and, where the session's catalog does,
+    the session: whoever opens that name again goes on with its runs.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = 13, name: str | None = None):
         self.spark, self.window = spark, window
-        self.name, self.made = f"fingerprints_{uuid.uuid4().hex}", 0
-        self.runs: list[str] = []
+        self.name = name or f"fingerprints_{uuid.uuid4().hex}"
+        made = sorted(int(t.name.rpartition("_")[2]) for t in spark.catalog.listTables(pattern=f"{self.name}_*") if t.name.rpartition("_")[2].isdigit()) if name else []
+        self.runs = [f"{self.name}_{k}" for k in made]
+        self.made = made[-1] + 1 if made else 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
@@ -91,8 +97,30 @@ class FingerprintIndex:
         self.runs.append(run)
         return new.where("many").select("h").unionByName(known), known
 
+    def extend(self, batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        """Adds the (id, text, t) of ``batch``; (id, t, starts) of their windows that start in a document with a smaller id too.
+
+        ``earlier`` are the texts indexed before, whose ids are smaller than all of
+        the batch. They are read only where their windows may have a fingerprint
+        that the batch shares with an older run.
+        """
+        hits, known = self.add(batch)
+        own = _windows(batch, hits, self.window, True)
+        every = own.select("w", "v", "id")
+        if earlier is not None and not known.isEmpty():
+            every = every.unionByName(_windows(earlier, known, self.window, False).select("w", "v", "id"))
+        # stored, so that Spark may split the windows that many documents hold when it joins them
+        first = durable(every.groupBy("w", "v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "v", "lo"))
+        later = own.join(first, ["w", "v"]).where("lo < id")
+        starts = durable(later.groupBy("id", "t").agg(F.sort_array(F.collect_set("p")).alias("starts")))
+        self.compact()
+        forget(first, known)
+        del own, every, first, later, hits, known
+        release(self.spark)
+        return starts
+
     def compact(self) -> None:
-        """One run instead of many."""
+        """One run instead of many, when there are more than ``MAX_RUNS``."""
         if len(self.runs) <= MAX_RUNS:
             return
         rows = self.spark.table(self.runs[0]).select("h")
@@ -130,37 +158,31 @@ def _windows(texts: DataFrame, hits: DataFrame, window: int, places: bool) -> Da
     return texts.mapInArrow(run, "w long, v long, id long, t long, p int")
 
 
+def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, text, t) of the rows that can repeat something; t is a hash of the text, which tells rows of one id apart."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("t")).where("id is not null and text is not null")
+
+
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13, batches: int = 2) -> DataFrame:
     """(id, t, starts): the windows of each document that also start in a document with a smaller id.
 
-    t is a hash of the text, which tells rows of one id apart. Rows whose id is
-    null take no part. ``batches`` ranges of ids are indexed one after another;
-    the result doesn't depend on their number.
+    Rows whose id is null take no part. ``batches`` ranges of ids are indexed one
+    after another; the result doesn't depend on their number.
     """
     spark = df.sparkSession
     small_batches(spark)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("t")).where("id is not null and text is not null")
+    texts = _keyed(df, id_col, text)
     cuts = texts.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     cuts = [None, *sorted(set(cuts or [])), None]
     index, found = FingerprintIndex(spark, window), None
-    for low, high in zip(cuts, cuts[1:]):
-        batch = texts if low is None else texts.where(F.col("id") > low)
-        batch = batch if high is None else batch.where(F.col("id") <= high)
-        hits, known = index.add(batch)
-        own = _windows(batch, hits, window, True)
-        every = own.select("w", "v", "id")
-        if low is not None:
-            every = every.unionByName(_windows(texts.where(F.col("id") <= low), known, window, False).select("w", "v", "id"))
-        # stored, so that Spark may split the windows that many documents hold when it joins them
-        first = durable(every.groupBy("w", "v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("w", "v", "lo"))
-        later = own.join(first, ["w", "v"]).where("lo < id")
-        starts = durable(later.groupBy("id", "t").agg(F.sort_array(F.collect_set("p")).alias("starts")))
-        found = starts if found is None else found.unionByName(starts)
-        index.compact()
-        forget(first, known)
-        del own, every, first, later, hits, known
-        release(spark)
-    index.drop()
+    try:
+        for low, high in zip(cuts, cuts[1:]):
+            batch = texts if low is None else texts.where(F.col("id") > low)
+            batch = batch if high is None else batch.where(F.col("id") <= high)
+            starts = index.extend(batch, None if low is None else texts.where(F.col("id") <= low))
+            found = starts if found is None else found.unionByName(starts)
+    finally:
+        index.drop()
     return found
 
 
@@ -172,21 +194,31 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13, batches: int = 2) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 13, batches: int = 2, index: FingerprintIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """``df`` with columns n_words, n_removed and kept (the words that stay, joined by one space).
 
     A word goes if it lies in a window of ``window`` words that also starts in a
     document with a smaller id; windows are judged on the input. Words are runs
     of bytes other than space and \\t\\n\\v\\f\\r, unchanged. A null text has no
-    words. Rows with a null id and rows that share an id don't touch each other.
+    words. Ids are whole numbers or strings of them; others are an
+    error. Rows with a null id and rows that share an id don't touch each other.
     Columns of ``df`` named like a new one are replaced. Only texts that may lose
     words are moved to meet their windows.
+
+    With an ``index``, ``df`` is a batch that comes after all it holds: the batch
+    is judged against ``earlier`` (the documents of the batches before, as they
+    came), added to the index, and the index stays.
     """
     from pyspark.sql import types as T
 
     new = ["n_words", "n_removed", "kept"]
     rest = df.drop(*new)
-    starts = repeated_windows(df, id_col, text, window, batches)
+    if index is None:
+        starts = repeated_windows(df, id_col, text, window, batches)
+    else:
+        small_batches(df.sparkSession)
+        window = index.window
+        starts = index.extend(_keyed(df, id_col, text), None if earlier is None else _keyed(earlier, id_col, text))
     kept_columns = rest.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

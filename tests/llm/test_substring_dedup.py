@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pathsieve.llm import substring_dedup
-from pathsieve.llm.substring_dedup import dedup
+from pathsieve.llm.substring_dedup import FingerprintIndex, dedup
 
 
 def brute(rows, window):
@@ -42,3 +42,29 @@ def test_against_all_windows(spark, monkeypatch, batches, window):
     made = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in dedup(df, window=window, batches=batches).collect()), key=str)
     assert made == brute(rows, window)
     assert dedup(df.limit(0)).count() == 0
+
+
+def test_batches_in_separate_calls(spark, monkeypatch):
+    """An index that is opened anew for each batch, and compacted on the way."""
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 1)
+    pick = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(30)]
+    passages = [" ".join(pick.choices(vocabulary, k=20)) for _ in range(4)]
+    rows = [(i, " ".join([*pick.choices(vocabulary, k=pick.randint(0, 15)), pick.choice(passages) if i % 3 else "", *pick.choices(vocabulary, k=9)])) for i in range(80)]
+    cuts, made, name = [0, 25, 26, 60, 80], [], "fingerprints_of_batches"
+    for low, high in zip(cuts, cuts[1:]):
+        batch, earlier = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows[low:high], rows[:low]))
+        index = FingerprintIndex(spark, name=name)
+        assert len(index.runs) == min(1, low)
+        made += [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in dedup(batch, index=index, earlier=earlier if low else None).collect()]
+    FingerprintIndex(spark, name=name).drop()
+    assert FingerprintIndex(spark, name=name).runs == []
+    assert sorted(made, key=str) == brute(rows, 13)
+
+
+def test_words_that_collide_in_polynomials(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    start = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{start} {x}"), (2, f"{start} {y}"), (3, f"{start} {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup(df).collect()} == {1: 0, 2: 0, 3: 13}
