@@ -857,17 +857,31 @@ def _(spark, sf):
     return upserts.upsert_replace(p, p.where("file_id % 3 = 0").withColumn("url_count", F.col("url_count") * 10), ["pattern_id", "file_id"])
 
 
-BROKEN = "CASE WHEN observed_count % 4 = 0 THEN population_count + 1 ELSE ci_high END"
+#: Each rule of findings is broken in every eighth sample; the rest stay as they are.
+BROKEN = {
+    "observed_count": "CASE sample_id % 8 WHEN 0 THEN sample_size + 1 ELSE observed_count END", "ci_low": "CASE sample_id % 8 WHEN 2 THEN point_estimate ELSE ci_low END",
+    "ci_high": "CASE sample_id % 8 WHEN 1 THEN population_count + 1 WHEN 2 THEN point_estimate ELSE ci_high END", "evidence_tier": "CASE WHEN sample_id % 8 <> 3 THEN evidence_tier WHEN evidence_tier = 'counted' THEN 'estimated' ELSE 'counted' END",
+    "impact_score": "CASE sample_id % 8 WHEN 4 THEN point_estimate + 1 ELSE impact_score END", "severity_class": "CASE sample_id % 8 WHEN 5 THEN 'ok' ELSE severity_class END",
+}
+BROKEN_FINDINGS = "SELECT finding_id, sample_id, sample_size, population_count, point_estimate, severity_weight, " + ", ".join(f"{sql} AS {c}" for c, sql in BROKEN.items()) + " FROM finding"
+RULES_BROKEN = {
+    "counts_sane": "observed_count > sample_size", "interval_ordered": "ci_low > point_estimate OR point_estimate > ci_high OR ci_high > population_count", "interval_not_degenerate": "sample_size < population_count AND ci_low = ci_high",
+    "tier_matches_coverage": "(evidence_tier = 'counted') <> (sample_size >= population_count)", "impact_in_range": "impact_score > point_estimate", "no_impact_without_harm": "severity_class IN ('blocked', 'unknown', 'ok') AND (impact_score <> 0 OR severity_weight <> 0)",
+}
 
 
-@query("q1_finding_rules", f"SELECT finding_id, rule FROM (SELECT finding_id, unnest(list_filter([CASE WHEN NOT (0 <= ci_low AND ci_low <= point_estimate AND point_estimate <= b AND b <= population_count) THEN 'interval_ordered' END, CASE WHEN NOT (sample_size >= population_count OR ci_low < b) THEN 'interval_not_degenerate' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT *, {BROKEN} AS b FROM finding))")
+@query("q1_finding_rules", " UNION ALL ".join(f"SELECT finding_id, '{rule}' AS rule FROM ({BROKEN_FINDINGS}) WHERE {sql}" for rule, sql in RULES_BROKEN.items()))
 def _(spark, sf):
-    return checks.violations(findings(spark, sf).withColumn("ci_high", F.expr(BROKEN)), checks.finding_rules(), ["finding_id"])
+    f = findings(spark, sf).withColumns({"impact_score": F.col("impact_score").cast("double"), "severity_weight": F.col("severity_weight").cast("double")})
+    return checks.violations(f.withColumns({c: F.expr(sql) for c, sql in BROKEN.items()}), checks.finding_rules(), ["finding_id"])
 
 
-@query("q5_orphans", "SELECT site_id, pattern_id, 'population_of_pattern' AS rule FROM pattern_population WHERE pattern_id NOT IN (SELECT pattern_id FROM pattern WHERE status = 'measured')")
+@query("q5_orphans", "SELECT site_id, pattern_id, 'population_of_pattern' AS rule FROM (SELECT CASE file_id % 7 WHEN 0 THEN 's' || cast((cast(substr(site_id, 2) AS int) + 1) % 5 AS string) ELSE site_id END AS site_id, pattern_id FROM pattern_population) c WHERE NOT EXISTS (SELECT 1 FROM pattern p WHERE p.status = 'measured' AND p.site_id = c.site_id AND p.pattern_id = c.pattern_id)")
 def _(spark, sf):
-    return checks.orphans(table(spark, sf, "pattern_population"), table(spark, sf, "pattern").where("status = 'measured'"), ["site_id", "pattern_id"], "population_of_pattern")
+    """Populations of patterns that aren't measured, or, for every seventh file, that another site has."""
+    next_site = F.concat(F.lit("s"), ((F.substring("site_id", 2, 9).cast("int") + 1) % 5).cast("string"))
+    child = table(spark, sf, "pattern_population").withColumn("site_id", F.when(F.col("file_id") % 7 == 0, next_site).otherwise(F.col("site_id")))
+    return checks.orphans(child, table(spark, sf, "pattern").where("status = 'measured'"), ["site_id", "pattern_id"], "population_of_pattern")
 
 
 @query("q6_duplicates", "SELECT sample_id, url, count(*) AS n, 'sample_url' AS rule FROM observation GROUP BY 1, 2 HAVING count(*) > 1")
@@ -880,10 +894,35 @@ def _(spark, sf):
     return checks.several_active_runs(table(spark, sf, "sitemap_run"))
 
 
-@query("q7_domains", "SELECT pattern_id, 'status_domain' AS rule FROM pattern WHERE segment_count = 3")
-def _(spark, sf):
-    p = table(spark, sf, "pattern").withColumn("status", F.when(F.col("segment_count") == 3, "odd").otherwise(F.col("status")))
-    return checks.violations(p, checks.domain_rules()["pattern"], ["pattern_id"])
+#: By table: a key, what breaks each rule, and for which rows.
+DOMAINS = {
+    "pattern": ("pattern_id", {"population_not_negative": ("population_count", "-1", "segment_count = 2"), "status_domain": ("status", "'odd'", "segment_count = 3")}),
+    "pattern_population": ("pattern_id", {"url_count_positive": ("url_count", "0", "file_id % 9 = 0")}),
+    "pattern_sample": ("pattern_id", {"round_positive": ("round", "0", "sample_id % 5 = 0"), "sample_within_population": ("population_at_draw", "sample_size - 1", "sample_id % 3 = 0")}),
+    "sampling_health": ("site_id", {"window_ordered": ("window_end", "window_start", "http_requests % 2 = 0")}),
+    "sitemap_run": ("run_id", {"status_domain": ("status", "'odd'", "total_patterns = 4")}),
+    "site": ("site_id", {"tier_domain": ("tier", "'odd'", "is_active")}),
+}
+DOMAIN_SOURCES = {
+    "pattern_sample": "SELECT pattern_id, sample_id, round, sample_size, population AS population_at_draw FROM sample",
+    "sampling_health": "SELECT site_id, date_trunc('day', observed_at) AS window_start, date_trunc('day', observed_at) + INTERVAL '1' DAY AS window_end, count(*) AS http_requests FROM observation GROUP BY 1, 2, 3",
+}
+
+
+@query("q7_domains", " UNION ALL ".join(f"SELECT '{name}' AS of_table, {key} AS key, '{rule}' AS rule FROM ({DOMAIN_SOURCES.get(name, f'SELECT * FROM {name}')}) WHERE {rows}" for name, (key, rules) in DOMAINS.items() for rule, (_, _, rows) in rules.items()))
+def _(spark, sf):
+    """Every rule of every table, each broken in some rows."""
+    found, rules = None, checks.domain_rules()
+    for name, (key, broken) in DOMAINS.items():
+        source = {"pattern_sample": "sample", "sampling_health": "observation"}.get(name, name)
+        rows = table(spark, sf, source)
+        if name in DOMAIN_SOURCES:
+            rows.createOrReplaceTempView(f"checked_{source}")
+            rows = spark.sql(DOMAIN_SOURCES[name].replace(f"FROM {source}", f"FROM checked_{source}"))
+        rows = rows.withColumns({column: F.when(F.expr(when), F.expr(value)).otherwise(F.col(column)) for column, value, when in broken.values()})
+        one = checks.violations(rows, rules[name], [key]).select(F.lit(name).alias("of_table"), F.col(key).alias("key"), "rule")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query("q8_population_adds_up", "SELECT site_id, pattern_id, population_count, coalesce(s, 0) AS from_files, 'population_adds_up' AS rule FROM pattern LEFT JOIN (SELECT site_id, pattern_id, cast(sum(url_count) AS bigint) AS s FROM pattern_population GROUP BY 1, 2) USING (site_id, pattern_id) WHERE coalesce(s, 0) <> population_count")
