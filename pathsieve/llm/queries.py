@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathsieve.llm.byte_bpe import op9_byte_bpe
 from pathsieve.llm.decontaminate import op3_decontaminate
 from pathsieve.llm.html_text import op8_html_text
+from pathsieve.llm.line_dedup import op13_line_dedup
 from pathsieve.llm.ngram_join import op7_ngram_join
 from pathsieve.llm.nn_descent import op1_nn_descent
 from pathsieve.llm.quality import op4_quality
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
@@ -60,6 +62,14 @@ g AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 13)))) AS gone FROM
 SELECT w.doc_id, len(ws) AS n_words, len(coalesce(gone, [])) AS n_removed,
     sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
 
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.doc_id, p, line, coalesce(k.doc_id < last, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nn_descent": OP1_SQL, "op7_ngram_join": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_nn_descent": OP1_SQL, "op7_ngram_join": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op13_line_dedup": OP13_SQL}
