@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
@@ -203,3 +203,24 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
                 at = i
     if key is not None:
         yield key, held
+
+
+def ranked(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``df`` with index, a row's place from 0 among the rows of its key, and total, their number. Nulls come first and are a key of their own.
+
+    The rows are dealt over ranges of (key, order), so that no task holds a whole
+    key; a range adds what the ranges before it hold of the same key. Equal rows
+    take any places among themselves. ``df`` is read twice: ranges are sampled.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*key, *order)]
+    placed = durable(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at_", F.monotonically_increasing_id()))
+    piece = F.shiftright("_at_", 33)
+    counts = placed.groupBy(*key, piece.alias("_piece_")).agg(F.min("_at_").alias("_first_"), F.count("*").alias("_n_"))
+    # a key has one row here for each range that holds some of it
+    own = Window.partitionBy(*key)
+    before = F.sum("_n_").over(own.orderBy("_piece_")) - F.col("_n_")
+    starts = counts.select(*(F.col(c).alias(f"_own_{i}_") for i, c in enumerate(key)), "_piece_", (before - F.col("_first_")).alias("_shift_"), F.sum("_n_").over(own).alias("total"))
+    met = piece == F.col("_piece_")
+    for i, c in enumerate(key):
+        met &= F.col(c).eqNullSafe(F.col(f"_own_{i}_"))
+    return placed.join(starts, met).select(*df.columns, (F.col("_at_") + F.col("_shift_")).alias("index"), "total")

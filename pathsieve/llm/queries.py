@@ -6,6 +6,7 @@ from pathsieve.llm.byte_bpe import op9_byte_bpe
 from pathsieve.llm.decontaminate import op3_decontaminate
 from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.line_dedup import op13_line_dedup
+from pathsieve.llm.merkle import op12_merkle_manifest
 from pathsieve.llm.ngram_join import op7_ngram_join
 from pathsieve.llm.nn_descent import op1_nn_descent
 from pathsieve.llm.quality import op4_quality
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "op13_line_dedup": op13_line_dedup,
     }
 
