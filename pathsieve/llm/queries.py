@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathsieve.llm.byte_bpe import op9_byte_bpe
+from pathsieve.llm.conversations import op11_conversation_repair
 from pathsieve.llm.decontaminate import op3_decontaminate
 from pathsieve.llm.html_text import op8_html_text
 from pathsieve.llm.line_dedup import op13_line_dedup
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_line_dedup": op13_line_dedup,
     }
