@@ -55,10 +55,15 @@ def dropped_positions(lines: DataFrame, keys: DataFrame) -> DataFrame:
     total = keys.agg(F.sum("lines")).first()[0] or 0
     limit = max(KEY_LINES, -(-total // HOT_KEYS))
     hot = keys.where(F.col("lines") > limit).select("a", "b", "last")
+    cold = keys.where(F.col("lines") <= limit).select("a", "b", "last")
     if hot.isEmpty():
-        hits = lines.join(keys.select("a", "b", "last"), ["a", "b"])
+        hits = lines.join(cold, ["a", "b"])
     else:
-        hits = lines.join(F.broadcast(hot), ["a", "b"]).unionByName(lines.join(F.broadcast(hot), ["a", "b"], "left_anti").join(keys.where(F.col("lines") <= limit).select("a", "b", "last"), ["a", "b"]))
+        # lines of hot keys know their last holder here and are dealt out by places of their own
+        known = lines.join(F.broadcast(hot.withColumnRenamed("last", "hot")), ["a", "b"], "left")
+        place = F.when(F.col("hot").isNull(), F.col("a")).otherwise(F.xxhash64("id", "print", "pos"))
+        met = known.withColumns({"a": place, "b": F.when(F.col("hot").isNull(), F.col("b"))}).join(cold, ["a", "b"], "left")
+        hits = met.withColumn("last", F.coalesce("hot", "last"))
     return hits.where(F.col("id") < F.col("last")).groupBy("id", "print").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
