@@ -1,28 +1,41 @@
 """URL patterns learned from the data: which path segments are parameters, and how many URLs each pattern has.
 
-The prefix tree is a table of nodes: one row for each distinct prefix, with the
-URLs below it and those that end in it. Levels are decided from the deepest up.
-A node with so many children that they must be values (or nearly as many children
-as URLs) has children of the same shape replaced by ``{param}``; the prefixes
-below them are rewritten, merged, and decided again. Every step is a join or a
-grouping on prefixes, so a level costs one pass whatever its size, and the tables
-shrink as slots collapse. Only counts decide, so the order of the input doesn't.
+The prefix tree is a table of counted paths. A round counts the children of every
+prefix at once and finds the prefixes that are open: those with so many children
+that they must be values (or nearly as many children as URLs), and those with a
+parameter beside names. An open prefix is decided when nothing below it is open,
+so prefixes of all depths are decided in one round. Of its children, those that
+look alike and are many become ``{param}``; their subtrees merge and are decided
+in the next round. Only counts decide, so the order of the input doesn't.
+
+What is learned is a table of rules (parent, literal): at a rewritten prefix that
+has a rule, a segment is a value unless it is one of the literals there. A URL's
+template follows from its own segments and the rules, so new URLs get theirs in
+the same way.
+
+Counted paths add up: those of several passes, kept as tables, are summed and
+decided again without their URLs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathsieve.functions.urls import PARAM, path_shape
 from pathsieve.operators.upserts import checkpointed as _checkpoint
+from pathsieve.operators.upserts import forget
 
 #: Children from which a slot is a parameter, URLs that the ratio needs, and the ratio of children to URLs (fixed values).
 MANY, OBSERVED, RATIO = 100, 30, 0.6
 #: Children up to which a signature names them (fixed value).
 NAMED = 8
-#: Tasks that the children of one prefix are dealt out to in a join on prefixes.
-SALTS = 16
+#: Rows that are broadcast at most; a larger table is joined by a shuffle.
+BROADCAST = 1 << 16
+#: Rules that are written into a projection at most; more of them are joined depth by depth.
+INLINE = 1 << 12
 #: Separates the segments of a prefix; can't occur in a URL path.
 SEP = "\n"
 
@@ -36,145 +49,199 @@ def _looks_variable(children, observed):
     return (children > MANY) | ((observed >= OBSERVED) & (children / observed >= RATIO))
 
 
-def _nodes(paths: DataFrame, low: int, high: int) -> DataFrame:
-    """(depth, parent, segment, node, observed, below): every prefix of these depths with the URLs through it and those that go on below it."""
-    parts = paths.where("path <> ''").select(F.split("path", SEP).alias("s"), "n")
-    depths = F.when(F.size("s") >= low, F.sequence(F.lit(low), F.least(F.size("s"), F.lit(high))))
-    each = parts.select("s", "n", F.explode(depths).alias("depth"))
-    each = each.select(
-        "depth", F.array_join(F.slice("s", 1, F.col("depth") - 1), SEP).alias("parent"), F.get(F.col("s"), F.col("depth") - 1).alias("segment"),
-        F.array_join(F.slice("s", 1, F.col("depth")), SEP).alias("node"), "n", F.when(F.size("s") > F.col("depth"), F.col("n")).otherwise(0).alias("go_on"),
-    )
-    return each.groupBy("depth", "parent", "segment", "node").agg(F.sum("n").alias("observed"), F.sum("go_on").alias("below"))
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``BROADCAST`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
 
+def _prefix(segments: Column, depth: Column | int) -> Column:
+    return F.array_join(F.slice(segments, 1, depth), SEP)
 
-def _salted(segment: str = "segment"):
-    return F.pmod(F.xxhash64(segment), F.lit(SALTS)).cast("int")
 
+def _child(parent: Column, segment: Column) -> Column:
+    return F.when(parent == "", segment).otherwise(F.concat(parent, F.lit(SEP), segment))
 
-def _for_salts(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
+def _nodes(paths: DataFrame) -> DataFrame:
+    """(node, parent, segment, observed, below): every prefix with the URLs through it and those that go on below it."""
+    parts = paths.where("path <> ''").select(F.split("path", SEP).alias("s"), "n")
+    each = parts.select("s", "n", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("depth"))
+    each = each.select(_prefix(F.col("s"), F.col("depth")).alias("node"), "n", F.when(F.size("s") > F.col("depth"), F.col("n")).otherwise(0).alias("on"))
+    counted = each.groupBy("node").agg(F.sum("n").alias("observed"), F.sum("on").alias("below"))
+    last = F.substring_index("node", SEP, -1)
+    return counted.select("node", F.left("node", F.greatest(F.length("node") - F.length(last) - 1, F.lit(0))).alias("parent"), last.alias("segment"), "observed", "below")
 
-def _few(children: DataFrame, counts: DataFrame) -> DataFrame:
-    """The children of parents that have at most ``NAMED``. ``counts``: (parent, children)."""
-    many = _for_salts(counts.where(F.col("children") > NAMED).select("parent"))
-    return children.withColumn("salt", _salted()).join(many, ["parent", "salt"], "left_anti").drop("salt")
 
+def _inside(nodes: DataFrame) -> DataFrame:
+    """(node, kids, param, through, near) of every prefix that has children: its names, whether it has a parameter, the URLs that go on, and what its children look like.
 
-def _signatures(nodes: DataFrame, depth: int, parents: DataFrame) -> DataFrame:
-    """(parent, segment, signature) of the nodes at a depth below ``parents``: what their children look like."""
-    own = nodes.where(F.col("depth") == depth).join(parents, "parent", "left_semi").select("parent", "segment", "node", "observed", "below")
-    inside = own.where("below > 0").select(F.col("node").alias("parent"))
-    children = nodes.where(F.col("depth") == depth + 1).join(inside, "parent", "left_semi").withColumn("leaf", F.col("below") == 0)
-    named = children.groupBy(F.col("parent").alias("node")).agg(
-        F.count("*").alias("children"), F.bool_or(F.col("segment") == PARAM).alias("param"),
-        F.count_if(F.col("segment") != PARAM).alias("literals"),
-    )
-    few = _few(children, named.select(F.col("node").alias("parent"), "children"))
-    names = few.groupBy(F.col("parent").alias("node")).agg(F.array_join(F.sort_array(F.collect_list(F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*")))), "|").alias("names"))
-    below_param = children.where(F.col("segment") == PARAM).select(F.col("parent").alias("node"), F.col("node").alias("param_node"), F.col("leaf").alias("param_leaf"))
-    # the signature of a parameter child, one level down
-    down = nodes.where(F.col("depth") == depth + 2).join(below_param.select(F.col("param_node").alias("parent")), "parent", "left_semi").withColumn("leaf", F.col("below") == 0)
-    inner = down.groupBy(F.col("parent").alias("param_node")).agg(
-        F.count("*").alias("c2"), F.bool_or(F.col("segment") == PARAM).alias("p2"), F.bool_and(F.when(F.col("segment") == PARAM, F.col("leaf"))).alias("p2_leaf"),
-    )
-    few_down = _few(down, inner.select(F.col("param_node").alias("parent"), F.col("c2").alias("children")))
-    names2 = few_down.groupBy(F.col("parent").alias("param_node")).agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("segment") != PARAM, F.concat("segment", F.lit(">"), F.when(F.col("leaf"), "$").otherwise("*"))))), "|").alias("n2"))
-    at_param = below_param.join(inner, "param_node", "left").join(names2, "param_node", "left").withColumn(
-        "inner", F.when(F.col("param_leaf"), "$").when(F.col("p2"), F.concat(F.lit("*>"), F.when(F.col("p2_leaf"), "$").otherwise("*"))).when(F.col("c2") > NAMED, "*").otherwise(F.col("n2"))
-    ).select("node", "inner")
-    signature = (
-        F.when(F.col("param"), F.concat(F.lit("*>"), F.col("inner"))).when(F.col("children").isNull(), "$").when(F.col("children") > NAMED, "*").otherwise(F.col("names"))
+    Names are told apart by exclusive ors of their hashes, which are counted in
+    each task before anything moves.
+    """
+    name, leaf = F.col("segment") != PARAM, F.col("below") == 0
+    counted = nodes.groupBy(F.col("parent").alias("node")).agg(
+        F.count_if(name).alias("kids"), F.bool_or(~name).alias("param"), F.bool_or(F.when(~name, leaf)).alias("param_leaf"), F.sum("observed").alias("through"),
+        F.bit_xor(F.when(name, F.xxhash64("segment", leaf))).alias("a"), F.bit_xor(F.when(name, F.xxhash64(leaf, "segment"))).alias("b"),
     )
-    return own.join(named, "node", "left").join(names, "node", "left").join(at_param, "node", "left").select("parent", "segment", "observed", (F.col("below") > 0).alias("deep"), signature.alias("signature"))
+    names = F.concat_ws(" ", F.hex("a"), F.hex("b"), F.col("kids").cast("string"))
+    near = F.when(F.col("param"), F.when(F.col("param_leaf"), "*>$").otherwise("*>*")).when(F.col("kids") > NAMED, "*").otherwise(names)
+    return counted.select("node", "kids", "param", "through", near.alias("near"))
 
 
-def _collapses(nodes: DataFrame, depth: int, observed: DataFrame, parents: DataFrame) -> DataFrame:
-    """(parent, segment, deep) at a depth, below ``parents``, that become a parameter, and whether anything is below. ``observed``: (parent, through), the URLs through each parent."""
-    signed = _signatures(nodes, depth, parents)
-    # counts by (parent, signature) decide, so no task holds all children of a parent
-    groups = signed.groupBy("parent", "signature").agg(F.count("*").alias("alike"), F.bool_or(F.col("segment") == PARAM).alias("param"))
-    parents = groups.groupBy("parent").agg(F.sum("alike").alias("fan"), F.count("signature").alias("kinds"), F.max(F.when(F.col("param"), F.col("signature"))).alias("param_signature"))
-    groups = groups.join(parents, "parent").join(observed, "parent")
-    fresh = F.col("param_signature").isNull() & _looks_variable(F.col("fan"), F.col("through")) & ((F.col("kinds") == 1) | _looks_variable(F.col("alike"), F.col("through")))
-    # what looks like the parameter beside it belongs to it
-    straggler = F.col("param_signature").isNotNull() & (F.col("signature") == F.col("param_signature"))
-    chosen = _for_salts(groups.where(fresh | straggler).select(F.col("parent").alias("_parent"), F.col("signature").alias("_signature")))
-    literal = signed.where(F.col("segment") != PARAM).withColumn("_salt", _salted())
-    met = (F.col("parent") == F.col("_parent")) & F.col("signature").eqNullSafe(F.col("_signature")) & (F.col("_salt") == F.col("salt"))
-    return literal.join(chosen, met, "left_semi").select("parent", "segment", "deep")
+def _open(inside: DataFrame, settled: DataFrame | None) -> DataFrame:
+    """(node, depth, absorbs, kids, through) of the prefixes to decide; absorbs: they have a parameter, which may take names beside it."""
+    fresh = ~F.col("param") & _looks_variable(F.col("kids"), F.col("through"))
+    depth = F.when(F.col("node") == "", 0).otherwise(F.size(F.split("node", SEP)))
+    found = inside.where(fresh | (F.col("param") & (F.col("kids") > 0))).select("node", depth.alias("depth"), F.col("param").alias("absorbs"), "kids", "through")
+    return found if settled is None else found.join(settled, "node", "left_anti")
 
 
-def _rewrite(paths: DataFrame, changed: DataFrame, depth: int) -> DataFrame:
-    """Paths with the chosen segments at a depth replaced, merged where they meet."""
-    s = F.split("path", SEP)
-    keyed = paths.select("path", "n", F.when((F.col("path") != "") & (F.size(s) >= depth), F.array_join(F.slice(s, 1, depth - 1), SEP)).alias("parent"), F.when(F.size(s) >= depth, F.get(s, F.lit(depth - 1))).alias("segment"))
-    marked = keyed.join(changed.withColumn("hit", F.lit(True)), ["parent", "segment"], "left")
-    new = F.when(F.col("hit"), F.array_join(F.concat(F.slice(s, 1, depth - 1), F.array(F.lit(PARAM)), F.slice(s, depth + 1, F.lit(1 << 20))), SEP)).otherwise(F.col("path"))
-    return marked.select(new.alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n"))
+def _ready(open_: DataFrame) -> DataFrame:
+    """Those of ``open_`` that can be decided: no other is below one of their names, nor are they below the parameter of one that may still take names."""
+    s = F.split("node", SEP)
+    step = F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda d: F.struct(_prefix(s, d).alias("above"), (F.get(s, d) == PARAM).alias("by_param")))
+    above = open_.where("depth > 0").select("node", F.explode(step).alias("x")).select("node", "x.above", "x.by_param")
+    waits = above.where("not by_param").select(F.col("above").alias("node"))
+    taken = above.where("by_param").join(open_.where("absorbs").select(F.col("node").alias("above")), "above", "left_semi").select("node")
+    return open_.join(waits.unionByName(taken).distinct(), "node", "left_anti")
 
 
-def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
-    """Rules (depth, parent, segment): where, under a rewritten prefix, a segment stands for ``{param}``.
+def _decided(nodes: DataFrame, inside: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((parent, depth, absorbs, fold), (parent, segment)): prefixes of which children become the parameter, and the names that stay beside it.
 
-    ``assign_patterns`` applies them. Null segments are left out; an empty table
-    has no rules.
+    Counts by (parent, signature) decide, so no task holds all children of a
+    parent, and only the names that stay are listed. fold: children have
+    parameters themselves, so that everything below them is merged.
     """
-    spark = urls.sparkSession
-    paths = _checkpoint(path_counts(urls.where(F.col(segments).isNotNull()), segments))
-    first = paths.agg(F.max(F.when(F.col("path") != "", F.size(F.split("path", SEP)))).alias("deepest"), F.sum("n").alias("n")).first()
-    deepest, settled, rules = first.deepest or 0, 0, None
-    upto, nodes, open_, levels = deepest, None, None, []
+    own = nodes.join(_small(ready.select(F.col("node").alias("parent"), "depth", "absorbs", F.col("kids").alias("fan"), "through")), "parent")
+    shaped = own.join(inside.select("node", F.col("param").alias("deeper"), "near"), "node", "left")
+    inner = inside.select(F.col("node").alias("_inner"), F.col("near").alias("inner"))
+    shaped = shaped.withColumn("_inner", F.when(F.col("deeper"), _child(F.col("node"), F.lit(PARAM)))).join(inner, "_inner", "left")
+    # a parameter that ends URLs has nothing inside
+    signature = F.when(F.col("near").isNull(), "$").when(F.col("deeper"), F.concat(F.lit("*>"), F.coalesce("inner", F.lit("$")))).otherwise(F.col("near"))
+    keys = ("parent", "depth", "absorbs", "fan", "through")
+    signed = _checkpoint(shaped.select(*keys, "segment", signature.alias("signature")))
+    groups = signed.groupBy(*keys, "signature").agg(F.count_if(F.col("segment") != PARAM).alias("alike"), F.bool_or(F.col("segment") == PARAM).alias("of_param"))
+    whole = groups.groupBy("parent").agg(F.count("*").alias("kinds"), F.max(F.when(F.col("of_param"), F.col("signature"))).alias("taking"))
+    # what looks like the parameter beside it belongs to it
+    chosen = F.when(F.col("absorbs"), F.col("signature") == F.col("taking")).otherwise((F.col("kinds") == 1) | _looks_variable(F.col("alike"), F.col("through")))
+    groups = _checkpoint(groups.join(whole, "parent").where("alike > 0").select("parent", "depth", "absorbs", "signature", chosen.alias("chosen")))
+    changed = groups.groupBy("parent", "depth", "absorbs").agg(F.bool_or("chosen").alias("some"), F.bool_or(F.col("chosen") & F.col("signature").startswith("*>")).alias("fold")).where("some").drop("some")
+    rest = groups.where("not chosen").join(changed, "parent", "left_semi").select("parent", "signature")
+    return changed, signed.where(F.col("segment") != PARAM).join(rest, ["parent", "signature"], "left_semi").select("parent", "segment")
+
+
+def _rewrite(paths: DataFrame, changed: DataFrame, stay: DataFrame, depths: dict[int, int]) -> DataFrame:
+    """``paths`` with the chosen segments replaced, merged where they meet. A path is below one changed prefix at most. ``depths``: how many prefixes changed at each."""
+    s = F.split("path", SEP)
+    size, at = F.when(F.col("path") == "", 0).otherwise(F.size(s)), F.col("at")
+    found = paths.select("path", "n", F.lit(None).cast("int").alias("at"), F.lit(False).alias("fold"))
+    for depth, n in depths.items():
+        own = changed.where(F.col("depth") == depth).select(F.col("parent").alias("_own"), F.col("fold").alias("_fold"))
+        met = found.withColumn("_own", F.when(size > depth, _prefix(s, depth))).join(F.broadcast(own) if n <= BROADCAST else own, "_own", "left")
+        found = met.select("path", "n", F.coalesce("at", F.when(F.col("_fold").isNotNull(), F.lit(depth))).alias("at"), (F.col("fold") | F.coalesce("_fold", F.lit(False))).alias("fold"))
+    keyed = found.withColumns({"parent": F.when(at.isNotNull(), _prefix(s, at)), "segment": F.when(at.isNotNull(), F.get(s, at))})
+    met = keyed.join(_small(_checkpoint(stay).withColumn("stays", F.lit(True))), ["parent", "segment"], "left")
+    hit = at.isNotNull() & F.col("stays").isNull() & (F.col("segment") != PARAM)
+    values = F.when(F.col("fold") & (size > at + 1), 2).otherwise(1)
+    new = F.concat(F.slice(s, 1, at), F.array_repeat(F.lit(PARAM), values), F.slice(s, at + values + 1, F.greatest(size - at - values, F.lit(0))))
+    return met.select(F.when(hit, F.array_join(new, SEP)).otherwise(F.col("path")).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("n"))
+
+
+def _settle(settled: DataFrame | None, ready: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node) of the prefixes that are decided for now: those that kept their children or took names once, unless they are below a parameter that got more."""
+    done = ready.join(changed.where("not absorbs").select(F.col("parent").alias("node")), "node", "left_anti").select("node")
+    if settled is None:
+        return _checkpoint(done)
+    grown = changed.select(_child(F.col("parent"), F.lit(PARAM)).alias("above"))
+    s = F.split("node", SEP)
+    again = settled.where("node <> ''").select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda d: _prefix(s, d))).alias("above")).join(grown, "above", "left_semi").select("node")
+    return _checkpoint(settled.join(again, "node", "left_anti").unionByName(done))
+
+
+def learn_from_counts(paths: DataFrame) -> DataFrame:
+    """Rules (parent, literal) of counted paths (path, n).
+
+    A row with a null literal says that the segment after the prefix ``parent``
+    is a value; the other rows name the literals that aren't. Prefixes are
+    rewritten ones. Each round reads the counted paths twice and takes them once
+    more to be rewritten, whatever the number of levels. A name that merged
+    branches hold both as a value and as a literal is a literal.
+    """
+    paths, settled = _checkpoint(paths), None
+    nodes = inside = None
     while True:
         if nodes is None:
-            nodes = _checkpoint(_nodes(paths, 1, deepest))
-            open_ = _checkpoint(_undecided(nodes))
-            levels = [r.depth for r in open_.select("depth").distinct().collect()]
-        depth = max((d for d in levels if d <= upto), default=0)
-        if not depth:
+            nodes = _checkpoint(_nodes(paths))
+            inside = _checkpoint(_inside(nodes))
+        open_ = _checkpoint(_open(inside, settled))
+        if open_.isEmpty():
             break
-        # a decision looks at the parents and two levels below
-        through = nodes.where(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), "observed") if depth > 1 else spark.range(1).select(F.lit("").alias("parent"), F.lit(first.n).alias("observed"))
-        changed = _checkpoint(_collapses(nodes, depth, through.withColumnRenamed("observed", "through"), open_.where(F.col("depth") == depth).select("parent")))
-        deep = changed.agg(F.max("deep")).first()[0]
-        if deep is None:
-            upto = depth - 1
-            continue
-        paths, nodes = _checkpoint(_rewrite(paths, changed.drop("deep"), depth)), None
-        step = changed.select(F.lit(settled).alias("step"), F.lit(depth).alias("depth"), "parent", "segment")
-        rules = step if rules is None else rules.unionByName(step)
-        settled += 1
-        # merged subtrees have new evidence: decide what is below them again; else only look for stragglers beside the new parameter
-        upto = deepest if deep else depth
-    if rules is None:
-        return spark.createDataFrame([], "step int, depth int, parent string, segment string")
-    return rules
-
-
-def _undecided(nodes: DataFrame) -> DataFrame:
-    """(depth, parent) of the parents that have children enough for a parameter, or a parameter beside others; their children are at the depth."""
-    counts = nodes.groupBy("depth", "parent").agg(F.count("*").alias("fan"), F.sum("observed").alias("through"), F.bool_or(F.col("segment") == PARAM).alias("param"))
-    # not all URLs through a parent go on to a child, so the ratio is at most this
-    some = (F.col("fan") > MANY) | ((F.col("fan") >= OBSERVED * RATIO) & (F.col("fan") / F.col("through") >= RATIO)) | (F.col("param") & (F.col("fan") > 1))
-    return counts.where(some).select("depth", "parent")
+        ready = open_ if open_.limit(2).count() == 1 else _checkpoint(_ready(open_))
+        changed, stay = _decided(nodes, inside, ready)
+        depths = {r.depth: r["count"] for r in changed.groupBy("depth").count().orderBy("depth").collect()}
+        settled = _settle(settled, ready, changed)
+        if depths:
+            before = (paths, nodes, inside)
+            paths, nodes = _checkpoint(_rewrite(paths, changed, stay, depths)), None
+            forget(*before)
+    slots = inside.where("param").select(F.col("node").alias("parent"))
+    beside = nodes.where(F.col("segment") != PARAM).join(slots, "parent", "left_semi").select("parent", F.col("segment").alias("literal"))
+    return _checkpoint(slots.select("parent", F.lit(None).cast("string").alias("literal")).unionByName(beside))
+
+
+def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:
+    """Rules of the URLs' segments, see ``learn_from_counts``; ``assign_patterns`` applies them.
+
+    Null segments are left out; an empty table has no rules.
+    """
+    return learn_from_counts(path_counts(urls.where(F.col(segments).isNotNull()), segments))
 
 
 def assign_patterns(urls: DataFrame, rules: DataFrame, segments: str = "segments") -> DataFrame:
-    """``urls`` with ``template``. Each step of the rules is one equi-join on (rewritten prefix, segment)."""
-    steps = [r.step for r in rules.select("step").distinct().orderBy("step").collect()]
-    depths = {r.step: r.depth for r in rules.select("step", "depth").distinct().collect()}
-    distinct = path_counts(urls.where(F.col(segments).isNotNull()), segments).select("path", F.col("path").alias("_now"))
-    for step in steps:
-        depth, s = depths[step], F.split("_now", SEP)
-        keyed = distinct.withColumns({"parent": F.when((F.col("_now") != "") & (F.size(s) >= depth), F.array_join(F.slice(s, 1, depth - 1), SEP)), "segment": F.when(F.size(s) >= depth, F.get(s, F.lit(depth - 1)))})
-        own = rules.where(F.col("step") == step).select("parent", "segment", F.lit(True).alias("hit"))
-        new = F.when(F.col("hit"), F.array_join(F.concat(F.slice(s, 1, depth - 1), F.array(F.lit(PARAM)), F.slice(s, depth + 1, F.lit(1 << 20))), SEP)).otherwise(F.col("_now"))
-        distinct = keyed.join(own, ["parent", "segment"], "left").select("path", new.alias("_now"))
-    named = distinct.select(F.col("path").alias("_path"), F.concat(F.lit("/"), F.replace(F.col("_now"), F.lit(SEP), F.lit("/"))).alias("template"))
+    """``urls`` with ``template``; null segments have none.
+
+    Up to ``INLINE`` rules are part of one projection, which walks each URL's
+    segments; nothing moves. More of them are joined to the distinct paths, once
+    for each depth that has rules.
+    """
+    known = rules.limit(INLINE + 1).collect()
+    if len(known) <= INLINE:
+        return urls.withColumn("template", walk(F.col(segments), [r.parent for r in known if r.literal is None], [(r.parent, r.literal) for r in known if r.literal is not None]))
+    depth = F.when(F.col("parent") == "", 0).otherwise(F.size(F.split("parent", SEP)))
+    depths = sorted(r.depth for r in rules.select(depth.alias("depth")).distinct().collect())
+    now = path_counts(urls.where(F.col(segments).isNotNull()), segments).select("path", F.col("path").alias("now"))
+    slots = _small(rules.where("literal is null").select("parent", F.lit(True).alias("slot")))
+    names = _small(rules.where("literal is not null").select("parent", F.col("literal").alias("segment"), F.lit(True).alias("name")))
+    s = F.split("now", SEP)
+    for d in depths:
+        size = F.when(F.col("now") == "", 0).otherwise(F.size(s))
+        keyed = now.withColumns({"parent": F.when(size > d, _prefix(s, d)), "segment": F.when(size > d, F.get(s, F.lit(d)))})
+        met = keyed.join(slots, "parent", "left").join(names, ["parent", "segment"], "left")
+        new = F.array_join(F.concat(F.slice(s, 1, d), F.array(F.lit(PARAM)), F.slice(s, d + 2, F.greatest(size - d - 1, F.lit(0)))), SEP)
+        now = met.select("path", F.when(F.col("slot") & F.col("name").isNull(), new).otherwise(F.col("now")).alias("now"))
+    named = now.select(F.col("path").alias("_path"), _template(F.col("now")).alias("template"))
     return urls.withColumn("_path", F.array_join(segments, SEP)).join(named, "_path", "left").drop("_path")
 
 
+def _template(prefix: Column) -> Column:
+    return F.concat(F.lit("/"), F.replace(prefix, F.lit(SEP), F.lit("/")))
+
+
+def walk(segments: Column, slots: list[str], names: list[tuple[str, str]]) -> Column:
+    """The template of segments by rules: the prefixes with a value after them, and the (prefix, literal) that aren't values. Both are looked up in hash sets."""
+    if not slots:
+        return _template(F.array_join(segments, SEP))
+    held = [name if parent == "" else f"{parent}{SEP}{name}" for parent, name in names]
+
+    def step(now: Column, segment: Column) -> Column:
+        own = _child(now, segment)
+        value = now.isin(slots) & ~own.isin(held) if held else now.isin(slots)
+        return F.when(value, _child(now, F.lit(PARAM))).otherwise(own)
+
+    return _template(F.aggregate(segments, F.lit(""), step))
+
+
 def pattern_summary(assigned: DataFrame) -> DataFrame:
     """Patterns with their exact populations, largest first."""
     arity = F.when(F.col("template") == "/", 0).otherwise(F.size(F.split("template", "/")) - 1)
@@ -185,9 +252,9 @@ def pattern_population(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("template", "file_id").agg(F.count("*").alias("url_count"))
 
 
-def merge_pattern_passes(a: DataFrame, b: DataFrame, segments: str = "segments") -> DataFrame:
-    """Rules learned from two passes together, on their combined evidence."""
-    return learn_patterns(a.select(segments).unionByName(b.select(segments)), segments)
+def merge_pattern_passes(*passes: DataFrame) -> DataFrame:
+    """The counted paths (path, n) of several passes together; ``learn_from_counts`` decides on their combined evidence."""
+    return reduce(DataFrame.unionByName, (p.select("path", "n") for p in passes)).groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def parameterisation_report(assigned: DataFrame) -> DataFrame:

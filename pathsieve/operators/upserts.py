@@ -21,6 +21,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of checkpointed frames that nothing reads again; any other frame is left alone."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_new(new: DataFrame, existing: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
     """Rows of ``new`` whose key is neither in ``existing`` nor in an earlier new row (by ``order``, else any one). Keys are compared null-safe."""
     if order:

@@ -401,7 +401,8 @@ def learn_shop(spark, sf):
 @query("e9_merge_passes", f"SELECT * FROM ({TWO_LEVELS} SELECT template, count(*) AS n FROM t GROUP BY template)")
 def _(spark, sf):
     p = parsed(spark, sf)
-    rules = patterns.merge_pattern_passes(p.where("file_id < 2"), p.where("file_id >= 2"))
+    counts = [patterns.path_counts(p.where(c)) for c in ("file_id = 0", "file_id = 1", "file_id > 1")]
+    rules = patterns.learn_from_counts(patterns.merge_pattern_passes(*counts))
     return patterns.assign_patterns(p, rules).groupBy("template").agg(F.count("*").alias("n"))
 
 

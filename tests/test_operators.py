@@ -104,18 +104,6 @@ def test_few_urls_keep_their_names(spark):
     assert patterns.learn_patterns(u.limit(0)).count() == 0
 
 
-def test_children_of_a_prefix_are_decided_by_counts(spark):
-    rows = [["user", f"n{i}", f"s{i}-{j}"] for i in range(300) for j in range(2)] + [["order", str(i)] for i in range(400)]
-    u = spark.createDataFrame([(1, r) for r in rows], "file_id int, segments array<string>")
-    paths = patterns.path_counts(u)
-    through = paths.groupBy(F.split("path", patterns.SEP)[0].alias("parent")).agg(F.sum("n").alias("through"))
-    changed = patterns._collapses(patterns._nodes(paths, 1, 4), 2, through)
-    found = {(r.parent, r.segment, r.deep) for r in changed.collect()}
-    assert found == {("order", str(i), False) for i in range(400)}
-    plan = changed._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "collect_set(signature" not in plan
-
-
 def test_probe_logs(spark):
     log = [("h", "p", i, 429, 20, False, False) for i in range(5)] + [("g", "q", i, 405, 5, True, False) for i in range(3)] + [("g", "r", i, 200, 5, False, False) for i in range(10, 14)]
     df = spark.createDataFrame(log, "host string, pattern_id string, seq long, status int, planned long, escalated boolean, is_soft_404 boolean")
