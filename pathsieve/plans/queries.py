@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathsieve.functions import status as st
 from pathsieve.functions import urls as ur
-from pathsieve.operators import checks, estimate, patterns, probes, reports, sampling, upserts
+from pathsieve.operators import checks, estimate, passes, patterns, probes, reports, sampling, upserts
 from pathsieve.plans.derived import oracle, table
 from pathsieve.plans.strata_sql import CIRCUITS, VERDICTS, allocation, expansion, measured
 from pathsieve.sources import sitemaps, tables
@@ -406,6 +406,38 @@ def _(spark, sf):
     return patterns.assign_patterns(p, rules).groupBy("template").agg(F.count("*").alias("n"))
 
 
+#: A page's path with its query, and its hash and template.
+FULL_PATH = PATH.format(x="loc") + " || regexp_extract(regexp_replace(loc, '#.*$', ''), '(\\?.+)$', 1)"
+PASS_ROWS = f"{TWO_LEVELS}, h AS (SELECT t.template, t.file_id, l.ordinal, {FNV.format(x=FULL_PATH)} AS hash FROM t JOIN locs l ON l.file_id = t.file_id AND l.ordinal = t.ordinal)".replace("SELECT file_id, loc,", "SELECT file_id, ordinal, loc,").replace("SELECT u.file_id, '/'", "SELECT u.file_id, u.ordinal, '/'")
+#: Candidates of a template that the passes keep.
+PASS_CAPACITY = 20
+
+
+def merged_passes(spark: SparkSession, sf: str) -> passes.Pass:
+    """Three passes over the pages' files, saved as tables, read again and merged; what came apart is counted again."""
+    urls = upserts.checkpointed(parsed(spark, sf).select("segments", "path", "file_id", "ordinal"))
+    folder, rules, found = upserts.shared_folder(spark, "passes"), None, []
+    for k, own in enumerate(("file_id = 0", "file_id = 1", "file_id > 1")):
+        made = passes.observe(urls.where(own), rules, PASS_CAPACITY)
+        made.save(f"{folder}/{k}")
+        rules = made.rules
+        found.append(passes.load(spark, f"{folder}/{k}"))
+    return passes.recount(passes.merge(*found), urls)
+
+
+@query("e9_pass_state", f"SELECT template, segment_count, population_count, file_count, least(population_count, {PASS_CAPACITY}) AS sample_size, CASE WHEN population_count < {PASS_CAPACITY} THEN 4294967295 ELSE threshold END AS threshold, true AS exact FROM ({PASS_ROWS} SELECT template, 2 AS segment_count, count(*) AS population_count, count(DISTINCT file_id) AS file_count, max(hash) FILTER (r <= {PASS_CAPACITY}) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY hash, file_id, ordinal) AS r FROM h) GROUP BY 1)")
+def _(spark, sf):
+    return passes.summary(merged_passes(spark, sf))
+
+
+@query("f8_expand_from_state", f"SELECT template, hash, file_id, ordinal FROM ({PASS_ROWS} SELECT *, row_number() OVER (PARTITION BY template ORDER BY hash, file_id, ordinal) AS r FROM h) WHERE r > 5 AND r <= 15")
+def _(spark, sf):
+    """The next ten candidates of each template, from merged passes; no URL is read again."""
+    state = merged_passes(spark, sf)
+    plan = state.sample.select("template").distinct().withColumn("k", F.lit(15))
+    return sampling.expand_sample(sampling.k_smallest_sample(state.sample, ["template"], 5), state.sample, plan, ["template"]).select("template", "hash", "file_id", "ordinal")
+
+
 @query("e10_parameterisation", "SELECT count(*) AS observed_urls, count(*) < 30 AS below_floor, greatest(0, 30 - count(*)) AS shortfall, count(DISTINCT family) AS templates, count(DISTINCT CASE WHEN family LIKE '%{param}%' THEN family END) AS parameterised, 100 AS unique_threshold, 0.6::DOUBLE AS ratio_threshold FROM shop_urls")
 def _(spark, sf):
     return patterns.parameterisation_report(table(spark, sf, "shop_urls").withColumnRenamed("family", "template"))
