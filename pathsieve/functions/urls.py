@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,24 @@ def normalize_host(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once per row, however often ``then`` uses it; the optimizer can't unfold it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` segments resolved."""
-    parts = F.slice(F.split(path, "/"), 2, F.lit(1 << 30))
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
-    )
-    kept = F.when(last.isin(".", ".."), F.array_append(kept, "")).otherwise(kept)
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+    def resolved(parts: Column) -> Column:
+        kept = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
+        )
+        ends = F.element_at(parts, -1).isin(".", "..")
+        return F.concat(F.lit("/"), F.array_join(F.when(ends, F.array_append(kept, "")).otherwise(kept), "/"))
+
+    dotted = path.contains("/.") & path.rlike(r"/\.\.?(/|$)")
+    return F.when(dotted, let(F.slice(F.split(path, "/"), 2, F.lit(1 << 30)), resolved)).otherwise(path)
 
 
 def _percent_encoded(text: Column) -> Column:
@@ -34,35 +44,69 @@ def _percent_encoded(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x21-\x7e]"), F.array_join(coded, "")).otherwise(text)
 
 
+def _without_www(host: Column) -> Column:
+    return F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
+
+
+#: Scheme, authority, path, query and fragment of an absolute URL, and what stands between the parts that a split takes apart: no character of any text.
+_PARTS, _CUT = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", "\uffff"
+
+
+def _url_parts(url: Column) -> Column:
+    """[scheme, authority, path, query] of an absolute URL, by one match; other text is one part."""
+    return F.split(F.regexp_replace(url, _PARTS, f"$1{_CUT}$2{_CUT}$3{_CUT}$4"), _CUT)
+
+
+def _absolute(raw: Column, base_url: Column) -> Column:
+    """``raw``, which isn't an absolute URL with an authority, against the base; what has a scheme stays as it is."""
+
+    def against(base: Column) -> Column:
+        scheme, authority, path = (F.get(base, i) for i in range(3))
+        origin, path = F.concat(scheme, F.lit("://"), authority), F.when(path == "", "/").otherwise(path)
+        return (
+            F.when(F.size(base) < 4, raw).when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw)).when(raw.startswith("/"), F.concat(origin, raw))
+            .when(raw.startswith("?") | raw.startswith("#"), F.concat(origin, path, raw)).otherwise(F.concat(origin, F.regexp_replace(path, r"[^/]*$", ""), raw))
+        )
+
+    return F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), raw).otherwise(let(_url_parts(base_url), against))
+
+
+def _host_of(authority: Column) -> Column:
+    """The host of an authority in lower case, ``""`` if there is none."""
+    host = F.when(authority.rlike(r"[@:\[\]\s]"), F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:\s]+)(?::\d*)?$", 1)).otherwise(authority)
+    return F.coalesce(F.lower(host), F.lit(""))
+
+
 def parse_loc(loc: Column, base_url: Column, expected_host: Column) -> Column:
     """struct(kind, path, segments, source_url, detected_host) of one location.
 
     kind is matched, foreign (another host than expected, ``www.`` aside) or
     unparseable (blank, or no URL even against the base). path holds the query
     string and no fragment; segments are the non-empty parts of the path alone.
+    Every step is computed once and handed on, so a location costs a few matches.
     """
-    raw = F.trim(loc)
-    absolute = raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    origin = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    base_path = F.regexp_extract(base_url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(F.when(base_path == "", "/").otherwise(base_path), r"[^/]*$", "")
-    full = (
-        F.when(absolute, raw).when(raw.startswith("//"), F.concat(scheme, raw)).when(raw.startswith("/"), F.concat(origin, raw))
-        .when(raw.startswith("?") | raw.startswith("#"), F.concat(origin, F.when(base_path == "", "/").otherwise(base_path), raw)).otherwise(F.concat(origin, folder, raw))
-    )
-    bare = F.regexp_replace(full, r"#.*$", "")
-    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?@]*@)?(\[[^\]]*\]|[^/?:\s]+)(?::\d*)?(?:[/?]|$)", 1))
-    path = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*([^?]*)", 1)
-    path = _percent_encoded(_without_dots(F.when(path == "", "/").otherwise(path)))
-    query = _percent_encoded(F.regexp_extract(bare, r"^[^?]*(\?.+)$", 1))
-    same = normalize_host(host) == normalize_host(expected_host)
-    kind = F.when(raw.isNull() | (raw == "") | (host == ""), "unparseable").when(same, "matched").otherwise("foreign")
-    return F.struct(
-        kind.alias("kind"), F.when(kind == "matched", F.concat(path, query)).alias("path"),
-        F.when(kind == "matched", F.filter(F.split(path, "/"), lambda s: s != "")).alias("segments"),
-        F.when(raw == "", loc).otherwise(raw).alias("source_url"), F.when(kind == "foreign", normalize_host(host)).alias("detected_host"),
-    )
+
+    def told(raw: Column, parts: Column, host: Column) -> Column:
+        other = _without_www(host) != normalize_host(expected_host)
+        kind = F.when(raw.isNull() | (raw == "") | (host == ""), "unparseable").when(other, "foreign").otherwise("matched")
+        own = F.when(F.get(parts, F.lit(2)) == "", "/").otherwise(F.get(parts, F.lit(2)))
+        # a question mark alone is no query
+        query = F.when(F.length(F.get(parts, F.lit(3))) > 1, _percent_encoded(F.get(parts, F.lit(3)))).otherwise("")
+
+        def finished(kind: Column) -> Column:
+            path = F.when(kind == "matched", _percent_encoded(_without_dots(own)))
+            return let(path, lambda p: F.struct(
+                kind.alias("kind"), F.concat(p, query).alias("path"), F.filter(F.split(p, "/"), lambda s: s != "").alias("segments"),
+                F.when(raw == "", loc).otherwise(raw).alias("source_url"), F.when(kind == "foreign", _without_www(host)).alias("detected_host"),
+            ))
+
+        return let(kind, finished)
+
+    def located(raw: Column) -> Column:
+        own = let(_url_parts(raw), lambda parts: F.when(F.size(parts) >= 4, parts).otherwise(_url_parts(_absolute(raw, base_url))))
+        return let(own, lambda parts: let(_host_of(F.when(F.size(parts) >= 4, F.get(parts, F.lit(1)))), lambda host: told(raw, parts, host)))
+
+    return let(F.trim(loc), located)
 
 
 def stable_hash(text: Column) -> Column:

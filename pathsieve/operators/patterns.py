@@ -305,15 +305,22 @@ def derive_host(lines: DataFrame, url: str = "url") -> DataFrame:
     return top.select(F.coalesce("host", F.lit("paths.invalid")).alias("host"))
 
 
-def resolve_candidates(samples: DataFrame, split: DataFrame) -> DataFrame:
-    """Each sampled (file_id, ordinal, hash) with its URL again, and a typed status.
+def resolve_candidates(samples: DataFrame, locs: DataFrame, base_url: Column | str, host: Column | str) -> DataFrame:
+    """Each sampled (file_id, ordinal, hash) with its URL again (path, loc), and a typed status.
 
-    One join for all patterns. A file with any failure has ``file_ok`` false.
+    One join for all patterns; ``locs`` (file_id, ordinal, loc) are read as they
+    are, and only those that are sampled are parsed. A file with any failure has
+    ``file_ok`` false.
     """
-    from pathsieve.functions.urls import stable_hash
-
-    found = split.select("file_id", "ordinal", "kind", "path", "loc", F.lit(True).alias("here"))
-    files = split.select("file_id").distinct().withColumn("known", F.lit(True))
+    from pathsieve.functions.urls import parse_loc, stable_hash
+
+    base_url, host = (F.lit(x) if isinstance(x, str) else x for x in (base_url, host))
+    wanted = samples.select("file_id", "ordinal").distinct()
+    n = wanted.limit(BROADCAST + 1).count()
+    hits = locs.join(F.broadcast(wanted) if n <= BROADCAST else wanted, ["file_id", "ordinal"], "left_semi")
+    found = hits.withColumn("_p", parse_loc(F.col("loc"), base_url, host)).select("file_id", "ordinal", "loc", F.col("_p.kind").alias("kind"), F.col("_p.path").alias("path"), F.lit(True).alias("here"))
+    # a file is known if it has any location; only sampled files are looked for
+    files = locs.select("file_id").join(F.broadcast(wanted.select("file_id")) if n <= BROADCAST else wanted.select("file_id"), "file_id", "left_semi").distinct().withColumn("known", F.lit(True))
     rows = samples.join(found, ["file_id", "ordinal"], "left").join(files, "file_id", "left")
     status = (
         F.when(F.col("known").isNull(), "unknown_file").when(F.col("here").isNull(), "missing_ordinal").when(F.col("kind") != "matched", "off_host")

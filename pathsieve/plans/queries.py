@@ -347,13 +347,13 @@ RESOLVE = "CASE ordinal % 5 WHEN 0 THEN 'hash_mismatch' WHEN 1 THEN 'missing_ord
 
 @query("d5_resolve_candidates", f"SELECT CASE ordinal % 5 WHEN 2 THEN file_id + 1000 ELSE file_id END AS file_id, CASE ordinal % 5 WHEN 1 THEN -ordinal - 1 ELSE ordinal END AS ordinal, {RESOLVE} AS status, CASE WHEN ordinal % 5 IN (1, 2) THEN NULL ELSE {PATH.format(x='loc')} || regexp_extract(regexp_replace(loc, '#.*$', ''), '(\\?.+)$', 1) END AS path, (ordinal % 5 <> 2 AND min(CASE WHEN ordinal % 5 IN (0, 1) THEN 0 ELSE 1 END) OVER (PARTITION BY file_id, ordinal % 5 = 2) = 1) AS file_ok FROM locs")
 def _(spark, sf):
-    p = parsed(spark, sf)
     kind = F.col("ordinal") % 5
-    samples = p.select(
+    # what an earlier run had stored
+    samples = upserts.checkpointed(parsed(spark, sf).select(
         F.when(kind == 2, F.col("file_id") + 1000).otherwise(F.col("file_id")).cast("int").alias("file_id"), F.when(kind == 1, -F.col("ordinal") - 1).otherwise(F.col("ordinal")).cast("int").alias("ordinal"),
         F.when(kind == 0, F.lit(-1)).otherwise(ur.stable_hash(F.col("path"))).alias("hash"),
-    )
-    return patterns.resolve_candidates(samples, p).select("file_id", "ordinal", "status", "path", "file_ok")
+    ))
+    return patterns.resolve_candidates(samples, table(spark, sf, "locs"), "https://example.com/", _own_host(F.col("loc"))).select("file_id", "ordinal", "status", "path", "file_ok")
 
 
 # patterns
