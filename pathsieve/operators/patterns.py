@@ -312,6 +312,13 @@ def resolve_candidates(samples: DataFrame, locs: DataFrame, base_url: Column | s
     are, and only those that are sampled are parsed. A file with any failure has
     ``file_ok`` false.
     """
+    # the sample is small beside the locations, so it is kept and they are read once
+    rows = _checkpoint(_located(samples, locs, base_url, host))
+    return rows.join(rows.groupBy("file_id").agg(F.bool_and(F.col("status") == "resolved").alias("file_ok")), "file_id")
+
+
+def _located(samples: DataFrame, locs: DataFrame, base_url: Column | str, host: Column | str) -> DataFrame:
+    """``samples`` with loc, path and status."""
     from pathsieve.functions.urls import parse_loc, stable_hash
 
     base_url, host = (F.lit(x) if isinstance(x, str) else x for x in (base_url, host))
@@ -326,6 +333,4 @@ def resolve_candidates(samples: DataFrame, locs: DataFrame, base_url: Column | s
         F.when(F.col("known").isNull(), "unknown_file").when(F.col("here").isNull(), "missing_ordinal").when(F.col("kind") != "matched", "off_host")
         .when(stable_hash(F.col("path")) != F.col("hash"), "hash_mismatch").otherwise("resolved")
     )
-    rows = rows.withColumn("status", status).drop("here", "known", "kind")
-    bad = rows.groupBy("file_id").agg(F.bool_and(F.col("status") == "resolved").alias("file_ok"))
-    return rows.join(bad, "file_id")
+    return rows.withColumn("status", status).drop("here", "known", "kind")

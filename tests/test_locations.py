@@ -39,7 +39,7 @@ def test_only_sampled_locations_are_parsed(spark):
         (1, 0): ("resolved", "/p/0", True), (1, 3): ("resolved", "/p/3", True), (2, 0): ("off_host", None, False),
         (3, 0): ("hash_mismatch", "/y", False), (3, 7): ("missing_ordinal", None, False), (9, 0): ("unknown_file", None, False),
     }
-    tree = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    tree = patterns._located(samples, locs, "https://example.com/", "example.com")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     parsing = [i for i, line in enumerate(tree) if "://" in line]
     semi = [i for i, line in enumerate(tree) if "LeftSemi" in line]
     # the one projection that parses stands above a semi join with the sample
