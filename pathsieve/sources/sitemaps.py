@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gzip
+import itertools
 import xml.parsers.expat
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,10 @@ from pathsieve.operators.upserts import checkpointed
 
 #: Bytes in which the beginning of a sitemap must show, and rows a task sends at once.
 PREAMBLE_BYTES, ROWS = 500, 20_000
+#: Bytes read at once, bytes that a file may inflate to, characters of a location, and locations of a file that a task holds.
+PIECE, INFLATED_BYTES, LOC_CHARS, HELD = 1 << 16, 1 << 32, 1 << 16, 50_000
+#: Roots of sitemaps and their entries (fixed values).
+ENTRIES = {"urlset": "url", "sitemapindex": "sitemap"}
 #: Beginnings of a sitemap (fixed values).
 STARTS = ("<?xml", "<urlset", "<sitemapindex")
 #: Names in the seeded corpus (fixed values).
@@ -21,21 +26,8 @@ CATEGORIES, STATIC_PAGES, SECTIONS = ("tools", "parts", "fasteners", "seals", "b
 SCHEMA = "file_url string, root_element string, ordinal int, loc string, had_preamble boolean, error string"
 
 
-def _content(raw: bytes) -> tuple[bytes, bool, str | None]:
-    """(XML bytes, whether something before them was dropped, error)."""
-    if raw[:2] == b"\x1f\x8b":  # by content, whatever the file is called
-        try:
-            raw = gzip.decompress(raw)
-        except (OSError, EOFError) as e:
-            return b"", False, f"GZIP: {e}"
-    head = raw[:PREAMBLE_BYTES]
-    if _recognised(head):
-        return raw.removeprefix(b"\xef\xbb\xbf").lstrip(), False, None
-    first = head.find(b"<")
-    if first == 0:  # a tag, if an unknown one: the parser says what it is
-        return raw, False, None
-    # junk goes only when a sitemap is left
-    return (raw[first:], True, None) if first > 0 and _recognised(raw[first:first + PREAMBLE_BYTES]) else (b"", False, "NON_XML_PREAMBLE")
+class Unreadable(Exception):
+    """Why a file has no locations; the text begins with a code."""
 
 
 def _recognised(head: bytes) -> bool:
@@ -43,60 +35,155 @@ def _recognised(head: bytes) -> bool:
     return head.decode("utf-8", "replace").lstrip("\ufeff \t\r\n\v\f").lower().startswith(STARTS)
 
 
+def _inflated(raw: bytes, most: int) -> Iterator[bytes]:
+    """The bytes of a file in pieces of at most ``PIECE``, inflated if they are gzip by content, whatever the file is called."""
+    if raw[:2] != b"\x1f\x8b":
+        for at in range(0, len(raw), PIECE):
+            yield raw[at : at + PIECE]
+        return
+    rest, size = memoryview(raw), 0
+    while len(rest):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            taken = rest[:PIECE]
+            rest = rest[len(taken) :]
+            if not taken and not member.unconsumed_tail:
+                raise Unreadable("GZIP: the file ends too soon")
+            try:
+                piece = member.decompress(member.unconsumed_tail + bytes(taken), PIECE)
+            except zlib.error as e:
+                raise Unreadable(f"GZIP: {e}") from e
+            size += len(piece)
+            if size > most:
+                raise Unreadable(f"INFLATED_TOO_LARGE: more than {most} bytes")
+            if piece:
+                yield piece
+        # another member follows, or zeros that pad the last one
+        at = len(raw) - len(rest) - len(member.unused_data)
+        while at < len(raw) and not raw[at]:
+            at += 1
+        rest = memoryview(raw)[at:]
+
+
+class Locations:
+    """The locations of one sitemap, read in pieces: ``parts`` can be run through again, and holds no more than a piece of the file.
+
+    After a run root, had_preamble and error say what the file was.
+    """
+
+    def __init__(self, raw: bytes, most: int | None = None):
+        self.raw, self.most = raw, INFLATED_BYTES if most is None else most
+        self.root: str | None = None
+        self.had_preamble, self.error = False, None
+
+    def parts(self) -> Iterator[list[str]]:
+        self.root, self.had_preamble, self.error = None, False, None
+        path: list[str] = []
+        text: list[str] = []
+        found: list[str] = []
+        wanted = length = 0
+
+        def start(name: str, _: dict) -> None:
+            nonlocal wanted, length
+            local = name.rpartition(":")[2].lower()
+            if not path:
+                self.root = local
+            path.append(local)
+            wanted = local == "loc" and len(path) == 3 and path[1] == ENTRIES.get(path[0])
+            length = 0
+            text.clear()
+
+        def said(data: str) -> None:
+            nonlocal length
+            if wanted:
+                length += len(data)
+                if length > LOC_CHARS:
+                    raise Unreadable(f"LOC_TOO_LONG: more than {LOC_CHARS} characters")
+                text.append(data)
+
+        def end(_: str) -> None:
+            nonlocal wanted
+            if wanted:
+                loc = "".join(text).strip()
+                if loc:
+                    found.append(loc)
+            path.pop()
+            wanted = False
+            text.clear()
+
+        parser = xml.parsers.expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, said
+        try:
+            for piece in self._markup(_inflated(self.raw, self.most)):
+                parser.Parse(piece, False)
+                if found:
+                    yield found
+                    found.clear()
+            parser.Parse(b"", True)
+        except xml.parsers.expat.ExpatError as e:
+            self.error = f"MALFORMED_XML: {e}"
+        except Unreadable as e:
+            self.error = str(e)
+        else:
+            if self.root not in ENTRIES:
+                self.error = f"WRONG_ROOT: {self.root}"
+
+    def _markup(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
+        """The file from its first tag on."""
+        head = b""
+        while len(head) < 2 * PREAMBLE_BYTES and (piece := next(pieces, None)) is not None:
+            head += piece
+        first = head[:PREAMBLE_BYTES].find(b"<")
+        if _recognised(head[:PREAMBLE_BYTES]):
+            yield head.removeprefix(b"\xef\xbb\xbf").lstrip()
+        elif first == 0:  # a tag, if an unknown one: the parser says what it is
+            yield head
+        elif first > 0 and _recognised(head[first : first + PREAMBLE_BYTES]):  # junk goes only when a sitemap is left
+            self.had_preamble = True
+            yield head[first:]
+        else:
+            raise Unreadable("NON_XML_PREAMBLE")
+        yield from pieces
+
+
 def locations(raw: bytes) -> tuple[str | None, list[str], bool, str | None]:
     """(root, locations, had_preamble, error) of one file. An error leaves no locations: a part of a file is never an answer."""
-    data, dropped, error = _content(raw)
-    if error:
-        return None, [], dropped, error
-    path: list[str] = []
-    text: list[str] = []
-    found: list[str] = []
-    root: list[str] = []
-
-    def start(name: str, _: dict) -> None:
-        local = name.rpartition(":")[2].lower()
-        if not path:
-            root.append(local)
-        path.append(local)
-        text.clear()
-
-    def end(_: str) -> None:
-        entry = {"urlset": "url", "sitemapindex": "sitemap"}.get(path[0])
-        if path[-1] == "loc" and len(path) == 3 and path[1] == entry:
-            loc = "".join(text).strip()
-            if loc:
-                found.append(loc)
-        path.pop()
-        text.clear()
-
-    parser = xml.parsers.expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
-    try:
-        parser.Parse(data, True)
-    except xml.parsers.expat.ExpatError as e:
-        return (root or [None])[0], [], dropped, f"MALFORMED_XML: {e}"
-    if root[0] not in ("urlset", "sitemapindex"):
-        return root[0], [], dropped, f"WRONG_ROOT: {root[0]}"
-    return root[0], found, dropped, None
-
-
-def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    file = Locations(raw)
+    found = [loc for part in file.parts() for loc in part]
+    return file.root, [] if file.error else found, file.had_preamble, file.error
+
+
+def read_sitemaps(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """One row for each location of each file under ``path``; a file without any gives one row without ordinal.
 
-    A sitemap has at most 50 000 locations, so a file is one task's work.
+    A file is one task's work, whose memory is the file as it is stored and
+    ``HELD`` locations, whatever it inflates to; beyond ``most`` bytes
+    (``INFLATED_BYTES``) it is an error.
     """
-    return parse_sitemaps(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+    return parse_sitemaps(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), most)
+
+
+def parse_sitemaps(files: DataFrame, most: int | None = None) -> DataFrame:
+    most, held_at_most, size = INFLATED_BYTES if most is None else most, HELD, ROWS
 
+    def rows(url: str, raw: bytes) -> Iterator[tuple]:
+        file, held, n = Locations(raw, most), [], 0
+        for part in file.parts():
+            n += len(part)
+            # a file is told by its end: what is too much to hold is read again then
+            held = held + part if n <= held_at_most else []
+        if file.error or not n:
+            yield url, file.root, None, None, file.had_preamble, file.error
+            return
+        found = iter(held) if n <= held_at_most else (loc for part in Locations(raw, most).parts() for loc in part)
+        for i, loc in enumerate(found):
+            yield url, file.root, i, loc, file.had_preamble, None
 
-def parse_sitemaps(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for url, raw in pdf[["path", "content"]].itertuples(index=False):
-                root, locs, dropped, error = locations(bytes(raw or b""))
-                rows = [(url, root, i, loc, dropped, error) for i, loc in enumerate(locs)] or [(url, root, None, None, dropped, error)]
-                for at in range(0, len(rows), ROWS):
-                    out = pd.DataFrame(rows[at: at + ROWS], columns=["file_url", "root_element", "ordinal", "loc", "had_preamble", "error"])
-                    yield out.astype({"ordinal": "Int32"})
+            each = (row for url, raw in pdf[["path", "content"]].itertuples(index=False) for row in rows(url, bytes(raw or b"")))
+            while part := list(itertools.islice(each, size)):
+                yield pd.DataFrame(part, columns=["file_url", "root_element", "ordinal", "loc", "had_preamble", "error"]).astype({"ordinal": "Int32"})
 
     return files.mapInPandas(run, SCHEMA)
 

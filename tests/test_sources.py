@@ -1,4 +1,7 @@
 import gzip
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +25,62 @@ def test_locations(raw, root, locs, dropped, error):
         assert (r, found, had) == (root, locs, dropped) and (e or "").startswith(error or "")
 
 
+PAGE = "<url><loc>https://e.com/{}</loc></url>"
+
+
+def test_gzip_in_pieces(monkeypatch):
+    body = "<urlset>" + "".join(map(PAGE.format, range(3000))) + "</urlset>"
+    want = [f"https://e.com/{i}" for i in range(3000)]
+    half = len(body) // 2
+    members = gzip.compress(body[:half].encode()) + gzip.compress(body[half:].encode()) + b"\0" * 9
+    for size in (7, 4096, 1 << 16):
+        monkeypatch.setattr(sitemaps, "PIECE", size)
+        for raw in (body.encode(), gzip.compress(body.encode()), members):
+            assert sitemaps.locations(raw) == ("urlset", want, False, None)
+        assert sitemaps.locations(gzip.compress(body.encode())[:-20])[3].startswith("GZIP")
+        assert sitemaps.locations(members[:-9] + b"junk")[3].startswith("GZIP")
+    assert sitemaps.locations(b"\x1f\x8bno")[3].startswith("GZIP")
+    monkeypatch.setattr(sitemaps, "INFLATED_BYTES", 1000)
+    assert sitemaps.locations(members) == ("urlset", [], False, "INFLATED_TOO_LARGE: more than 1000 bytes")
+    monkeypatch.setattr(sitemaps, "LOC_CHARS", 100)
+    assert sitemaps.locations(f"<urlset><url><loc>{'x' * 200}</loc></url></urlset>".encode())[3].startswith("LOC_TOO_LONG")
+
+
+def test_files_of_more_locations_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr(sitemaps, "HELD", 50)
+    monkeypatch.setattr(sitemaps, "ROWS", 40)
+    body = "<urlset>" + "".join(map(PAGE.format, range(5000)))
+    files = spark.createDataFrame([("a", gzip.compress((body + "</urlset>").encode())), ("b", body.encode()), ("c", b"<urlset/>"), ("d", None)], "path string, content binary")
+    rows = sitemaps.parse_sitemaps(files).collect()
+    assert [(r.ordinal, r.loc) for r in rows if r.file_url == "a"] == [(i, f"https://e.com/{i}") for i in range(5000)]
+    # what breaks off at its end has no locations at all
+    assert {r.file_url: (r.ordinal, (r.error or "").split(":")[0]) for r in rows if r.file_url != "a"} == {"b": (None, "MALFORMED_XML"), "c": (None, ""), "d": (None, "NON_XML_PREAMBLE")}
+    assert {r.error for r in sitemaps.parse_sitemaps(files.where("path = 'a'"), 1000).collect()} == {"INFLATED_TOO_LARGE: more than 1000 bytes"}
+
+
+def test_memory_does_not_grow_with_the_inflated_file():
+    code = """
+import gzip, io, resource, sys
+sys.path.insert(0, {root!r})
+from pathsieve.sources import sitemaps
+out = io.BytesIO()
+with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1) as f:
+    f.write(b"<urlset>")
+    page = b"<url><loc>https://e.com/" + b"p" * 900 + b"</loc></url>"
+    for _ in range(300):
+        f.write(page * 1000)
+    f.write(b"</urlset>")
+raw = out.getvalue()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(len(part) for part in sitemaps.Locations(raw).parts())
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code.format(root=str(Path(__file__).resolve().parent.parent))], capture_output=True, text=True, timeout=300)
+    n, grown = map(int, said.stdout.split())
+    # 280 MB inflated
+    assert n == 300_000 and grown < 40, said.stderr
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.xml").write_bytes(gzip.compress(b"<urlset><url><loc>https://e.com/1</loc></url><url><loc>https://e.com/2</loc></url></urlset>"))
     (tmp_path / "b.xml").write_text("nothing")
