@@ -41,7 +41,7 @@ def test_gzip_in_pieces(monkeypatch):
         assert sitemaps.locations(members[:-9] + b"junk")[3].startswith("GZIP")
     assert sitemaps.locations(b"\x1f\x8bno")[3].startswith("GZIP")
     monkeypatch.setattr(sitemaps, "INFLATED_BYTES", 1000)
-    assert sitemaps.locations(members) == ("urlset", [], False, "INFLATED_TOO_LARGE: more than 1000 bytes")
+    assert sitemaps.locations(members) == (None, [], False, "INFLATED_TOO_LARGE: more than 1000 bytes")
     monkeypatch.setattr(sitemaps, "LOC_CHARS", 100)
     assert sitemaps.locations(f"<urlset><url><loc>{'x' * 200}</loc></url></urlset>".encode())[3].startswith("LOC_TOO_LONG")
 
