@@ -12,9 +12,21 @@ OBSERVATION_COLUMNS = ("url", "pattern", "http_status", "method", "escalated_to_
 PORTFOLIO_COLUMNS = ("site_id", "name", "host", "tier", "state", "run_id", "run_status", "started_at", "total_urls", "total", "critical", "created_at")
 
 
+#: Rows of a file, about, sites whose sizes are broadcast at most, and tasks of a write.
+FILE_ROWS, BROADCAST, MOST_TASKS = 1_000_000, 1 << 16, 100_000
+
+
 def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet in one folder for each site; rows are brought together by site and spread within it, so that a large site isn't one file."""
-    df.repartition("site_id", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
+    """Parquet in one folder for each site, with as many files as the site's rows fill.
+
+    Sites are counted first: a small site is one file, a large one is dealt out
+    by a hash of its rows, and there is a task for each file, about.
+    """
+    sizes = df.groupBy(F.col("site_id").alias("_site")).agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))
+    sites, files = sizes.agg(F.count("*"), F.coalesce(F.sum("_files"), F.lit(0))).first()
+    sizes = F.broadcast(sizes) if sites <= BROADCAST else sizes
+    dealt = df.join(sizes, F.col("site_id").eqNullSafe(F.col("_site"))).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    dealt.repartition(max(1, min(files, MOST_TASKS)), "site_id", "_file").drop("_site", "_files", "_file").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
 
 
 def observation_rows(observations: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from pathsieve.operators.reports import scope_org
 from pathsieve.sources import sitemaps, tables
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -112,6 +113,26 @@ def test_indexes_and_sizes(spark):
     assert [(r.line, r.url) for r in sitemaps.read_url_lines(text).collect()] == [(0, "a"), (2, "b")]
 
 
+def test_a_site_has_as_many_files_as_it_fills(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 100)
+    df = spark.range(1000).select(F.when(F.col("id") < 950, "large").when(F.col("id") < 990, "small").alias("site_id"), F.col("id").alias("n"))
+    tables.write_partitioned(df, f"{tmp_path}/t")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").iterdir() if p.is_dir()}
+    assert files["site_id=small"] == files["site_id=__HIVE_DEFAULT_PARTITION__"] == 1 and 3 <= files["site_id=large"] <= 10
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1000
+
+
+def test_a_scope_prunes_sites(spark, tmp_path):
+    """The sites of an organization are found at run time, and only their folders are read."""
+    df = spark.range(40_000).select(F.concat(F.lit("s"), F.col("id") % 8).alias("site_id"), F.col("id").alias("n"))
+    tables.write_partitioned(df, f"{tmp_path}/t")
+    spark.createDataFrame([(f"s{i}", f"o{i % 4}", None, True) for i in range(8)], "site_id string, org_id string, deleted_at timestamp, is_active boolean").write.parquet(f"{tmp_path}/sites")
+    scoped = scope_org(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/sites"), "o1")
+    assert {r.site_id for r in scoped.select("site_id").distinct().collect()} == {"s1", "s5"}
+    plan = scoped._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("s1", 1), ("s2", 2)], "site_id string, n int")
     tables.write_partitioned(df, f"{tmp_path}/t")
