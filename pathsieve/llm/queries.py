@@ -66,6 +66,62 @@ g AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + 13)))) AS gone FROM
 SELECT w.doc_id, len(ws) AS n_words, len(coalesce(gone, [])) AS n_removed,
     sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"""
 
+#: Unsigned CRC-32 of ASCII text.
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+#: Cheapest (cost, audit) of the turns from each on, by what was written before: nothing, system, user, assistant.
+_STEP = """least({{'c': n.{q}.c + 2, 'a': 'D' || n.{q}.a}}, CASE WHEN fault IN (0, 3) THEN {{'c': n.{to}.c + 1 + more, 'a': 'R' || n.{to}.a}} END,
+    CASE WHEN fault IN (0, 3) AND initial = '{letter}' THEN {{'c': n.{to}.c + more, 'a': 'K' || n.{to}.a}} END{system})"""
+_INSERT = "least({q}, {{'c': {to}.c + 5, 'a': 'I' || {to}.a}}) AS {q}"
+_FOLLOWS = {"s0": "su", "ss": "su", "su": "sa", "sa": "su"}
+_LETTER = {"su": "u", "sa": "a"}
+_STEPS = ", ".join(
+    _STEP.format(q=q, to=to, letter=_LETTER[to], system=", CASE WHEN fault IN (0, 3) AND initial = 's' THEN {'c': n.ss.c + more, 'a': 'K' || n.ss.a} END" if q == "s0" else "") + f" AS {q}"
+    for q, to in _FOLLOWS.items()
+)
+_INSERTS = ", ".join(_INSERT.format(q=q, to=to) for q, to in _FOLLOWS.items())
+OP11_SQL = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS rest, role[1:1] AS initial FROM d),
+f AS (SELECT *, CASE WHEN rest = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2 WHEN right(rest, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault, count(*) OVER (PARTITION BY conv_id) AS n,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+w(conv_id, p, s0, ss, su, sa) AS (
+    SELECT conv_id, count(*) + 1, {{'c': 0::BIGINT, 'a': ''}}, {{'c': 10::BIGINT, 'a': 'II'}}, {{'c': 5::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}} FROM f GROUP BY 1
+    UNION ALL
+    SELECT conv_id, p, {_INSERTS} FROM (SELECT conv_id, p, {_INSERTS} FROM (
+        SELECT f.conv_id, f.p, CASE fault WHEN 3 THEN 5 ELSE 0 END AS more, {_STEPS} FROM w n JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.p = n.p - 1))),
+a AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM w WHERE p = 1),
+e AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS k, length(replace(audit, 'D', '')) % 2 AS system FROM a),
+x AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS p, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY k) - 1 AS written FROM e),
+r AS (SELECT x.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (written - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) FILTER (edit <> 'D') AS said
+    FROM x LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.p = x.p GROUP BY 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+_PART = "coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_PART.format(x=x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: A tree's levels, and the way of a node up to its top with its siblings on the way.
+_TREE = "SELECT g, 0 AS lvl, i, h FROM {nodes} UNION ALL SELECT g, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS own FROM {tree}) WHERE own > 1 GROUP BY g, lvl, i // 8"
+_CLIMB = """SELECT id, g, 0 AS lvl, i, h, sib FROM {nodes} UNION ALL
+    SELECT u.id, u.g, u.lvl + 1, u.i // 8, sha256(string_agg(CASE WHEN t.i = u.i THEN u.h ELSE t.h END, '' ORDER BY t.i)), u.sib || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> u.i), '')
+    FROM {up} u JOIN {tree} t ON t.g = u.g AND t.lvl = u.lvl AND t.i // 8 = u.i // 8 JOIN (SELECT g, max(lvl) AS high FROM {tree} GROUP BY 1) m ON m.g = u.g AND u.lvl < high GROUP BY u.id, u.g, u.lvl, u.i, u.h, u.sib"""
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {CRC.format(text="doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+l AS (SELECT doc_id AS id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, leaf AS h, coalesce(other, leaf) AS changed FROM d),
+t AS ({_TREE.format(nodes="l", tree="t")}),
+s AS (SELECT 0 AS g, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i FROM (SELECT g, h FROM t QUALIFY lvl = max(lvl) OVER (PARTITION BY g))),
+r AS ({_TREE.format(nodes="s", tree="r")}),
+lc AS (SELECT id, g, i, changed AS h, '' AS sib FROM l),
+u AS ({_CLIMB.format(nodes="lc", up="u", tree="t")}),
+sc AS (SELECT u.id, 0 AS g, s.i, u.h, u.sib FROM u JOIN s ON s.name = u.g JOIN (SELECT g, max(lvl) AS high FROM t GROUP BY 1) m ON m.g = u.g AND u.lvl = high),
+v AS ({_CLIMB.format(nodes="sc", up="v", tree="r")}),
+top AS (SELECT h AS root, lvl FROM r ORDER BY lvl DESC LIMIT 1)
+SELECT l.id AS doc_id, l.h AS leaf, s.h AS subroot, root, sha256(v.sib) AS proof_sha256, v.h AS folded_root, v.h = root AS verified
+FROM l JOIN s ON s.name = l.g JOIN v ON v.id = l.id JOIN top ON v.lvl = top.lvl"""
+
 OP13_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -76,4 +132,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nn_descent": OP1_SQL, "op7_ngram_join": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op1_nn_descent": OP1_SQL, "op7_ngram_join": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_line_dedup": OP13_SQL}
