@@ -398,6 +398,21 @@ def learn_shop(spark, sf):
     return patterns.pattern_summary(patterns.assign_patterns(u, patterns.learn_patterns(u)))
 
 
+#: First segments that are customers: most have orders of one kind, some of both. What holds both looks like neither, but like what the others become together.
+STRAGGLERS = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'help' ELSE 'c' || cast(o_custkey AS string) END AS a,
+    CASE WHEN o_orderkey % 97 = 0 THEN 'contact' WHEN o_custkey % 20 = 0 AND o_orderkey % 2 = 0 THEN 'open' WHEN o_custkey % 20 = 0 THEN 'done' WHEN o_custkey % 2 = 1 THEN 'open' ELSE 'done' END AS b FROM {orders}"""
+
+
+@query("e5_stragglers", f"""SELECT * FROM (WITH p AS ({STRAGGLERS.format(orders='orders')}), g AS (SELECT a, count(*) AS n, string_agg(DISTINCT b, '|' ORDER BY b) AS sig FROM p GROUP BY a),
+    o AS (SELECT sum(n) AS obs FROM g), k AS (SELECT sig, count(*) AS alike FROM g GROUP BY sig), c AS (SELECT sig FROM k, o WHERE {VARIES.format(f='alike', o='obs')}),
+    u AS (SELECT string_agg(DISTINCT b, '|' ORDER BY b) AS merged FROM (SELECT unnest(string_split(sig, '|')) AS b FROM c))
+    SELECT '/' || CASE WHEN sig IN (SELECT sig FROM c) OR sig = (SELECT merged FROM u) THEN '{{param}}' ELSE a END || '/' || b AS template, count(*) AS n FROM p JOIN g USING (a) GROUP BY 1)""")
+def _(spark, sf):
+    """Names that join the parameter because they look like it, once it is there."""
+    u = spark.sql(STRAGGLERS.format(orders=f"parquet.`{sf}/orders.parquet`")).select(F.array("a", "b").alias("segments"))
+    return patterns.assign_patterns(u, patterns.learn_patterns(u)).groupBy("template").agg(F.count("*").alias("n"))
+
+
 @query("e9_merge_passes", f"SELECT * FROM ({TWO_LEVELS} SELECT template, count(*) AS n FROM t GROUP BY template)")
 def _(spark, sf):
     p = parsed(spark, sf)
