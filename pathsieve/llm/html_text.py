@@ -3,18 +3,22 @@
 A page is cut into blocks of text at block-level tags; what a browser doesn't show
 (scripts, styles, hidden elements, controls) is no text. The first pass scores
 every block: length and stop words speak for main text, links against it, a
-content container a little for it, and a name that says advert, menu, comment and
-the like strongly against it. High scores are main text, low ones boilerplate, and
-what lies between, mostly short blocks, stays undecided. In the second pass an
-undecided block takes the label of the nearest decided block of its section;
-between two labels at the same distance a heading goes with what follows it, and
-any other block is main text only if it stands in a content container.
+content container a little for it, and an element or name that says advert, menu,
+comment and the like against it. A name is judged by what its element holds: one
+around the main heading or an article (on a page without either, around half of
+its text and several blocks) is a wrapper's and says nothing. High scores are main
+text, low ones boilerplate, and what lies between, mostly short blocks, stays
+undecided. In the second pass an undecided block takes the label of the nearest
+decided block of its section; between two labels at the same distance a heading
+goes with what follows it, and any other block is main text only if it stands in
+a content container.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,6 +55,8 @@ NAMED = re.compile(
 )
 #: Content containers.
 CONTENT = frozenset(["article", "main"])
+#: What a page's own boxes hold, but not its boilerplate.
+WRAPPED = frozenset(["article", "main", "h1"])
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([!?/])[^>]*(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.IGNORECASE)
@@ -59,7 +65,9 @@ WORD = re.compile(r"\w+")
 #: Score of a block: for its words up to ``WORDS_LONG``, its share of stop words (fully from ``WORDS_SHORT`` words on), its
 #: share of characters in links, a content container, and a name that speaks against it.
 WORDS_LONG, WORDS_SHORT = 50, 10
-FOR_LENGTH, FOR_STOPS, FOR_LINKS, FOR_CONTAINER, FOR_NAME = 2.0, 4.0, -6.0, 0.5, -6.5
+FOR_LENGTH, FOR_STOPS, FOR_LINKS, FOR_CONTAINER, FOR_NAME = 2.0, 4.0, -6.0, 0.5, -5.0
+#: Share of the text and number of blocks from which on an element is a wrapper, where a page has no main heading or article.
+WRAPS, WRAPPED_BLOCKS = 0.5, 3
 #: Scores from which on a block is main text, and up to which it is boilerplate.
 MAIN, REST = 1.0, 0.0
 
@@ -93,10 +101,15 @@ def _evidence(attributes: str) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
+    around: list[tuple[int, ...]] = []  # the named elements around each block
+    wrappers: set[int] = set()  # those that hold a main heading or an article
     texts: list[str] = []
     linked = 0
     open_elements: list[tuple[str, bool, bool]] = []  # (name, starts what is not shown, starts what a name speaks against)
-    hidden = named = links = content = headings = 0
+    opened: Counter[str] = Counter()  # how many of each name are open
+    named: list[int] = []
+    hidden = links = content = headings = elements = 0
+    told = False  # whether a main heading or an article says where the page's text is
     at = 0
 
     def flush() -> None:
@@ -104,18 +117,21 @@ def blocks_of(page: str) -> list[Block]:
         if texts:
             whole = " ".join(html.unescape("".join(texts)).split())
             if whole:
-                out.append(Block(whole, linked, headings > 0, content > 0, named > 0))
+                out.append(Block(whole, linked, headings > 0, content > 0, False))
+                around.append(tuple(named))
             texts.clear()
         linked = 0
 
     def leave() -> None:
-        nonlocal hidden, named, links, content, headings
+        nonlocal hidden, links, content, headings
         name, unseen, against = open_elements.pop()
+        opened[name] -= 1
         if against:
             flush()
         headings -= name in HEADINGS
         hidden -= unseen
-        named -= against
+        if against:
+            named.pop()
         links -= name == "a"
         content -= name in CONTENT
 
@@ -146,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
         if found[2]:
             if name in BLOCKS:
                 flush()
-            if any(x == name for x, *_ in open_elements):
+            if opened[name]:
                 while open_elements[-1][0] != name:
                     leave()
                 leave()
@@ -157,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
             leave()
         if name in BLOCKS and any(x == "p" for x, *_ in open_elements[-4:]) and name != "br":
             # inline elements left open in a paragraph end with it
-            k = max(i for i, (x, *_) in enumerate(open_elements) if x == "p")
+            k = max(i for i in range(max(0, len(open_elements) - 4), len(open_elements)) if open_elements[i][0] == "p")
             if all(x not in BLOCKS for x, *_ in open_elements[k + 1:]):
                 while len(open_elements) > k:
                     leave()
@@ -173,13 +189,28 @@ def blocks_of(page: str) -> list[Block]:
         if unseen or against:
             flush()
         open_elements.append((name, unseen, against))
+        opened[name] += 1
         hidden += unseen
-        named += against
+        if name in WRAPPED:
+            wrappers.update(named)
+            told = True
+        if against:
+            elements += 1
+            named.append(elements)
         links += name == "a"
         headings += name in HEADINGS
         content += name in CONTENT
     flush()
-    return out
+    if not told:
+        held: Counter[int] = Counter()
+        blocks: Counter[int] = Counter()
+        for block, own in zip(out, around, strict=True):
+            for element in own:
+                held[element] += len(block.text) - min(block.linked, len(block.text))
+                blocks[element] += 1
+        most = WRAPS * sum(len(b.text) for b in out)
+        wrappers.update(e for e in held if held[e] >= most and blocks[e] >= WRAPPED_BLOCKS)
+    return [b._replace(named=any(e not in wrappers for e in own)) for b, own in zip(out, around, strict=True)]
 
 
 def score(block: Block) -> float:

@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from pathsieve.llm.html_text import Block, blocks_of, extract, first_pass, main_text, score, second_pass
 
@@ -69,6 +72,30 @@ def test_passes_against_brute_force():
         assert second_pass(blocks, first_pass(blocks)) == slow_labels(blocks)
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "page no-sidebar", "entry-content widget", "single-post comments-open", "post tags", "has-header"])
+@pytest.mark.parametrize("title", ["<h1>Title</h1>", "<h2>Title</h2>", ""])
+def test_names_of_wrappers_say_nothing(name, title):
+    body = f'{title}<p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>'
+    page = f'<body><nav><ul><li><a href="/">Home</a></ul></nav><div class="{name}">{body}</div><div class="comments"><p>{PROSE}</p></div></body>'
+    if title == "<h1>Title</h1>":
+        page = page.replace("</div></body>", f"<p>{PROSE} {PROSE} {PROSE}</p><p>{PROSE}</p></div></body>")
+    assert main_text(page) == " ".join(["Title"] * bool(title) + [PROSE] * 3)
+
+
+def test_names_inside_an_article():
+    page = f'<article><div class="article-header"><h1>Title</h1><p>{PROSE}</p></div><header><p>{PROSE}</p></header><p>{PROSE}</p><div class="share"><p>{PROSE}</p></div></article>'
+    assert main_text(page) == f"Title {PROSE} {PROSE}"
+    # an advert that is longer than the article is no wrapper
+    assert main_text(f'<div class="ad">{PROSE} {PROSE}</div><article><p>Yes. It is so.</p></article>') == "Yes. It is so."
+
+
+def test_end_tags_take_linear_time():
+    began = time.process_time()
+    assert main_text("<p>" + "<b>" * 50_000 + "</i>" * 50_000 + "end") == "end"
+    assert main_text("<b>" * 50_000 + "<p>x" * 5000) == " ".join(["x"] * 5000)
+    assert time.process_time() - began < 20
+
+
 def test_edges(spark):
     assert main_text(None) == main_text("") == ""
     assert main_text("a < b & c") == "a < b & c"
