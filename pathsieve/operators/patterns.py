@@ -107,11 +107,12 @@ def _ready(open_: DataFrame) -> DataFrame:
 
 
 def _decided(nodes: DataFrame, inside: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((parent, depth, absorbs, fold), (parent, segment)): prefixes of which children become the parameter, and the names that stay beside it.
+    """((parent, depth, absorbs, fold, several), (parent, segment)): prefixes of which children become the parameter, and the names that stay beside it.
 
     Counts by (parent, signature) decide, so no task holds all children of a
     parent, and only the names that stay are listed. fold: children have
-    parameters themselves, so that everything below them is merged.
+    parameters themselves, so that everything below them is merged. several:
+    children of more than one signature become one.
     """
     own = nodes.join(_small(ready.select(F.col("node").alias("parent"), "depth", "absorbs", F.col("kids").alias("fan"), "through")), "parent")
     shaped = own.join(inside.select("node", F.col("param").alias("deeper"), "near"), "node", "left")
@@ -126,7 +127,7 @@ def _decided(nodes: DataFrame, inside: DataFrame, ready: DataFrame) -> tuple[Dat
     # what looks like the parameter beside it belongs to it
     chosen = F.when(F.col("absorbs"), F.col("signature") == F.col("taking")).otherwise((F.col("kinds") == 1) | _looks_variable(F.col("alike"), F.col("through")))
     groups = _checkpoint(groups.join(whole, "parent").where("alike > 0").select("parent", "depth", "absorbs", "signature", chosen.alias("chosen")))
-    changed = groups.groupBy("parent", "depth", "absorbs").agg(F.bool_or("chosen").alias("some"), F.bool_or(F.col("chosen") & F.col("signature").startswith("*>")).alias("fold")).where("some").drop("some")
+    changed = groups.groupBy("parent", "depth", "absorbs").agg(F.bool_or("chosen").alias("some"), F.bool_or(F.col("chosen") & F.col("signature").startswith("*>")).alias("fold"), (F.count_if("chosen") > 1).alias("several")).where("some").drop("some")
     rest = groups.where("not chosen").join(changed, "parent", "left_semi").select("parent", "signature")
     return changed, signed.where(F.col("segment") != PARAM).join(rest, ["parent", "signature"], "left_semi").select("parent", "segment")
 
@@ -149,8 +150,12 @@ def _rewrite(paths: DataFrame, changed: DataFrame, stay: DataFrame, depths: dict
 
 
 def _settle(settled: DataFrame | None, ready: DataFrame, changed: DataFrame) -> DataFrame:
-    """(node) of the prefixes that are decided for now: those that kept their children or took names once, unless they are below a parameter that got more."""
-    done = ready.join(changed.where("not absorbs").select(F.col("parent").alias("node")), "node", "left_anti").select("node")
+    """(node) of the prefixes that are decided for now: those that kept their children or took names once, unless they are below a parameter that got more.
+
+    Where children of one signature became the parameter, it still has theirs,
+    and no other name has; only else names may look like it.
+    """
+    done = ready.join(changed.where("not absorbs and (several or fold)").select(F.col("parent").alias("node")), "node", "left_anti").select("node")
     if settled is None:
         return _checkpoint(done)
     grown = changed.select(_child(F.col("parent"), F.lit(PARAM)).alias("above"))

@@ -135,7 +135,7 @@ def counted(spark, rows):
     return spark.createDataFrame([(SEP.join(s), n) for s, n in rows], "path string, n long")
 
 
-@pytest.mark.parametrize("seed", [0, 4, 9])
+@pytest.mark.parametrize("seed", [4, 9])
 def test_against_a_tree(spark, low, seed):
     urls = sample(seed)
     rules = {(r.parent, r.literal) for r in patterns.learn_from_counts(patterns.path_counts(spark.createDataFrame([(u,) for u in urls], "segments array<string>"))).collect()}
