@@ -7,13 +7,15 @@ is a function on the eight states of a small automaton. Functions compose
 associatively, so a batch of texts is cut into equal blocks whose functions are
 composed side by side; a scan over the blocks' functions gives each block's
 first state, and a second pass marks the boundaries. The slices are merged pair
-by pair, all unknown slices of a step together, and remembered.
+by pair, all unknown slices of a step together, and remembered. A long slice has
+a heap of its pairs instead, so that it takes n log n time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from pathsieve.llm.common import bounded_steps, small_batches, table
 
 #: Bytes that a worker's cache of pre-tokens takes before it starts anew, what an entry takes besides its text, and the longest pre-token it keeps.
 CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 40_000_000, 220, 256
+#: Bytes of the longest pre-token that is merged together with others; a longer one has a heap of its own.
+TOGETHER_BYTES = 256
 #: Code points per block of the scan.
 BLOCK = 128
 
@@ -134,6 +138,10 @@ class PairMerger:
 
     def __init__(self, byte_ids: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
         self.byte_ids, self.keys, self.ranks = byte_ids, keys, ranks
+        self.table: dict[int, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": {}}
 
     @classmethod
     def of(cls, ranks: dict[bytes, int]) -> PairMerger:
@@ -154,6 +162,44 @@ class PairMerger:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
+        if max(map(len, words), default=0) <= TOGETHER_BYTES:
+            return self._merge_together(words)
+        short = iter(self._merge_together([w for w in words if len(w) <= TOGETHER_BYTES]))
+        return [next(short) if len(w) <= TOGETHER_BYTES else self._merge_long(w) for w in words]
+
+    def _merge_long(self, word: bytes) -> bytes:
+        """Ids of one word; its pairs wait in a heap by rank, then place, and its parts are a linked list."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        rank_of, n = self.table.get, len(word)
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        # the rank of the pair that begins at each place; what the heap says of another rank is out of date
+        pair = [rank_of(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            if pair[i] != rank:
+                continue
+            gone = right[i]
+            after = right[gone]
+            ids[i], ids[gone], pair[gone], right[i] = rank, -1, -1, after
+            pair[i] = -1
+            if after < n:
+                left[after] = i
+                pair[i] = rank_of(rank << 32 | ids[after], -1)
+                if pair[i] >= 0:
+                    heapq.heappush(heap, pair[i] << 32 | i)
+            before = left[i]
+            if before >= 0:
+                pair[before] = rank_of(ids[before] << 32 | rank, -1)
+                if pair[before] >= 0:
+                    heapq.heappush(heap, pair[before] << 32 | before)
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
+    def _merge_together(self, words: list[bytes]) -> list[bytes]:
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)

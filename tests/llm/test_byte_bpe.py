@@ -31,6 +31,19 @@ def test_random_texts_encode_as_the_library_does(library):
         assert own.decode(ids) == text.encode()
 
 
+def test_long_words_merge_by_a_heap(monkeypatch, library):
+    own, pick = ByteBpe(public_tokenizers.path(NAME)), random.Random(8)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "aab", "etaoin", "漢字仮名交文", "=-", "éßüa"]
+    texts = ["".join(pick.choices(k, k=pick.choice([200, 255, 256, 257, 300, 2000, 9000]))) + " and so on" for k in kinds for _ in range(6)]
+    texts += ["the" * 40_000, "".join(pick.choices("漢字仮名交文的一是不", k=100_000))]
+    want = [b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(t)) for t in texts]
+    assert own.encode(texts) == want
+    assert [own.decode(x) for x in want] == [t.encode() for t in texts]
+    # each way alone
+    words = [t.split(" ")[0].encode() for t in texts[:36]]
+    assert [own.merger._merge_long(w) for w in words] == own.merger._merge_together(words)
+
+
 def test_cache_starts_anew(monkeypatch, library):
     monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2000)
     own, texts = ByteBpe(public_tokenizers.path(NAME)), [f"word{i} {'z' * 300}{i}" for i in range(60)]
