@@ -13,6 +13,8 @@ than ``MAX_RUNS`` runs, they are compacted into one.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from pathsieve.llm.words import run_hashes, run_hashes_at, word_digests
 GRAM = 7
 #: Runs an index keeps before they are compacted.
 MAX_RUNS = 3
+#: Property of a run's table: what the index held when it was written.
+STATE = "pathsieve.fingerprints"
 
 
 def _steps(texts: list, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -57,23 +61,57 @@ class FingerprintIndex:
     """Runs of fingerprints of the documents seen so far, as Spark tables.
 
     An index with a name outlives the call and, where the session's catalog does,
-    the session: whoever opens that name again goes on with its runs.
+    the session: whoever opens that name again goes on with its runs, by the
+    window and the buckets they were made with. The newest run says what the
+    index holds: how many documents, and the last batch's ids and documents.
     """
 
     def __init__(self, spark: SparkSession, window: int = 13, name: str | None = None):
         self.spark, self.window = spark, window
         self.name = name or f"fingerprints_{uuid.uuid4().hex}"
-        made = sorted(int(t.name.rpartition("_")[2]) for t in spark.catalog.listTables(pattern=f"{self.name}_*") if t.name.rpartition("_")[2].isdigit()) if name else []
+        own = re.compile(re.escape(self.name) + r"_(\d+)", re.IGNORECASE)
+        made = sorted(int(m[1]) for t in spark.catalog.listTables(pattern=f"{self.name}_*") if (m := own.fullmatch(t.name))) if name else []
         self.runs = [f"{self.name}_{k}" for k in made]
         self.made = made[-1] + 1 if made else 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.state = {"held": 0, "low": None, "top": None, "added": 0}
+        if made:
+            stored = [r.value for r in spark.sql(f"SHOW TBLPROPERTIES {self.runs[-1]}").collect() if r.key == STATE]
+            if not stored:
+                raise ValueError(f"{self.runs[-1]} was not finished: drop it and add its batch again")
+            self.state = json.loads(stored[0])
+            if self.state.pop("window") != window:
+                raise ValueError(f"{self.name} was made with another window")
+            self.buckets = self.state.pop("buckets")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
         rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        state = json.dumps(self.state | {"window": self.window, "buckets": self.buckets})
+        self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{STATE}' = '{state}')")
         return name
 
+    def admit(self, batch: DataFrame, earlier: DataFrame | None) -> None:
+        """Takes note of the ids of a batch; an error unless it comes after all the index holds, which ``earlier`` must be.
+
+        Both are frames of one column, id. A batch may end with documents of the
+        last one's highest id again, and the last batch may be added once more.
+        """
+        size = F.count("id")
+        low, top, n = batch.agg(F.min("id"), F.max("id"), size).first()
+        if not n:
+            return
+        last = self.state
+        again = (low, top, n) == (last["low"], last["top"], last["added"])
+        held = last["held"] - last["added"] if again else last["held"]
+        if not again and last["top"] is not None and low < last["top"]:
+            raise ValueError(f"the index holds ids up to {last['top']}; a batch with id {low} comes too late")
+        count, highest = earlier.agg(size, F.max("id")).first() if earlier is not None else (0, None)
+        if count != held or (count and highest > low):
+            raise ValueError(f"the index holds {held} documents; the earlier texts are {count}, up to id {highest}, for a batch from id {low}")
+        self.state = {"held": held + n, "low": low, "top": top, "added": n}
+
     def add(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Adds a run for the (id, text) of ``texts``; (fingerprints to verify, those of them that older runs hold)."""
         window = self.window
@@ -207,7 +245,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
 
     With an ``index``, ``df`` is a batch that comes after all it holds: the batch
     is judged against ``earlier`` (the documents of the batches before, as they
-    came), added to the index, and the index stays.
+    came), added to the index, and the index stays. An id below those it holds,
+    and earlier documents that are not as many as it holds, are errors.
     """
     from pyspark.sql import types as T
 
@@ -218,6 +257,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int
     else:
         small_batches(df.sparkSession)
         window = index.window
+        ids = [None if x is None else x.select(F.col(id_col).cast("long").alias("id")) for x in (df, earlier)]
+        index.admit(*ids)
         starts = index.extend(_keyed(df, id_col, text), None if earlier is None else _keyed(earlier, id_col, text))
     kept_columns = rest.columns
 

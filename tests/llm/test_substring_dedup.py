@@ -62,6 +62,39 @@ def test_batches_in_separate_calls(spark, monkeypatch):
     assert sorted(made, key=str) == brute(rows, 13)
 
 
+def test_what_an_index_refuses(spark):
+    """Missing or other earlier texts, ids that come too late, another window; names that begin one another."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    frame = lambda *rows: spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    first, second = frame((5, passage), (6, None), (None, passage)), frame((7, "so " + passage), (8, "x"))
+    key = "spark.sql.shuffle.partitions"
+    before, other = spark.conf.get(key), FingerprintIndex(spark, name="refusals_1")
+    dedup(frame((1, "y")), index=other).count()
+    assert FingerprintIndex(spark, name="refusals").runs == []
+    try:
+        dedup(first, index=FingerprintIndex(spark, name="refusals")).count()
+        index = FingerprintIndex(spark, name="refusals")
+        assert index.runs == ["refusals_0"] and index.state["held"] == 2
+        for batch, earlier in ((second, None), (second, frame((5, passage))), (second, frame((5, passage), (9, "z"))), (frame((4, passage), (8, "x")), first)):
+            with pytest.raises(ValueError):
+                dedup(batch, index=FingerprintIndex(spark, name="refusals"), earlier=earlier)
+        with pytest.raises(ValueError):
+            FingerprintIndex(spark, window=5, name="refusals")
+        spark.conf.set(key, "3")
+        want = {7: 20, 8: 0}
+        # a batch may be added again, when what came of it was lost
+        for _ in range(2):
+            index = FingerprintIndex(spark, name="refusals")
+            assert index.buckets == int(before)
+            assert {r.doc_id: r.n_removed for r in dedup(second, index=index, earlier=first).collect()} == want
+        assert index.state["held"] == 4 and len(index.runs) == 3
+        assert dedup(first.limit(0), index=index, earlier=first).count() == 0
+    finally:
+        spark.conf.set(key, before)
+        FingerprintIndex(spark, name="refusals").drop()
+        FingerprintIndex(spark, name="refusals_1").drop()
+
+
 def test_words_that_collide_in_polynomials(spark):
     bits = [bin(i).count("1") % 2 for i in range(1024)]
     x, y = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
