@@ -28,7 +28,7 @@ MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 3, 5, 7, 8), (0, 1, 4, 7, 8, 9, 10))
 SHORT_MASK = (0, 1, 2)
 #: Share of the words of such an item that must agree.
 SHORT_SHARE = 0.85
-#: Benchmark seeds and words that are broadcast at most; a seed takes about 24 bytes and a word 8.
+#: Benchmark seeds and words that are broadcast at most; a seed takes about 40 bytes and a word 8.
 BROADCAST_SEEDS, BROADCAST_WORDS = 1_000_000, 4_000_000
 
 
@@ -68,9 +68,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
     spans = [max(m) + 1 for m in masks]
     seeds = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - min(spans))).alias("q"))
     seeds = seeds.select("item_id", "item", "q", F.posexplode(_seeds(F.col("item"), F.col("q"), masks)).alias("mask", "seed"))
+    before = F.when(F.col("q") > 0, F.get(_seeds(F.col("item"), F.col("q") - 1, masks), F.col("mask")))
     fits = F.element_at(F.array(*map(F.lit, spans)), F.col("mask") + 1) + F.col("q") <= F.size("item")
     whole = (F.size("item") >= WINDOW) == (F.col("mask") < len(MASKS))
-    seeds = seeds.where(fits & whole).select("item_id", "q", "seed")
+    seeds = seeds.where(fits & whole).select("item_id", "q", "seed", "mask", before.alias("before"))
     words = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     few = words <= BROADCAST_WORDS and seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
 
@@ -83,7 +84,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
     places = places.select("doc_id", "document", "p", F.explode(_seeds(F.col("document"), F.col("p"), masks)).alias("seed"))
     offset = F.col("p") - F.col("q")
     if few:
-        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
+        hits = places.join(F.broadcast(seeds), "seed")
+        # of hits in a row, which lie at one offset, the first says it all
+        first = F.col("before").isNull() | (F.col("p") == 0) | (F.get(_seeds(F.col("document"), F.col("p") - 1, masks), F.col("mask")) != F.col("before"))
+        hits = hits.where(first).join(F.broadcast(items), "item_id")
     else:
         # words meet again only where seeds do
         known = places.select("doc_id", "p", "seed").join(seeds, "seed").select("doc_id", "item_id", offset.alias("p"), F.lit(0).alias("q")).distinct()
