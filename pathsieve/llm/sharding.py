@@ -24,6 +24,8 @@ MASK = (1 << 32) - 1
 ROWS_PER_RANGE = 200_000
 #: Ranges a shard is dealt over at least.
 LEAST_RANGES = 64
+#: Equal rows that a task numbers at most; more are numbered in pieces.
+PIECE = 1_000_000
 
 
 def _low_product(x: Column, c: int) -> Column:
@@ -77,8 +79,8 @@ def shard(df: DataFrame, key: str, shards: int, *columns: str) -> DataFrame:
     ranges are counted (shards x ranges rows), and a row's slot is its place in
     its range plus what the ranges before hold. The ranges grow with the input.
     Equal rows are one counted row until they have their slots, however many
-    there are; they get slots of their own, and which of them comes first doesn't
-    show.
+    there are; more than ``PIECE`` of them are dealt out to tasks in pieces. They
+    get slots of their own, and which of them comes first doesn't show.
 
     Nulls: a null key counts as 0. An empty table gives an empty result. A key or
     column named shard, slot or grown_shard is left out of the result, for the
@@ -89,13 +91,19 @@ def shard(df: DataFrame, key: str, shards: int, *columns: str) -> DataFrame:
     rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(given, own, strict=True))).groupBy(*own).agg(F.count("*").alias("_n"))
     hit = jump_shard(F.col(own[0]), shards)
     placed = rows.withColumn("_hit", hit).select(*own, "_n", F.col("_hit.shard").alias("_shard"), F.col("_hit.grown").alias("_grown"))
-    ranges = max(LEAST_RANGES, -(-df.count() // (shards * ROWS_PER_RANGE)))
+    total, most = rows.agg(F.sum("_n"), F.max("_n")).first()
+    ranges = max(LEAST_RANGES, -(-(total or 0) // (shards * ROWS_PER_RANGE)))
     placed = placed.withColumn("_range", F.pmod(F.xxhash64(*own), F.lit(ranges)).cast("int"))
     counts = placed.groupBy("_shard", "_range").agg(F.sum("_n").alias("_rows"))
     before = counts.select("_shard", "_range", (F.sum("_rows").over(Window.partitionBy("_shard").orderBy("_range")) - F.col("_rows")).alias("_before"))
     within = Window.partitionBy("_shard", "_range").orderBy(*own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = placed.withColumn("_upto", F.sum("_n").over(within)).join(before, ["_shard", "_range"])
-    slots = first.withColumn("_slot", F.explode(F.sequence(F.col("_before") + F.col("_upto") - F.col("_n"), F.col("_before") + F.col("_upto") - 1)))
+    first = first.withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n")).withColumn("_last", F.col("_before") + F.col("_upto") - 1)
+    if (most or 0) > PIECE:
+        starts = F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(PIECE).cast("long")))
+        many = first.where(F.col("_n") > PIECE).withColumn("_first", starts).withColumn("_last", F.least(F.col("_last"), F.col("_first") + (PIECE - 1)))
+        first = first.where(F.col("_n") <= PIECE).unionByName(many.repartition(*own, "_first"))
+    slots = first.withColumn("_slot", F.explode(F.sequence("_first", "_last")))
     new = {"shard": "_shard", "slot": "_slot", "grown_shard": "_grown"}
     return slots.select(*(F.col(n).alias(c) for c, n in zip(given, own, strict=True) if c not in new), *(F.col(n).alias(c) for c, n in new.items()))
 

@@ -1,5 +1,6 @@
 import collections
 
+from pathsieve.llm import sharding
 from pathsieve.llm.sharding import shard
 
 
@@ -37,3 +38,16 @@ def test_clashing_names_and_equal_rows(spark):
     assert {s: len(x) for s, x in own.items()} == collections.Counter(jump(k % 5, 3) for k in range(3000))
     assert all(sorted(x) == list(range(len(x))) for x in own.values())
     assert shard(df.withColumnRenamed("slot", "hit").withColumnRenamed("_n", "grown_shard"), "shard", 3, "hit", "grown_shard").columns == ["hit", "shard", "slot", "grown_shard"]
+
+
+def test_many_equal_rows_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 100)
+    keys = [7] * 2350 + [8] * 100 + [9] * 101 + list(range(50)) + [None] * 300
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, extra string")
+    own, held = collections.defaultdict(list), collections.Counter()
+    for r in shard(df, "k", 5, "extra").collect():
+        assert r.shard == jump(r.k or 0, 5)
+        own[r.shard].append(r.slot)
+        held[r.k] += 1
+    assert held == collections.Counter(keys)
+    assert all(sorted(x) == list(range(len(x))) for x in own.values())
