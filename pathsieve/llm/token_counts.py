@@ -26,8 +26,8 @@ TABLE_WORDS = 32_768
 TASK_WORDS = 8_192
 #: Longest word, in characters, that the table takes; bounds its bytes.
 WORD_CHARS = 64
-#: Pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Bytes that a worker's cache of pre-tokens takes before it starts anew, what an entry takes besides its text, and the longest pre-token it keeps.
+CACHE_BYTES, ENTRY_BYTES, KEPT_CHARS = 64_000_000, 160, 256
 
 
 def _tokenizer_path(name: str) -> str:
@@ -49,6 +49,7 @@ class TokenCounter:
     def __init__(self, path: str, frequent: dict[str, int] | None = None):
         self.frequent = frequent or {}
         self.cache: dict[str, int] = {}
+        self.cached = 0
         self.split = None
         if path.endswith(".model"):
             import sentencepiece
@@ -84,8 +85,9 @@ class TokenCounter:
         out, missing, parts = [0] * len(texts), {}, []
         whole = []
         frequent, cache = self.frequent, self.cache
-        if len(cache) > CACHE_ENTRIES:
+        if self.cached > CACHE_BYTES:
             cache.clear()
+            self.cached = 0
         for i, text in enumerate(texts):
             if not text.isascii() and not self.unsure.isdisjoint(text):
                 whole.append(i)
@@ -101,10 +103,14 @@ class TokenCounter:
         if missing:
             words = list(missing)
             cache.update(zip(words, self.encode_all(words), strict=True))
+            self.cached += sum(ENTRY_BYTES + len(w) for w in words)
         for i, tokens in enumerate(parts):
             if tokens:
                 get = cache.get
                 out[i] += sum([frequent[t] if t in frequent else get(t) for t in tokens])
+        for w in [w for w in missing if len(w) > KEPT_CHARS]:
+            del cache[w]
+            self.cached -= ENTRY_BYTES + len(w)
         for i, n in zip(whole, self.encode_all([texts[i] for i in whole]) if whole else (), strict=True):
             out[i] = n
         return out

@@ -3,7 +3,8 @@ from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from pathsieve.llm.token_counts import count_tokens  # noqa: E402
+from pathsieve.llm import token_counts  # noqa: E402
+from pathsieve.llm.token_counts import TokenCounter, count_tokens  # noqa: E402
 
 
 def test_counts_are_the_library_s(spark):
@@ -23,3 +24,13 @@ def test_other_tokenizers(spark):
     assert {r.doc_id: r.n_tokens for r in count_tokens(df, tokenizer="piece_bpe_32k.model").collect()} == {1: len(model.encode("Hello there, you")), 2: 0}
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {r.doc_id: r.n_tokens for r in count_tokens(df, tokenizer="word_bpe_49k.json").collect()}[1] == len(own.encode("Hello there, you", add_special_tokens=False).ids)
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 3000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = TokenCounter(path), Tokenizer.from_file(path)
+    for text in [f"word{i} {'z' * 300}{i} {i}" for i in range(60)] * 2:
+        assert own.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+        assert own.cached <= 4500 and not any(len(w) > token_counts.KEPT_CHARS for w in own.cache)
+        assert own.cached == sum(token_counts.ENTRY_BYTES + len(w) for w in own.cache)
