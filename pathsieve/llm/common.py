@@ -44,8 +44,8 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Links of one node that a task of a join takes at most, about.
-HOT_NODE = 20_000
+#: Links of one node that a task of a join takes at most, about, while no more than ``HOT_NODES`` nodes have more; else as many as leave no more such nodes.
+HOT_NODE, HOT_NODES = 20_000, 65_536
 
 
 def bounded_steps(texts: Iterable, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -68,17 +68,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Components in MapReduce and Beyond" (2014): each is one aggregation and one
     join on node keys, and the number of rounds grows with the logarithm of the
     longest path. The root of a large component has a link to each of its nodes;
-    the join deals the links of such a node out to tasks of ``HOT_NODE`` links.
-    Self links and null ends are ignored; repeated links count once.
+    the join deals the links of such a node out to tasks of ``HOT_NODE`` links,
+    or a fixed share of all links where these are very many, so that the nodes
+    it broadcasts are ``HOT_NODES`` at most. Self links and null ends are ignored; repeated links count once.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     # every link points from the larger to the smaller end
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sums = None
+    sums, links = None, e.count()
     while True:
+        # n links have 2 n ends, so at most 2 n / most nodes have more than ``most`` of them
+        most = max(HOT_NODE, -(-2 * links // HOT_NODES))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.ceil(F.count("*") / HOT_NODE).cast("int").alias("parts"))
-        # at most one node in HOT_NODE / 2 links has more than one part
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.ceil(F.count("*") / most).cast("int").alias("parts"))
         hot = F.broadcast(low.where("parts > 1").select("u", "parts"))
         part = F.coalesce(F.pmod(F.xxhash64("v"), "parts"), F.lit(0)).cast("int")
         dealt = both.where("v > u").join(hot, "u", "left").select("u", "v", part.alias("part"))
@@ -96,7 +98,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sums:
             break
-        sums = now
+        sums, links = now, now[0]
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
