@@ -162,10 +162,21 @@ def sitemap_graph(spark, sf):
     return region.select(F.format_string("region/%d", "r_regionkey").alias("file_url")), locs
 
 
-@query("a4_expand_indexes", """SELECT 'region/' || r_regionkey AS file_url, 0 AS depth, 'skipped' AS status, 'NESTED_SITEMAP_INDEX' AS reason, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS children FROM region
-    UNION ALL SELECT 'nation/' || n_nationkey, 1, 'skipped', 'NESTED_SITEMAP_INDEX', 1 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
-    UNION ALL SELECT 'supplier/' || s_suppkey, 2, 'pending', NULL, NULL FROM supplier""")
+#: Level by level in the order of the walk: how many files there would be with an index's children, and the place of the first index where they are too many.
+EXPANDED = """SELECT * FROM (WITH r AS (SELECT 'region/' || r_regionkey AS file_url, r_regionkey AS k, count(n_nationkey) AS c FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2),
+    rw AS (SELECT *, row_number() OVER (ORDER BY file_url) AS place, (SELECT count(*) FROM region) + coalesce(sum(c) OVER (ORDER BY file_url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c AS would FROM r),
+    rs AS (SELECT min(place) AS stop FROM rw WHERE c > 0 AND would > 50000),
+    n AS (SELECT 'nation/' || n_nationkey AS file_url, n_nationkey AS k, 1 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS c, row_number() OVER (ORDER BY rw.place, n_nationkey) AS place FROM nation JOIN rw ON rw.k = n_regionkey CROSS JOIN rs WHERE stop IS NULL OR rw.place < stop),
+    nw AS (SELECT *, (SELECT count(*) FROM region) + (SELECT count(*) FROM n) + coalesce(sum(c - 1) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + c AS would FROM n),
+    ns AS (SELECT CASE WHEN (SELECT stop FROM rs) IS NULL THEN (SELECT min(place) FROM nw WHERE would > 50000) ELSE 0 END AS stop),
+    f AS (SELECT *, 0 AS depth FROM rw CROSS JOIN rs UNION ALL SELECT *, 1 FROM nw CROSS JOIN ns)
+    SELECT file_url, depth, CASE WHEN c > 0 AND (stop IS NULL OR place <= stop) THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN place = stop THEN 'NESTED_SITEMAP_INDEX_OVER_LIMIT' WHEN c > 0 AND (stop IS NULL OR place < stop) THEN 'NESTED_SITEMAP_INDEX' END AS reason, CASE WHEN c > 0 AND (stop IS NULL OR place <= stop) THEN c END AS children FROM f
+    UNION ALL SELECT 'supplier/' || s_suppkey, 2, 'pending', NULL, NULL FROM supplier JOIN nw ON nw.k = s_nationkey CROSS JOIN ns WHERE stop IS NULL OR place < stop)"""
+
+
+@query("a4_expand_indexes", EXPANDED)
 def _(spark, sf):
+    """At most 50 000 files, as the walk has it; the suppliers of the first nation that would bring more aren't reached, nor what comes after it."""
     return sitemaps.expand_sitemap_indexes(*sitemap_graph(spark, sf))
 
 

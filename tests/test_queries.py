@@ -25,6 +25,25 @@ def test_against_sql(spark, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in rows.collect()), key=str) == want
 
 
+@pytest.mark.parametrize(("regions", "nations", "suppliers"), [(5, 25, 60_000), (5, 25, 49_969), (5, 25, 49_970), (3, 50_001, 4)])
+def test_expanded_indexes_beyond_the_limit_of_files(spark, tmp_path, regions, nations, suppliers):
+    """The walk ends at 50 000 files, and the SQL says so."""
+    own = {
+        "region": f"SELECT cast(i AS INT) AS r_regionkey, 'r' AS r_name FROM range({regions}) t(i)",
+        "nation": f"SELECT cast(i AS INT) AS n_nationkey, 'n' AS n_name, cast(i % {regions} AS INT) AS n_regionkey FROM range({nations}) t(i)",
+        "supplier": f"SELECT i AS s_suppkey, cast(i % 25 AS INT) AS s_nationkey FROM range({suppliers}) t(i)",
+    }
+    con = duckdb.connect()
+    for b, sql in own.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{b}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {b} AS SELECT * FROM '{tmp_path}/{b}.parquet'")
+    columns = ("file_url", "depth", "status", "reason", "children")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({plans.oracle_sql()['a4_expand_indexes']})").fetchall()
+    got = [tuple(r) for r in plans.queries()["a4_expand_indexes"](spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert ("NESTED_SITEMAP_INDEX_OVER_LIMIT" in {r[3] for r in got}) == (suppliers != 49_969)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
