@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pathsieve.functions.urls import PARAM, path_shape
 from pathsieve.operators.upserts import checkpointed as _checkpoint
-from pathsieve.operators.upserts import forget
+from pathsieve.operators.upserts import forget, small_partitions
 
 #: Children from which a slot is a parameter, URLs that the ratio needs, and the ratio of children to URLs (fixed values).
 MANY, OBSERVED, RATIO = 100, 30, 0.6
@@ -117,7 +117,8 @@ def _decided(nodes: DataFrame, inside: DataFrame, ready: DataFrame) -> tuple[Dat
     own = nodes.join(_small(ready.select(F.col("node").alias("parent"), "depth", "absorbs", F.col("kids").alias("fan"), "through")), "parent")
     shaped = own.join(inside.select("node", F.col("param").alias("deeper"), "near"), "node", "left")
     inner = inside.select(F.col("node").alias("_inner"), F.col("near").alias("inner"))
-    shaped = shaped.withColumn("_inner", F.when(F.col("deeper"), _child(F.col("node"), F.lit(PARAM)))).join(inner, "_inner", "left")
+    # only deeper ones have something to look up; the rest, which is most, keep keys of their own, since one task would hold all that have none
+    shaped = shaped.withColumn("_inner", F.when(F.col("deeper"), _child(F.col("node"), F.lit(PARAM))).otherwise(F.col("node"))).join(inner, "_inner", "left")
     # a parameter that ends URLs has nothing inside
     signature = F.when(F.col("near").isNull(), "$").when(F.col("deeper"), F.concat(F.lit("*>"), F.coalesce("inner", F.lit("$")))).otherwise(F.col("near"))
     keys = ("parent", "depth", "absorbs", "fan", "through")
@@ -171,28 +172,30 @@ def learn_from_counts(paths: DataFrame) -> DataFrame:
     is a value; the other rows name the literals that aren't. Prefixes are
     rewritten ones. Each round reads the counted paths twice and takes them once
     more to be rewritten, whatever the number of levels. A name that merged
-    branches hold both as a value and as a literal is a literal.
+    branches hold both as a value and as a literal is a literal. A task reads at
+    most ``TASK_BYTES`` of a shuffle that has enough partitions.
     """
-    paths, settled = _checkpoint(paths), None
-    nodes = inside = None
-    while True:
-        if nodes is None:
-            nodes = _checkpoint(_nodes(paths))
-            inside = _checkpoint(_inside(nodes))
-        open_ = _checkpoint(_open(inside, settled))
-        if open_.isEmpty():
-            break
-        ready = open_ if open_.limit(2).count() == 1 else _checkpoint(_ready(open_))
-        changed, stay = _decided(nodes, inside, ready)
-        depths = {r.depth: r["count"] for r in changed.groupBy("depth").count().orderBy("depth").collect()}
-        settled = _settle(settled, ready, changed)
-        if depths:
-            before = (paths, nodes, inside)
-            paths, nodes = _checkpoint(_rewrite(paths, changed, stay, depths)), None
-            forget(*before)
-    slots = inside.where("param").select(F.col("node").alias("parent"))
-    beside = nodes.where(F.col("segment") != PARAM).join(slots, "parent", "left_semi").select("parent", F.col("segment").alias("literal"))
-    return _checkpoint(slots.select("parent", F.lit(None).cast("string").alias("literal")).unionByName(beside))
+    with small_partitions(paths.sparkSession):
+        paths, settled = _checkpoint(paths), None
+        nodes = inside = None
+        while True:
+            if nodes is None:
+                nodes = _checkpoint(_nodes(paths))
+                inside = _checkpoint(_inside(nodes))
+            open_ = _checkpoint(_open(inside, settled))
+            if open_.isEmpty():
+                break
+            ready = open_ if open_.limit(2).count() == 1 else _checkpoint(_ready(open_))
+            changed, stay = _decided(nodes, inside, ready)
+            depths = {r.depth: r["count"] for r in changed.groupBy("depth").count().orderBy("depth").collect()}
+            settled = _settle(settled, ready, changed)
+            if depths:
+                before = (paths, nodes, inside)
+                paths, nodes = _checkpoint(_rewrite(paths, changed, stay, depths)), None
+                forget(*before)
+        slots = inside.where("param").select(F.col("node").alias("parent"))
+        beside = nodes.where(F.col("segment") != PARAM).join(slots, "parent", "left_semi").select("parent", F.col("segment").alias("literal"))
+        return _checkpoint(slots.select("parent", F.lit(None).cast("string").alias("literal")).unionByName(beside))
 
 
 def learn_patterns(urls: DataFrame, segments: str = "segments") -> DataFrame:

@@ -212,3 +212,26 @@ def test_every_round_decides_all_depths(spark, monkeypatch):
     assert {r.parent for r in rules.collect()} == {"x", f"y{SEP}z", f"k{SEP}l{SEP}m"}
     assert calls == [{1: 1, 2: 1, 3: 1}]
     assert rules.where(F.col("literal").isNotNull()).count() == 0
+
+
+def test_no_key_of_a_join_is_that_of_most_nodes(spark, monkeypatch):
+    """Nodes without anything inside to look up don't meet in one task; tasks are small while learning only."""
+    from pathsieve.operators.upserts import ADVISORY, TASK_BYTES
+
+    rows = [(["order", str(i), "line", str(i % 3)],) for i in range(300)] + [(["shop", str(i)],) for i in range(500)]
+    u, largest, sizes, before = spark.createDataFrame(rows, "segments array<string>"), [], set(), spark.conf.get(ADVISORY)
+    join = type(u).join
+
+    def watched(self, other, on=None, how=None):
+        sizes.add(spark.conf.get(ADVISORY))
+        if on == "_inner":
+            largest.append(self.groupBy("_inner").count().agg(F.max("count")).first()[0])
+        return join(self, other, on, how)
+
+    with monkeypatch.context() as m:
+        m.setattr(type(u), "join", watched)
+        rules = patterns.learn_patterns(u)
+    assert largest and max(largest) == 1
+    assert sizes == {TASK_BYTES} and spark.conf.get(ADVISORY) == before
+    got = {r.template: r.n for r in patterns.assign_patterns(u, rules).groupBy("template").agg(F.count("*").alias("n")).collect()}
+    assert got == {"/shop/{param}": 500} | {f"/order/{{param}}/line/{i}": 100 for i in range(3)}
