@@ -80,6 +80,15 @@ def test_k_smallest_is_a_superset_and_prunes_before_the_shuffle(spark):
     assert a._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("k", [1200, 3000])
+def test_many_smallest_are_pruned_before_the_shuffle_too(spark, k):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("pattern_id"), (F.xxhash64("id") % 1000).alias("hash"), F.lit(1).alias("file_id"), F.col("id").alias("ordinal"))
+    got = sampling.k_smallest_sample(df, ["pattern_id"], k)
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    want = [x for p in range(3) for x in sorted((p, r.hash, r.ordinal) for r in df.collect() if r.pattern_id == p)[:k]]
+    assert sorted((r.pattern_id, r.hash, r.ordinal) for r in got.collect()) == want
+
+
 def corpus(spark, n=50_000):
     from pathsieve.sources.sitemaps import generate_url_corpus
 
