@@ -89,6 +89,15 @@ def test_many_smallest_are_pruned_before_the_shuffle_too(spark, k):
     assert sorted((r.pattern_id, r.hash, r.ordinal) for r in got.collect()) == want
 
 
+def test_drawn_samples_come_from_pruned_groups(spark):
+    c = spark.range(20_000).select((F.col("id") % 3).cast("string").alias("pattern_id"), (F.xxhash64("id") % 1000).alias("hash"), (F.col("id") % 7).alias("file_id"), F.col("id").alias("ordinal"))
+    known = spark.createDataFrame([("0", 6667), ("1", 6667), ("2", 6666)], "pattern_id string, population long")
+    samples, _ = sampling.draw_samples(known, c, c.select("file_id").distinct())
+    assert samples._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+    first = {p: sorted((r.hash, r.file_id, r.ordinal) for r in c.where(F.col("pattern_id") == p).collect()) for p in "012"}
+    assert {r.pattern_id: (r.k_requested, r.sample_size, r.k_threshold_hash) for r in samples.collect()} == {p: (67, 67, first[p][1199][0]) for p in "012"}
+
+
 def corpus(spark, n=50_000):
     from pathsieve.sources.sitemaps import generate_url_corpus
 
