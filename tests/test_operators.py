@@ -98,6 +98,15 @@ def test_drawn_samples_come_from_pruned_groups(spark):
     assert {r.pattern_id: (r.k_requested, r.sample_size, r.k_threshold_hash) for r in samples.collect()} == {p: (67, 67, first[p][1199][0]) for p in "012"}
 
 
+def test_expansion_reads_pruned_groups(spark):
+    c = spark.range(20_000).select((F.col("id") % 3).alias("pattern_id"), (F.xxhash64("id") % 1000).alias("hash"), (F.col("id") % 7).alias("file_id"), F.col("id").alias("ordinal"))
+    plan = spark.createDataFrame([(0, 1100), (1, 5)], "pattern_id long, k int")
+    more = sampling.expand_sample(sampling.k_smallest_sample(c, ["pattern_id"], 100), c, plan, ["pattern_id"])
+    assert more._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+    want = sorted((r.hash, r.file_id, r.ordinal) for r in c.where("pattern_id = 0").collect())[100:1100]
+    assert sorted((r.hash, r.file_id, r.ordinal) for r in more.collect()) == want
+
+
 def corpus(spark, n=50_000):
     from pathsieve.sources.sitemaps import generate_url_corpus
 
