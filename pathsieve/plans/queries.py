@@ -912,7 +912,9 @@ def _(spark, sf):
 
 @query("l3_upsert_replace", "SELECT pattern_id, file_id, CASE WHEN file_id % 3 = 0 THEN url_count * 10 ELSE url_count END AS url_count FROM pattern_population")
 def _(spark, sf):
-    p = table(spark, sf, "pattern_population").select("pattern_id", "file_id", "url_count")
+    # what an earlier run had stored, in parts that are small to sort
+    with upserts.small_partitions(spark):
+        p = upserts.checkpointed(table(spark, sf, "pattern_population").select("pattern_id", "file_id", "url_count"))
     return upserts.upsert_replace(p, p.where("file_id % 3 = 0").withColumn("url_count", F.col("url_count") * 10), ["pattern_id", "file_id"])
 
 

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pathsieve.operators.upserts import ADVISORY
 from pathsieve.plans import queries as plans
 from pathsieve.plans.derived import BASE
 
@@ -44,6 +45,18 @@ def test_expanded_indexes_beyond_the_limit_of_files(spark, tmp_path, regions, na
     assert ("NESTED_SITEMAP_INDEX_OVER_LIMIT" in {r[3] for r in got}) == (suppliers != 49_969)
 
 
+def test_what_is_replaced_is_counted_once_and_stored(spark):
+    """Counting and sorting are not in one task: the rows to sort are read from small stored parts."""
+    before = spark.conf.get(ADVISORY)
+    rows = plans.queries()["l3_upsert_replace"](spark, FOLDER)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 2 and "parquet" not in plan and spark.conf.get(ADVISORY) == before
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{FOLDER}/lineitem.parquet'")
+    want = con.execute(f"SELECT pattern_id, file_id, url_count FROM ({plans.oracle_sql()['l3_upsert_replace']})").fetchall()
+    assert sorted((r.pattern_id, r.file_id, r.url_count) for r in rows.collect()) == sorted(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
