@@ -44,6 +44,20 @@ def test_order_and_common_prefixes(monkeypatch, memory, piece):
             assert min(n, depth) == same, (keys[a], keys[b], n)
 
 
+@pytest.mark.parametrize("piece", [3, 1 << 17])
+def test_suffixes_are_compared_by_words(monkeypatch, piece):
+    """Seven symbols at once, to the end wherever a word of seven meets it, and no further than the depth."""
+    monkeypatch.setattr(suffix_sort, "PIECE", piece)
+    for n in range(1, 24):
+        text = np.array([*[2] * n, 0, *[2] * n, 256, 0, *[2] * n, 0], np.int16)
+        words = suffix_sort._words(text)
+        a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(len(text)), np.arange(len(text))))
+        a, b = a[a != b], b[a != b]
+        for depth in (1, 7, 20, 400):
+            want = [next((k for k, (x, y) in enumerate(zip(text[i:i + depth], text[j:j + depth])) if x != y), min(depth, len(text) - max(i, j))) for i, j in zip(a, b)]
+            assert suffix_sort._common(words, a, b, depth).tolist() == want
+
+
 def brute(texts, window):
     seen = collections.Counter(t[i:i + window] for t in texts for i in range(len(t) - window + 1))
     out = []
