@@ -110,3 +110,25 @@ def test_one_anchor_never_fills_a_task(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     made = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup(df, window=40).collect())
     assert made == brute([t.encode() for t in texts], 40)
+
+
+@pytest.mark.parametrize(("shard", "times"), [(1 << 20, 1), (0, None)])
+def test_copies_never_meet_in_the_task_of_their_anchor(spark, monkeypatch, shard, times):
+    """Near copies in every partition: each chunk reaches the task that sorts its anchor once, if it isn't split, however many copies there are."""
+    pick = random.Random(5)
+    base = "".join(pick.choices("abcdefghijkl ", k=1500))
+    near = [base[:at] + "#" + base[at + 1:] for at in range(100, 1500, 100)]
+    texts = near * 8 + [base[300:900]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    kind, most = type(df), []
+    real = kind.sortWithinPartitions
+
+    def counted(self, *cols, **more):
+        most.append(self.groupBy("h", "c").count().agg({"count": "max"}).first()[0])
+        return real(self, *cols, **more)
+
+    monkeypatch.setattr(kind, "sortWithinPartitions", counted)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    made = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup(df).collect())
+    assert made == brute([t.encode() for t in texts], 400)
+    assert most == [times]
