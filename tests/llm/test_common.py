@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathsieve.llm import common
-from pathsieve.llm.common import connected_components, durable, forget
+from pathsieve.llm.common import ENTRY_BITS, connected_components, durable, filter_of, forget, may_hold
 
 
 @pytest.mark.parametrize("hot", [3, 20_000])
@@ -38,3 +41,25 @@ def test_forgotten_frames_leave_no_files(spark):
     forget(gone, spark.range(3))
     assert not glob.glob(f"{file}/*")
     assert kept.count() == 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 5_000])
+def test_filter_holds_every_hash(spark, n):
+    hashes = spark.range(n).select(F.xxhash64("id").alias("h")).union(spark.createDataFrame([(None,)], "h long"))
+    words = filter_of(hashes.repartition(3), "h")
+    assert words.dtype == np.uint64 and 64 * len(words) >= ENTRY_BITS * n
+    own = np.array([r.h for r in hashes.where("h is not null").collect()], np.int64)
+    assert may_hold(words, own).all()
+    others = np.array([r.h for r in spark.range(10_000, 15_000).select(F.xxhash64("id").alias("h")).collect()], np.int64)
+    assert may_hold(words, others).mean() < 0.1
+
+
+def test_full_filter_is_small_in_the_driver(spark):
+    """400 000 hashes fill most of 131 072 words, 2 MB as Arrow columns; as rows of Python they took tens."""
+    hashes = spark.range(400_000).select(F.xxhash64("id").alias("h"))
+    filter_of(hashes.limit(10), "h")
+    tracemalloc.start()
+    words = filter_of(hashes, "h")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (words != 0).mean() > 0.9 and peak < 10 * words.nbytes
